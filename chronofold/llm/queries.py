@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, shards
+from . import content_store, exact_dedup, mixing, shards, shared, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,24 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def byte_bpe() -> str:
+    """The tokenizer file's text; its folder is that of the installed package."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def stored_tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    path = shared.new_path(spark, "token-store")
+    content_store.write_store(docs, path, byte_bpe(), end_id=2)
+    return content_store.read_digests(spark, path)
+
+
+def op1_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tokens(spark, _docs(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
@@ -23,9 +41,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir), keep="max")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(_docs(spark, sf_dir))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_docs(spark, sf_dir), 40)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op4_exact_dedup, op10_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_content_store, op2_mix_sources, op4_exact_dedup, op5_simhash, op10_shards)}
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
