@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_store, exact_dedup, language, mixing, quality, shards, shared, simhash, toxicity
+from . import content_store, decontaminate, exact_dedup, language, language_model, mixing, quality, shards, shared, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,13 +53,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_docs(spark, sf_dir))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_docs(spark, sf_dir), 40)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_content_store, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash, op6_toxicity, op8_quality, op10_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_content_store, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash, op6_toxicity, op7_decontaminate, op8_quality, op9_lm_score, op10_shards)}
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
