@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import features
 
 EDIT_RATE = 0.08
 #: Items below this length carry no evidence and are left out.
@@ -156,7 +156,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RA
     return out.withColumn("contaminated", F.lit(True))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, as they are, in which no test item occurs. A null id is kept only if no null id matches."""
-    hits = shared.written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(shared.small(hits), docs[options.get("id_col", "doc_id")].cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The rows of docs, as they are, in which no test item occurs."""
+
+    def clean(rows):
+        def test():
+            matcher = Matcher(rows, rate)
+            return lambda texts: [not matcher.search(normalise(t or "")) for t in texts]
+
+        return test
+
+    for rows in _blocks(benchmark, text, item_id):
+        docs = features.where_text(docs, clean(rows), text=text)
+    return docs

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 
@@ -48,21 +50,37 @@ def idf_of(counts):
     return (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
 
 
-def score_whole(docs: DataFrame, columns: dict, schema: str, block, *, text: str = "text", rows: int = 64) -> DataFrame:
-    """columns (name -> Column of docs) and what block(texts) gives for up to `rows` whole texts at a time: a list of
-    arrays, in the order of the rest of schema."""
-    names = list(columns)
-    cols = [s.split()[0] for s in schema.split(",")]
+def score_whole(docs: DataFrame, columns: dict, extra: str, block, *, text: str = "text", rows: int = 64) -> DataFrame:
+    """columns (name -> Column of docs) and the columns of `extra` (DDL): what block()(texts) gives for up to `rows` whole
+    texts at a time, a list of arrays."""
+    kept = docs.select(*[c.alias(n) for n, c in columns.items()])
+    more = T.StructType.fromDDL(extra)
+    schema = T.StructType([*kept.schema.fields, *more.fields])
+    names, n = schema.names, len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = block()
         for b in batches:
             for k in range(0, b.num_rows, rows):
                 some = b.slice(k, rows)
-                got = made(some.column(len(names)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(names)], *map(pa.array, got)], names=cols)
+                got = made(some.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns[:n], *map(pa.array, got)], names=names)
 
-    return docs.select(*[c.alias(n) for n, c in columns.items()], docs[text].cast("string").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*[c.alias(name) for name, c in columns.items()], docs[text].cast("string").alias("_t")).mapInArrow(run, schema)
+
+
+def where_text(docs: DataFrame, test, *, text: str = "text", rows: int = 64) -> DataFrame:
+    """The rows of docs whose whole text passes: test() gives a function from up to `rows` texts to booleans. Columns
+    that are not the text stay in the JVM."""
+
+    @F.pandas_udf("boolean")
+    def passes(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made = test()
+        for s in series:
+            texts = [None if t is None else t for t in s.tolist()]
+            yield pd.Series([bool(x) for k in range(0, len(texts), rows) for x in made(texts[k : k + rows])], dtype=bool)
+
+    return docs.where(passes(docs[text].cast("string")))
 
 
 def held_out(id_col, parts: int, part: int):

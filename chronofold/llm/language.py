@@ -91,7 +91,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
 
         return block
 
-    got = features.score_whole(sample, {"doc_id": F.col("doc_id"), "lang": F.col("lang")}, "doc_id long, lang string, cells array<int>, n array<float>", sparse, text="t").collect()
+    got = features.score_whole(sample, {"doc_id": F.col("doc_id"), "lang": F.col("lang")}, "cells array<int>, n array<float>", sparse, text="t").collect()
     got = sorted((r for r in got if len(r.cells)), key=lambda r: (r.doc_id is None, r.doc_id, r.lang))
     if not got:
         return None
@@ -116,26 +116,40 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
     return Model(langs, idf, w, b, max(temperature, 0.05))
 
 
+def _scorer(model: Model | None):
+    import numpy as np
+
+    def block(texts):
+        pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        if model is not None and some:
+            p = model.probabilities(np.stack([features.ngram_counts(texts[i], ORDERS, BITS) for i in some]))
+            for i, q in zip(some, p, strict=True):
+                pred[i], score[i] = model.langs[int(q.argmax())], float(min(1.0, q.max()))
+        return pred, score
+
+    return block
+
+
 def predict(docs: DataFrame, model: Model | None, columns: dict, *, text: str = "text") -> DataFrame:
     """columns, lang_pred, score (probability of lang_pred). 'und' with score 0 where the text is null or has no letter,
     or where nothing was learned."""
+    return features.score_whole(docs, columns, "lang_pred string, score double", lambda: _scorer(model), text=text)
 
-    def scorer():
-        import numpy as np
 
-        def block(texts):
-            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-            if model is not None and some:
-                p = model.probabilities(np.stack([features.ngram_counts(texts[i], ORDERS, BITS) for i in some]))
-                for i, q in zip(some, p, strict=True):
-                    pred[i], score[i] = model.langs[int(q.argmax())], float(min(1.0, q.max()))
-            return pred, score
+def keep_known(docs: DataFrame, model: Model | None, min_score: float, *, text: str = "text") -> DataFrame:
+    """The rows of docs whose language is known with at least min_score."""
 
-        return block
+    def test():
+        block = _scorer(model)
+
+        def run(texts):
+            pred, score = block(texts)
+            return [p != UNKNOWN and s >= min_score for p, s in zip(pred, score, strict=True)]
+
+        return run
 
-    kinds = ", ".join(f"{n} {t}" for n, t in docs.select(*[c.alias(n) for n, c in columns.items()]).dtypes)
-    return features.score_whole(docs, columns, f"{kinds}, lang_pred string, score double", scorer, text=text)
+    return features.where_text(docs, test, text=text)
 
 
 def identify(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:

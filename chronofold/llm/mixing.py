@@ -42,18 +42,47 @@ def targets(by_source: DataFrame, weights: tuple[int, ...], share: float, cap: i
     return s.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: int = 3, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
+def _key(docs: DataFrame, text: str, id_col: str):
+    t = shared.text_of(docs, text)
+    own = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("t"), F.md5(t)))
+    return F.conv(F.substring(F.md5(own), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def _copies(docs_source, key, edges: DataFrame, bits: int):
+    """The join condition with the edges, and how often the mix takes a row."""
+    p = _shift_right(key, bits)
+    once_more = F.col("e_some") & ((p < F.col("e_prefix")) | ((p == F.col("e_prefix")) & F.col("e_whole")))
+    return docs_source.eqNullSafe(F.col("e_source")), F.col("e_copies") + once_more.cast("long")
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it. Rows without words have no part in word targets
+    and stay once. Options as for mix()."""
+    text, id_col, source = (options.get(k, d) for k, d in (("text", "text"), ("id_col", "doc_id"), ("source", "source")))
+    _, edges, bits = _edges(docs, **options)
+    on, times = _copies(docs[source].cast("string"), _key(docs, text, id_col), edges, bits)
+    times = F.when(shared.text_of(docs, text).rlike(WORD), times).otherwise(1)
+    joined = docs.join(edges, on).withColumn("e_times", times).where("e_times > 0")
+    return joined.withColumn("e_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("e_times")))).select(*[docs[c] for c in docs.columns])
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, size (words), source, source_size, target, taken (words the mix takes of the
     document, repeats counted: size times its number of copies, cap at most).
 
-    Sources in code-point order, null last, take the weights in turn. A source whose target is q times its size and a
-    rest takes every document q times, and once more those under the key threshold. Its words come within half the
-    boundary document of the target. Null text has size 0; a null id is keyed by the text; rows equal in id share a key
-    and are taken alike. An empty table gives no rows."""
+    Options: weights, share, cap, text, id_col, source. Sources in code-point order, null last, take the weights in turn.
+    A source whose target is q times its size and a rest takes every document q times, and once more those under the key
+    threshold. Its words come within half the boundary document of the target. Null text has size 0; a null id is keyed
+    by the text; rows equal in id share a key and are taken alike. An empty table gives no rows."""
+    sized, edges, bits = _edges(docs, **options)
+    on, times = _copies(sized["source"], F.col("key"), edges, bits)
+    return sized.join(edges, on).select("doc_id", "size", "source", F.col("e_size").alias("source_size"), F.col("e_target").alias("target"), (F.col("size") * times).alias("taken"))
+
+
+def _edges(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: int = 3, text: str = "text", id_col: str = "doc_id", source: str = "source") -> tuple[DataFrame, DataFrame, int]:
+    """The sized documents, and for each source its targets, whole copies and key threshold, in units of 2**bits keys."""
     t = shared.text_of(docs, text)
-    own = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("t"), F.md5(t)))
-    key = F.conv(F.substring(F.md5(own), 1, KEY_BITS // 4), 16, 10).cast("long")
-    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
+    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), _key(docs, text, id_col).alias("key"))
     sized = shared.written(sized, "mix-sizes")
     wanted = shared.written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mix-targets")
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -78,11 +107,11 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
         if (state.agg(F.max("n")).first()[0] or 0) <= 1:
             break
     whole = (F.col("rest") > 0) & ((F.col("rest") - F.col("below")) * 2 >= F.col("cell"))
-    edges = state.select(F.col("source").alias("s"), "source_size", "target", "copies", "prefix", whole.alias("whole"), (F.col("rest") > 0).alias("some"))
-    out = sized.join(shared.small(edges), sized["source"].eqNullSafe(F.col("s")))
-    p = _shift_right(F.col("key"), bits)
-    once_more = F.col("some") & ((p < F.col("prefix")) | ((p == F.col("prefix")) & F.col("whole")))
-    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("copies") + once_more.cast("long"))).alias("taken"))
+    edges = state.select(
+        F.col("source").alias("e_source"), F.col("source_size").alias("e_size"), F.col("target").alias("e_target"), F.col("copies").alias("e_copies"),
+        F.col("prefix").alias("e_prefix"), whole.alias("e_whole"), (F.col("rest") > 0).alias("e_some"),
+    )
+    return sized, shared.small(edges), bits
 
 
 ORACLE = r"""

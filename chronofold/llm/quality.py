@@ -63,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_class
         return block
 
     sample = features.labelled_sample(docs, labels, label, per_class, text=text, id_col=id_col)
-    got = features.score_whole(sample, {"doc_id": F.col("doc_id"), "y": F.col("y")}, "doc_id long, y int, cells array<int>, n array<float>", sparse, text="t").collect()
+    got = features.score_whole(sample, {"doc_id": F.col("doc_id"), "y": F.col("y")}, "cells array<int>, n array<float>", sparse, text="t").collect()
     if not got:
         return None
     got = sorted(got, key=lambda r: (r.doc_id, r.y, tuple(r.cells)))
@@ -99,8 +99,7 @@ def predict(docs: DataFrame, model: Model | None, columns: dict, *, text: str =
 
         return block
 
-    kinds = ", ".join(f"{n} {t}" for n, t in docs.select(*[c.alias(n) for n, c in columns.items()]).dtypes)
-    return features.score_whole(docs, columns, f"{kinds}, score double, predicted int", scorer, text=text)
+    return features.score_whole(docs, columns, "score double, predicted int", scorer, text=text)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -163,8 +163,7 @@ def predict(docs: DataFrame, model: Model | None, columns: dict, *, text: str =
 
         return block
 
-    kinds = ", ".join(f"{n} {t}" for n, t in docs.select(*[c.alias(n) for n, c in columns.items()]).dtypes)
-    return features.score_whole(docs, columns, f"{kinds}, score double, predicted int", scorer, text=text)
+    return features.score_whole(docs, columns, "score double, predicted int", scorer, text=text)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str = "text", id_col: str = "doc_id") -> DataFrame:
