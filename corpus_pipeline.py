@@ -1,12 +1,70 @@
-"""Corpus pipeline over documents. STAGES: (name, function of (spark, docs, sf_dir))."""
+"""Corpus pipeline over documents: language identification, near-dedup, decontamination, mixing, token output.
+
+Each stage is (name, function of (spark, docs, sf_dir)) and returns a DataFrame; what a stage returns is written as
+Parquet and is the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronofold.llm import decontaminate, language, mixing, queries, shared, simhash
+
+#: A document goes when its language is unknown or less likely than this.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, without text, or whose best language scores below MIN_LANGUAGE_SCORE go."""
+    return language.keep_known(docs, language.fit(docs), MIN_LANGUAGE_SCORE)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays; of rows that share that id, one.
+    Documents without an id have none to be compared by and stay."""
+    found = shared.written(simhash.near_dedup(docs).select("doc_id", "component_id").where("doc_id is not null"), "near-copies")
+    others = shared.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-others")
+    again = shared.written(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "near-repeated")
+    kept = docs.join(shared.small(others), docs["doc_id"] == F.col("_id"), "left_anti")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(shared.small(again), kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(shared.small(again), kept["doc_id"] == F.col("_id"), "left_anti").unionByName(once)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, up to its edit budget, go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document appears as often as the mix takes it, not at all to three times."""
+    return mixing.take(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, in a content-addressed store; returns what reading it back gives."""
+    return queries.stored_tokens(spark, docs)
+
+
+STAGES = [
+    ("language-id", keep_known_language),
+    ("simhash-near-dedup", keep_one_of_near_copies),
+    ("decontaminate", drop_benchmark_passages),
+    ("mix-sources", mix_to_weights),
+    ("token-output", write_tokens),
+]
 
-STAGES: list = []
+#: SQL expresses neither the classifier nor XXH64 fingerprints, edit distance or tokenisation.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; every stage but the last is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = shared.written(docs, f"stage-{name}")
+    return docs
