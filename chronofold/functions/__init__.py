@@ -1 +1 @@
-"""See the package README for what belongs here."""
+"""Column expressions and user functions."""

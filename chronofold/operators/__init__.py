@@ -1 +1 @@
-"""See the package README for what belongs here."""
+"""DataFrame operators: validity, fold, recovery, comparison, checks, metrics, operations, graphs, faults, simulation."""

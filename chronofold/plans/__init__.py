@@ -1 +1 @@
-"""See the package README for what belongs here."""
+"""Registered queries with their DuckDB SQL."""

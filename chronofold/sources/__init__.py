@@ -1 +1 @@
-"""See the package README for what belongs here."""
+"""Where rows come from and go to: template journal, projections, tables, definitions, shared storage."""

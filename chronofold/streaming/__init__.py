@@ -1 +1 @@
-"""See the package README for what belongs here."""
+"""Structured Streaming forms of the journal and of timed sweeps."""
