@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import features
+from . import features, shared
 
 EDIT_RATE = 0.08
 #: Items below this length carry no evidence and are left out.
@@ -109,21 +109,21 @@ class Matcher:
         return sorted((i, d, e) for i, (d, e) in found.items())
 
 
-def _blocks(benchmark: DataFrame, text: str, item_id: str) -> list[list[tuple[int, str]]]:
-    """The normalised items in blocks of bounded size, read in id order without holding more than one block's partition
-    at the driver."""
+def _blocks(benchmark: DataFrame, text: str, item_id: str) -> Iterator[list[tuple[int, str]]]:
+    """The normalised items in blocks of bounded size, in id order; the driver holds one block at a time."""
     rows = benchmark.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    blocks, size = [[]], 0
+    block, size = [], 0
     for i, t in rows.orderBy("i", "t").toLocalIterator():
         n = normalise(t)
         if len(n) < MIN_CHARS:
             continue
-        if size + len(n) > BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, n))
+        if block and size + len(n) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append((i, n))
         size += len(n)
-    return [b for b in blocks if b]
+    if block:
+        yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id") -> DataFrame:
@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RA
     schema = "doc_id long, item_id long, distance int, end long"
     out = docs.sparkSession.createDataFrame([], schema)
     for k, rows in enumerate(_blocks(benchmark, text, item_id)):
-        hits = read.mapInArrow(scan(rows), schema)
+        hits = shared.written(read.mapInArrow(scan(rows), schema), "contaminated")
         out = hits if not k else out.unionByName(hits)
     return out.withColumn("contaminated", F.lit(True))
 
@@ -166,6 +166,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_R
 
         return test
 
-    for rows in _blocks(benchmark, text, item_id):
-        docs = features.where_text(docs, clean(rows), text=text)
+    for k, rows in enumerate(_blocks(benchmark, text, item_id)):
+        docs = features.where_text(docs if not k else shared.written(docs, "decontaminated"), clean(rows), text=text)
     return docs

@@ -56,9 +56,10 @@ def test_blocks_of_items(spark, monkeypatch):
     items = [f"item number {i} says something rather unlike the others {i * 7919}" for i in range(4)]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = spark.createDataFrame([(i, f"see {t} there", "en", "s", 1, 1, 0.0, "", 1, 1) for i, t in enumerate(items)], SCHEMA)
-    assert len(decontaminate._blocks(benchmark, "text", "item_id")) == 4
+    assert len(list(decontaminate._blocks(benchmark, "text", "item_id"))) == 4
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).where("distance = 0").collect()}
     assert got == {(i, i) for i in range(4)}
+    assert decontaminate.decontaminate(docs, benchmark).count() == 0
 
 
 def test_language_model(spark, edge_docs, no_docs, monkeypatch):
