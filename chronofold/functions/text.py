@@ -30,19 +30,25 @@ def compact(s: Column) -> Column:
     return F.when(F.length(line) > 60, F.concat(F.substring(line, 1, 57), F.lit("..."))).otherwise(line)
 
 
+def _fields(payload: Column, build) -> Column:
+    """build(map of the payload's fields as text): the payload is parsed once, however many fields build reads."""
+    parsed = F.array(F.from_json(payload, "map<string,string>"))
+    return F.element_at(F.transform(parsed, build), 1)
+
+
 def summary(payload: Column, keys: Sequence[str] = V.SUMMARY_KEYS) -> Column:
     """key=value of the payload keys that are present, in fixed order."""
-    part = [F.concat(F.lit(f"{k}="), compact(F.get_json_object(payload, f"$.{k}"))) for k in keys]
-    return F.concat_ws(" ", *part)
+    return _fields(payload, lambda m: F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), compact(m[k])) for k in keys]))
 
 
 def summary_web(payload: Column, keys: Sequence[str] = V.SUMMARY_KEYS_WEB) -> Column:
     """The dashboard's variant: empty values are dropped too, long ones cut to 57 and an ellipsis, two spaces between."""
-    parts = []
-    for k in keys:
-        v = F.nullif(F.get_json_object(payload, f"$.{k}"), F.lit(""))
-        parts.append(F.concat(F.lit(f"{k}="), F.when(F.length(v) > 60, F.concat(F.substring(v, 1, 57), F.lit("…"))).otherwise(v)))
-    return F.concat_ws("  ", *parts)
+
+    def part(m: Column, k: str) -> Column:
+        v = F.nullif(m[k], F.lit(""))
+        return F.concat(F.lit(f"{k}="), F.when(F.length(v) > 60, F.concat(F.substring(v, 1, 57), F.lit("…"))).otherwise(v))
+
+    return _fields(payload, lambda m: F.concat_ws("  ", *[part(m, k) for k in keys]))
 
 
 def truncate_error(s: Column, limit: int = 2048) -> Column:
