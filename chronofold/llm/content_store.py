@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ from . import shared
 
 MIN_IDS, CUT_BITS, MAX_IDS = 64, 7, 1024
 KEY = 16
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def digest(data: bytes) -> bytes:
@@ -43,11 +44,20 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def byte_marks() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable Latin-1 stands for itself, and the other
+    bytes follow from code point 256 on."""
+    itself = [b for b in range(256) if chr(b).isprintable() and b != 32 and not 127 <= b <= 160 and b != 173]
+    others = [b for b in range(256) if b not in itself]
+    return {b: chr(b) for b in itself} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Encodes whole texts with a tokenizers file. For a byte-level BPE with the usual word pattern, a word's ids do not
     depend on its neighbours: such texts are cut at single spaces and newlines, and each distinct piece is encoded by
     the library once while it stays in a bounded cache. Texts that hold other white space, or an added token's string,
-    go to the library whole."""
+    go to the library whole. A piece that is one run of letters, closing marks aside, is one unit of the word pattern and
+    goes to the library's model directly."""
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
@@ -59,9 +69,11 @@ class Encoder:
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.odd = [*self.added, "  ", " \n", "\n ", "\n\n", "\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
-        self.cache: dict[str, bytes] = {}
+        self.words = Words(self)
+        self.model, self.marks = self.tokenizer.model, byte_marks()
+        self.packed = [int(i).to_bytes(2 if self.dtype == "<u2" else 4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def plain(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -75,13 +87,38 @@ class Encoder:
         for t in texts:
             split = self.by_word and t and not t[0].isspace() and not t[-1].isspace() and not any(c in t for c in self.odd)
             pieces.append(t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if split else None)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        missing = list(set().union(*(p for p in pieces if p)) - self.cache.keys())
-        self.cache.update(zip(missing, self._plain(missing), strict=True))
-        rest = [t for t, p in zip(texts, pieces, strict=True) if p is None]
-        plain = iter(self._plain(rest))
-        return [next(plain) if p is None else b"".join(map(self.cache.__getitem__, p)) for p in pieces]
+        self.words.age()
+        plain = iter(self.plain([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        ids = self.words.__getitem__
+        return [next(plain) if p is None else b"".join(map(ids, p)) for p in pieces]
+
+
+class Words(dict):
+    """The packed ids of pieces, encoded when first met. Two generations of up to CACHE_WORDS pieces are held: a full one
+    becomes the older, and what is still met moves over from it, so frequent words stay."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder, self.older = encoder, {}
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
+        e, stem = self.encoder, piece.rstrip(string.punctuation)
+        if not stem.removeprefix(" ").isalpha():
+            ids = e.plain([piece])[0]
+        elif stem == piece:
+            ids = b"".join([e.packed[t.id] for t in e.model.tokenize(piece.encode().decode("latin-1").translate(e.marks))])
+        else:
+            ids = self[stem] + self[piece[len(stem) :]]
+        self[piece] = ids
+        return ids
 
 
 def cut_points(ids) -> list[int]:
@@ -123,7 +160,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, *,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder, part, row, seen = Encoder(shipped.value), TaskContext.get().partitionId(), 0, set()
+        state = shared.worker_state()  # words encoded by a worker's earlier tasks stay at hand
+        if state.get("tokenizer") != shipped.value:
+            state |= {"tokenizer": shipped.value, "encoder": Encoder(shipped.value)}
+        encoder, part, row, seen = state["encoder"], TaskContext.get().partitionId(), 0, set()
         end, width = np.array([end_id], encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize
         for b in batches:
             for k in range(0, b.num_rows, 128):
@@ -145,7 +185,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, *,
                     for c, v in zip(out, ("r", digest(f"{part}:{row}".encode()), doc_id, last, merkle_root(keys), b"".join(recipe)), strict=True):
                         c.append(v)
                     row += 1
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "key", "doc_id", "n_tokens", "root", "body"])
 

@@ -62,6 +62,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps from one task to the next."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("_chronofold_worker", types.ModuleType("_chronofold_worker")))
+
+
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(docs[text].cast("string"), F.lit(""))
 
