@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import new_path
+
 #: Rows up to which a counted table is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 50_000
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session. Where it is unset, a local master
-    gets a temporary folder and a cluster gets a folder in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/") + "/chronofold"
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_chronofold"
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="chronofold-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return "file://" + _own_dirs[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
 
 def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
