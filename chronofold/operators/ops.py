@@ -120,10 +120,12 @@ def claim(tasks: DataFrame, now: Column, worker, limit: int, *, run_id=None, lea
 
 def assign(tasks: DataFrame, workers: DataFrame, now: Column) -> DataFrame:
     """Ready tasks dealt to healthy workers with free slots, earliest task to first slot: both sides are numbered and met
-    by number. Only as many tasks as there are slots are ordered; slots are as many as the workers' capacity."""
-    slots = workers.where("status = 'HEALTHY' and capacity > active_tasks").select("id", F.explode(F.sequence(F.lit(1), F.col("capacity") - F.col("active_tasks"))).alias("slot"))
+    by number. Only as many tasks as there are slots are ordered; slots are as many as the workers' free capacity."""
+    free = workers.where("status = 'HEALTHY' and capacity > active_tasks")
+    n_slots = free.agg(F.sum(F.col("capacity") - F.col("active_tasks"))).first()[0] or 0
+    slots = free.select("id", F.explode(F.sequence(F.lit(1), F.col("capacity") - F.col("active_tasks"))).alias("slot"))
     slots = slots.select(F.col("id").alias("worker_id"), F.row_number().over(Window.orderBy("slot", "id")).alias("n"))
-    ready = tasks.where((F.col("status") == "READY") & (F.col("scheduled_at") <= now)).orderBy("scheduled_at", "id").limit(100_000)
+    ready = tasks.where((F.col("status") == "READY") & (F.col("scheduled_at") <= now)).orderBy("scheduled_at", "id").limit(min(n_slots, 2**31 - 1))
     ready = ready.select("id", "run_id", "task_name", F.row_number().over(Window.orderBy("scheduled_at", "id")).alias("n"))
     return ready.join(slots, "n").select("id", "run_id", "task_name", "worker_id")
 
@@ -152,9 +154,10 @@ def lost_announcements(tasks: DataFrame, runs: DataFrame, lost: DataFrame) -> Da
     return held.join(open_, "run_id").groupBy("run_id", "worker_id").agg(F.count("*").alias("leases_released"))
 
 
-def due_retries(tasks: DataFrame, now: Column, limit: int = 100) -> DataFrame:
+def due_retries(tasks: DataFrame, now: Column, limit: int | None = 100) -> DataFrame:
     due = tasks.where((F.col("status") == "RETRYING") & (F.col("scheduled_at") <= now))
-    return due.orderBy("scheduled_at", "id").limit(limit).select("id", "run_id", "task_name", "attempt", F.lit("READY").alias("status"))
+    due = due if limit is None else due.orderBy("scheduled_at", "id").limit(limit)
+    return due.select("id", "run_id", "task_name", "attempt", F.lit("READY").alias("status"))
 
 
 def renew(tasks: DataFrame, asked: DataFrame, now: Column, lease_ms: int = V.LEASE_MS) -> DataFrame:

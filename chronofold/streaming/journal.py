@@ -72,5 +72,5 @@ def reap(tasks: DataFrame, runs: DataFrame, workers: DataFrame, now) -> dict[str
     released = tasks.join(lost.withColumn("_lost", F.lit(True)), "worker_id", "left").withColumn("lease_expires_at", F.when(F.col("_lost") & F.col("status").isin(*V.TASK_HOLDS), now).otherwise(F.col("lease_expires_at")))
     return {
         "leases": ops.expired_leases(released.drop("_lost"), runs, now, limit=None), "workers": changes,
-        "announced": ops.lost_announcements(tasks, runs, changes.where("new_status = 'LOST'")), "retries": ops.due_retries(tasks, now, limit=1_000_000),
+        "announced": ops.lost_announcements(tasks, runs, changes.where("new_status = 'LOST'")), "retries": ops.due_retries(tasks, now, limit=None),
     }

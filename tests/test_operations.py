@@ -180,3 +180,12 @@ def test_shared_dir_prefers_the_session(spark):
 def test_queries_have_names_and_stable_schemas(spark):
     assert len(__spark_entry__.queries()) > 100 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["run_id", "recovery_ms"]
+
+
+def test_assign_fills_more_than_100_000_slots(spark):
+    n, now = 100_003, F.lit("2026-01-02").cast("timestamp")
+    tasks = spark.range(n + 5).select("id", F.col("id").alias("run_id"), F.lit("t").alias("task_name"), F.lit("READY").alias("status"), F.lit("2026-01-01").cast("timestamp").alias("scheduled_at"))
+    workers = spark.createDataFrame([(1, "HEALTHY", n, 1), (2, "HEALTHY", 3, 2), (3, "LOST", 9, 0), (4, "HEALTHY", 2, 2)], "id long, status string, capacity long, active_tasks long")
+    got = ops.assign(tasks, workers, now)
+    assert got.agg(F.count("*"), F.max("id")).first() == (n, n - 1)
+    assert ops.assign(tasks, workers.where("id > 2"), now).count() == 0
