@@ -52,8 +52,11 @@ def summary_web(payload: Column, keys: Sequence[str] = V.SUMMARY_KEYS_WEB) -> Co
 
 
 def truncate_error(s: Column, limit: int = 2048) -> Column:
-    """Texts over limit bytes are cut to that many bytes, with a mark."""
-    cut = F.decode(F.substring(F.encode(s, "UTF-8"), 1, limit), "UTF-8")
+    """Texts over limit bytes are cut to that many bytes, or to the last whole character before, with a mark."""
+    data = s.cast("binary")
+    inside = lambda at: F.hex(F.substring(data, at + 1, 1)).between("80", "BF")  # noqa: E731  byte at + 1 goes on with a character
+    length = F.when(~inside(limit), limit).when(~inside(limit - 1), limit - 1).when(~inside(limit - 2), limit - 2).otherwise(limit - 3)
+    cut = F.substring(data, F.lit(1), length).cast("string")
     return F.when(F.octet_length(s) > limit, F.concat(cut, F.lit("... (truncated)"))).otherwise(s)
 
 

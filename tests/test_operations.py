@@ -189,3 +189,12 @@ def test_assign_fills_more_than_100_000_slots(spark):
     got = ops.assign(tasks, workers, now)
     assert got.agg(F.count("*"), F.max("id")).first() == (n, n - 1)
     assert ops.assign(tasks, workers.where("id > 2"), now).count() == 0
+
+
+def test_truncate_error_cuts_before_a_character(spark):
+    words = ["é" * 1500, "x" + "é" * 1500, "日" * 900, "x日" + "日" * 900, "😀" * 600, "x" + "😀" * 600, "xy" + "😀" * 600, "xyz" + "😀" * 600, "a" * 2048, "a" * 2049, "é" * 1024, ""]
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = [w for w in words + docs if w is not None]
+    want = [w if len(w.encode()) <= 2048 else w.encode()[:2048].decode(errors="ignore") + "... (truncated)" for w in rows]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, s string").select("i", text.truncate_error(F.col("s")).alias("t")).collect()
+    assert [r.t for r in sorted(got)] == want
