@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from . import shared
 
+#: Classifiers are fitted on labelled texts of at most this many characters; every text is scored, and counted, whole.
+FIT_CHARS = 1 << 16
 #: Code units hashed at once; longer texts are taken in overlapping stretches, so memory stays bounded.
 STRETCH = 1 << 20
 
@@ -44,10 +46,11 @@ def weighted(counts, idf):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def idf_of(counts):
+def idf_of(seen, n: int):
+    """Inverse document frequencies from the number of texts that have each cell, of n texts."""
     import numpy as np
 
-    return (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    return (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
 
 
 def score_whole(docs: DataFrame, columns: dict, extra: str, block, *, text: str = "text", rows: int = 64) -> DataFrame:
@@ -66,7 +69,7 @@ def score_whole(docs: DataFrame, columns: dict, extra: str, block, *, text: str
                 got = made(some.column(n).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns[:n], *map(pa.array, got)], names=names)
 
-    return docs.select(*[c.alias(name) for name, c in columns.items()], docs[text].cast("string").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*[c.alias(name) for name, c in columns.items()], docs[text].cast("string").alias("_t")).mapInArrow(shared.lean(run), schema)
 
 
 def where_text(docs: DataFrame, test, *, text: str = "text", rows: int = 64) -> DataFrame:
@@ -79,6 +82,7 @@ def where_text(docs: DataFrame, test, *, text: str = "text", rows: int = 64) ->
         for s in series:
             texts = [None if t is None else t for t in s.tolist()]
             yield pd.Series([bool(x) for k in range(0, len(texts), rows) for x in made(texts[k : k + rows])], dtype=bool)
+        shared.give_back()
 
     return docs.where(passes(docs[text].cast("string")))
 
@@ -89,9 +93,38 @@ def held_out(id_col, parts: int, part: int):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, y, t): at most about per_class documents of each class that are not held out (crc32(doc_id) mod 3 is not
-    1). Null labels are skipped; of several labels of an id the mean decides, a tie for 1."""
+    1), of at most FIT_CHARS characters. Null labels are skipped; of several labels of an id the mean decides, a tie for
+    1; of several texts of an id the one of the least digest is taken."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), 3, 1))
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = shared.written(shared.bounded_sample(known, F.col("doc_id"), per_class, F.col("y")), "labelled")
     rows = docs.select(docs[id_col].cast("long").alias("_id"), shared.text_of(docs, text).alias("t"))
-    return rows.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("doc_id", "y", "t")  # at most 3 * per_class rows
+    found = rows.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).where(F.length("t") <= FIT_CHARS)  # chosen: at most 3 * per_class rows
+    return found.groupBy("doc_id", "y").agg(F.min_by("t", F.md5("t")).alias("t"))
+
+
+def document_frequencies(texts: DataFrame, count, cells: int):
+    """For each cell the number of texts (one string column) that have it, and the number of texts, over all rows. count:
+    text -> counts by cell. Tasks sum for themselves; what moves is a row for each cell and task."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(cells + 1, np.int64), 0
+        for b in batches:
+            for t in b.column(0):
+                seen[:cells] += count(t.as_py()) > 0
+                n += 1
+        seen[cells] = n
+        at = np.flatnonzero(seen)
+        for k in range(0, len(at), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 10_000]), pa.array(seen[at[k : k + 10_000]])], names=["cell", "n"])
+
+    found = texts.mapInArrow(shared.lean(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # cells + 1 rows at most
+    out = np.zeros(cells + 1, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out[:cells], int(out[cells])
+
+
+def training_texts(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """t: the texts of all documents that are not held out."""
+    return docs.where(docs[text].isNotNull() & ~held_out(docs[id_col], 3, 1)).select(docs[text].cast("string").alias("t"))
\ No newline at end of file

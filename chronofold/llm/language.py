@@ -3,6 +3,7 @@ follow-the-regularised-leader with elastic-net penalties, then temperature-calib
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from . import features, shared
 
 ORDERS, BITS = (1, 2, 3), 14
-#: The classifier is fitted on at most 1.5 times this many labelled documents of each language.
-TRAIN_PER_LANGUAGE = 400
+#: The classifier is fitted on at most 1.5 times this many labelled documents of each language, and of all together.
+TRAIN_PER_LANGUAGE, TRAIN_TOTAL = 400, 20_000
 UNKNOWN = "und"
 
 
@@ -75,13 +76,13 @@ def _temperature(logits, y) -> float:
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
     """Fit on a bounded sample of the documents that are not held out (crc32(doc_id as text) mod 3 is not 1) and have a
-    text and a language; the IDF is that sample's. One sampled document in five calibrates. None if there is nothing to
-    learn from."""
+    text and a language; document frequencies are those of all documents that are not held out. One sampled document in
+    five calibrates. None if there is nothing to learn from."""
     import numpy as np
 
     rows = docs.where(docs[lang].isNotNull() & docs[text].isNotNull() & ~features.held_out(docs[id_col], 3, 1))
     rows = rows.select(docs[id_col].cast("long").alias("doc_id"), docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("t"))
-    sample = shared.bounded_sample(rows, F.col("doc_id"), per_language, F.col("lang"))
+    sample = shared.bounded_sample(rows, F.col("doc_id"), per_language, F.col("lang"), TRAIN_TOTAL)
 
     def sparse():
         def block(texts):
@@ -96,10 +97,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
     if not got:
         return None
     langs = sorted({r.lang for r in got})
-    seen = np.zeros(1 << BITS)
-    for r in got:
-        seen[r.cells] += 1
-    idf = (np.log((1 + len(got)) / (1 + seen)) + 1).astype(np.float32)
+    count = functools.partial(features.ngram_counts, orders=ORDERS, bits=BITS)
+    idf = features.idf_of(*features.document_frequencies(features.training_texts(docs, text=text, id_col=id_col), count, 1 << BITS))
     rows, y = [], np.array([langs.index(r.lang) for r in got])
     for r in got:
         cells, x = np.array(r.cells), np.log1p(np.array(r.n)) * idf[r.cells]
@@ -153,7 +152,8 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float, *, text:
 
 
 def identify(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score. An empty table gives no rows; the language column is
-    read in training only."""
+    """One row per row of docs: doc_id, held_out, lang_pred, score. Repeated rows are scored alike, each for itself; a text of
+    any length is scored whole; of languages equally likely the first by code point is given. An empty table gives no
+    rows; the language column is read in training only."""
     model = fit(docs, text=text, lang=lang, id_col=id_col)
     return predict(docs, model, {"doc_id": docs[id_col].cast("long"), "held_out": features.held_out(docs[id_col], 3, 1)}, text=text)

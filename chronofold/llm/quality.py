@@ -70,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_class
     counts, y = np.zeros((len(got), (1 << BITS) + 1), np.float32), np.array([r.y for r in got], np.float32)
     for i, r in enumerate(got):
         counts[i, r.cells] = r.n
-    idf = features.idf_of(counts)
+    idf = features.idf_of(*features.document_frequencies(features.training_texts(docs, text=text, id_col=id_col), term_counts, (1 << BITS) + 1))
     x = vectors_of(counts, idf)
     values, u = np.linalg.eigh((x @ x.T).astype(np.float64))  # of the smaller side: documents x documents
     top = np.argsort(-values)[: min(RANK, len(got))]
@@ -103,6 +103,11 @@ def predict(docs: DataFrame, model: Model | None, columns: dict, *, text: str =
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score (that the label is 1), predicted (1 from a score of 0.5)."""
+    """One row per row of docs: doc_id, held_out, score (that the label is 1), predicted (1 from a score of 0.5).
+
+    Null text counts as empty and scores the labelled share of 1. Repeated rows are scored alike, each for itself; a text
+    of any length is scored whole. Neighbours equally near beyond the last place are taken as numpy's partition has them,
+    the same at every run. Document frequencies are those of all documents that are not held out. An empty table gives no
+    rows; other columns are not read."""
     model = fit(docs, labels, label, text=text, id_col=id_col)
     return predict(docs, model, {"doc_id": docs[id_col].cast("long"), "held_out": features.held_out(docs[id_col], 3, 1)}, text=text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,11 +28,23 @@ def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None)
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._chronofold_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by written() that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._chronofold_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from df's columns in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,6 +53,32 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def give_back() -> None:
+    """Return freed memory of this Python process to the system; between tasks a worker then holds little."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run, every_s: float = 2.0):
+    """run, an Arrow function over batches, that gives freed memory back every few seconds and at its end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            if time.monotonic() - last > every_s:
+                give_back()
+                last = time.monotonic()
+        give_back()
+
+    return wrapped
+
+
 def worker_state() -> dict:
     """What a Python worker keeps from one task to the next."""
     import sys
@@ -56,13 +96,16 @@ def id_crc(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")))
 
 
-def bounded_sample(df: DataFrame, key: Column, per_stratum: int, stratum: Column | None = None) -> DataFrame:
+def bounded_sample(df: DataFrame, key: Column, per_stratum: int, stratum: Column | None = None, total: int | None = None) -> DataFrame:
     """At most per_stratum rows of each stratum, the same ones at every run: rows whose crc32 of the key's digest lies
     under a threshold that is set from the stratum's count, so that no stratum is gathered or sorted whole. A stratum
-    has per_stratum rows on average, never over 1.5 times as many; strata within the bound are kept whole."""
+    has per_stratum rows on average, never over 1.5 times as many; strata within the bound are kept whole. total bounds
+    all strata together: where it is less, each has its share of it, one row at least."""
     spread = 1 << 32
     with_key = df.withColumn("_s", stratum.cast("string") if stratum is not None else F.lit("")).withColumn("_h", F.crc32(F.md5(F.coalesce(key.cast("string"), F.lit("")))))
-    counts = with_key.groupBy("_s").agg(F.count("*").alias("_n"))
+    counts = written(with_key.groupBy("_s").agg(F.count("*").alias("_n")), "strata")
+    if total is not None:
+        per_stratum = max(1, min(per_stratum, total // max(1, counts.count())))
     near = with_key.join(small(counts), with_key["_s"].eqNullSafe(counts["_s"])).where(F.col("_h") < F.lit(float(spread * per_stratum)) / F.col("_n")).drop(counts["_s"])
     order = Window.partitionBy("_s").orderBy("_h", key)
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= int(per_stratum * 1.5)).drop("_s", "_h", "_n", "_r")

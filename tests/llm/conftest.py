@@ -28,6 +28,18 @@ def edge_docs(spark):
     return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
 
 
+#: Names that operators give columns of their own.
+TAKEN = "e_some e_source e_times e_nth e_size n_times n_th n_at n_part o_part pos _id _t _s _h _n _r near_id near_hash text_hash component h t fp mark key number word n k c is_hot is_first nth row first y cell kind body root start at target taken source_size copies".split()
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(edge_docs):
+    """The same rows with columns that clash with operators' own."""
+    from pyspark.sql import functions as F
+
+    return edge_docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(TAKEN) if n not in edge_docs.columns])
+
+
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
