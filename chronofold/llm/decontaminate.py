@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from . import features, shared
 
 EDIT_RATE = 0.08
-#: Items below this length carry no evidence and are left out.
-MIN_CHARS = 32
+#: Items below this many characters must occur as they are and as whole words.
+MIN_EDIT_CHARS = 32
 #: Characters of normalised items in one automaton; more items take more passes over the documents.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def normalise(text: str) -> str:
@@ -38,7 +38,7 @@ class Item:
         masks: dict[str, int] = {}
         for i, c in enumerate(text):
             masks[c] = masks.get(c, 0) | 1 << i
-        return cls(item_id, text, int(len(text) * rate), masks)
+        return cls(item_id, text, int(len(text) * rate) if len(text) >= MIN_EDIT_CHARS else 0, masks)
 
     def pieces(self) -> list[tuple[int, str]]:
         """budget + 1 pieces of near equal length, with their offsets."""
@@ -70,10 +70,15 @@ def best_match(item: Item, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _joins(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word, in scripts that part words by spaces."""
+    return a.isalnum() and b.isalnum() and a < "\u2e80" and b < "\u2e80"
+
+
 class Matcher:
     """Finds the near occurrences of a block of items."""
 
-    def __init__(self, rows: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], rate: float) -> None:
         import ahocorasick
 
         self.items = [Item.of(i, t, rate) for i, t in rows]
@@ -86,13 +91,17 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), owner))
         self.automaton.make_automaton()
 
-    def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, least distance, end in the normalised text) of each item within its budget, by item_id."""
+    def search(self, text: str) -> list[tuple[int | None, int, int]]:
+        """(item_id, least distance, end in the normalised text) of each item within its budget, by item_id (null last)."""
         places: dict[int, list[int]] = {}
+        found: dict[int | None, tuple[int, int]] = {}
         for last, (length, owner) in self.automaton.iter(text):
             for k, offset in owner:
-                places.setdefault(k, []).append(last + 1 - length - offset)
-        found: dict[int, tuple[int, int]] = {}
+                item = self.items[k]
+                if len(item.text) >= MIN_EDIT_CHARS:
+                    places.setdefault(k, []).append(last + 1 - length - offset)
+                elif not (last + 1 < len(text) and _joins(text[last], text[last + 1])) and not (last >= length and _joins(text[last - length], text[last - length + 1])):
+                    found[item.item_id] = min((0, last + 1), found.get(item.item_id, (0, last + 1)))
         for k, starts in places.items():
             item = self.items[k]
             starts = sorted(set(starts))
@@ -106,16 +115,16 @@ class Matcher:
                 if distance <= item.budget:
                     found[item.item_id] = min((distance, a + end), found.get(item.item_id, (distance, a + end)))
                 at = stop + 1
-        return sorted((i, d, e) for i, (d, e) in found.items())
+        return sorted(((i, d, e) for i, (d, e) in found.items()), key=lambda x: (x[0] is None, x[0] or 0))
 
 
 def _blocks(benchmark: DataFrame, text: str, item_id: str) -> Iterator[list[tuple[int, str]]]:
     """The normalised items in blocks of bounded size, in id order; the driver holds one block at a time."""
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
     block, size = [], 0
     for i, t in rows.orderBy("i", "t").toLocalIterator():
         n = normalise(t)
-        if len(n) < MIN_CHARS:
+        if not n:
             continue
         if block and size + len(n) > BLOCK_CHARS:
             yield block
@@ -130,9 +139,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RA
     """A row for each document and test item that occurs in it within the item's edit budget: doc_id, item_id, distance
     (least over the document), end (where that occurrence ends in the normalised text), contaminated (true).
 
-    Documents and items are compared in lower case with white space collapsed. Null and empty texts match nothing; items
-    that are null, have no id, or have under MIN_CHARS characters are left out; items equal in id give one row with the
-    best of them; repeated documents give rows of their own. Documents are read once for each block of items."""
+    Documents and items are compared in lower case with white space collapsed. Null and empty texts match nothing. Items
+    of under MIN_EDIT_CHARS characters have budget 0 and must stand as whole words. Items equal in id, null included, give
+    one row with the best of them; repeated documents give rows of their own. Documents are read once for each block of
+    items."""
 
     def scan(rows):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +161,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RA
     schema = "doc_id long, item_id long, distance int, end long"
     out = docs.sparkSession.createDataFrame([], schema)
     for k, rows in enumerate(_blocks(benchmark, text, item_id)):
-        hits = shared.written(read.mapInArrow(scan(rows), schema), "contaminated")
+        hits = shared.written(read.mapInArrow(shared.lean(scan(rows)), schema), "contaminated")
         out = hits if not k else out.unionByName(hits)
     return out.withColumn("contaminated", F.lit(True))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The rows of docs, as they are, in which no test item occurs."""
+    """The rows of docs, as they are, in which no test item occurs: by what contaminated() finds, repeated rows and null
+    ids included. An empty table, or a benchmark without items, changes nothing."""
 
     def clean(rows):
         def test():

@@ -3,11 +3,12 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from chronofold.llm import decontaminate, language_model, shared, simhash
+from chronofold.llm import decontaminate, language_model, shared
 
 from .conftest import SCHEMA, edge_rows
 
@@ -35,7 +36,9 @@ def test_myers(p, t):
 @settings(max_examples=150, deadline=None)
 def test_matcher_loses_nothing(items, text):
     rows = list(enumerate(items))
-    found = {(i, d) for i, d, _ in decontaminate.Matcher(rows, 0.2).search(text)} if rows else set()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontaminate, "MIN_EDIT_CHARS", 1)
+        found = {(i, d) for i, d, _ in decontaminate.Matcher(rows, 0.2).search(text)} if rows else set()
     assert found == {(i, distance(t, text)) for i, t in rows if distance(t, text) <= int(len(t) * 0.2)}
 
 
@@ -43,9 +46,10 @@ def test_planted_passages(spark, edge_docs, no_docs):
     item = "The quick brown fox jumps over the lazy dog while seven wizards brew a potion, twice."
     docs = [(1, f"intro {item} end"), (2, "x " + item.upper().replace(" ", "\n ") + " y"), (3, f"a {item.replace('brown', 'browm').replace('lazy ', 'lzy ')} b"), (4, item[:40]), (5, None), (6, ""), (None, item), (7, "nothing of it " * 500)]
     table = spark.createDataFrame([(*d, "en", "s", 1, 1, 0.0, "", 1, 1) for d in docs], SCHEMA)
-    benchmark = spark.createDataFrame([(9, item), (10, None), (None, item), (11, "short"), (9, item)], "item_id long, text string")
+    benchmark = spark.createDataFrame([(9, item), (10, None), (None, item), (11, "short"), (9, item), (12, " "), (13, "Intro the"), (14, "ro the q")], "item_id long, text string")
     got = decontaminate.contaminated(table, benchmark).collect()
-    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {(1, 9, 0), (2, 9, 0), (3, 9, 2), (None, 9, 0)}
+    each = {(1, 0), (2, 0), (3, 2), (None, 0)}
+    assert collections.Counter((r.doc_id, r.item_id, r.distance) for r in got) == collections.Counter([(d, i, x) for d, x in each for i in (9, None)] + [(1, 13, 0)])
     assert sorted(r.doc_id for r in decontaminate.decontaminate(table, benchmark).collect()) == [4, 5, 6, 7]
     assert decontaminate.contaminated(no_docs, benchmark).count() == 0
     assert decontaminate.decontaminate(edge_docs, benchmark.limit(0)).count() == edge_docs.count()
@@ -79,14 +83,61 @@ def test_language_model(spark, edge_docs, no_docs, monkeypatch):
     assert language_model.score(no_docs).count() == 0
 
 
-def test_network_is_normalised_and_learns():
-    k = language_model.CLASSES
-    rng = np.random.default_rng(0)
-    a, b = rng.integers(0, k, 400), rng.integers(0, k, 400)
-    cells = np.unique((a * k + b) * k + b)  # the outcome is the class before
-    table = language_model.train(cells, np.full(len(cells), 50)).table.astype(np.float64)
-    assert np.allclose((10**table).sum(axis=2), 1, atol=1e-4)
-    assert np.mean(table.ravel()[cells]) > math.log10(3 / k)
+def walk(model, far, near, y, n_outcomes):
+    """log10 probability of y, by plain loops."""
+    size, vec_near, vec_far, of_class, of_word, class_bias, word_bias = model
+    q = [float(a) + float(b) for a, b in zip(vec_near[near], vec_far[far])]
+    dot = lambda v: sum(a * float(b) for a, b in zip(q, v))
+    c = y // size
+    classes = [dot(of_class[i]) + float(class_bias[i]) for i in range(len(of_class))]
+    words = [dot(of_word[i]) + float(word_bias[i]) for i in range(c * size, min((c + 1) * size, n_outcomes))]
+    total = lambda z: math.log(sum(map(math.exp, z)))
+    return (classes[c] - total(classes) + words[y - c * size] - total(words)) / math.log(10)
+
+
+def test_model_is_normalised_and_learns(monkeypatch):
+    monkeypatch.setattr(language_model, "PASSES", 60)
+    monkeypatch.setattr(language_model, "BLOCK", 100)
+    k, rng = 57, np.random.default_rng(0)
+    far, near = rng.integers(0, k, 6000), rng.integers(0, k, 6000)
+    model = language_model.train(np.bincount(near, minlength=k), far, near, near).arrays()  # the outcome is the one before
+    each = language_model.log_probabilities(model, np.repeat(far[:5], k), np.repeat(near[:5], k), np.tile(np.arange(k), 5))
+    assert np.allclose((10 ** each.reshape(5, k)).sum(axis=1), 1, atol=1e-4)
+    assert np.allclose(each[:60], [walk(model, far[i // k], near[i // k], i % k, k) for i in range(60)], atol=1e-4)
+    assert np.mean(language_model.log_probabilities(model, far, near, near)) > math.log10(10 / k)
+
+
+def test_scores_are_a_naive_walk(edge_docs, monkeypatch):
+    monkeypatch.setattr(language_model, "VOCABULARY", 300)
+    monkeypatch.setattr(language_model, "TOKENS", 5000)
+    models, train = [], language_model.train
+    monkeypatch.setattr(language_model, "train", lambda *a: models.append((a[0], train(*a))) or models[-1][1])
+    got = {(r.doc_id, round(r.base_score, 6)): r.score for r in language_model.score(edge_docs).collect()}
+    rows = [(r[0], (r[1] or "").encode().lower().split()) for r in edge_rows()]
+    held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
+    count = collections.Counter(w for i, ws in rows if not held(i) for w in ws)
+    docs = sum(not held(i) for i, _ in rows)
+    n, v = sum(count.values()) + docs, len(count) + 1
+    top = sorted((w for w in count if count[w] >= language_model.MIN_COUNT), key=lambda w: (-count[w], w))[: int(language_model.ROOT * n**0.5)]
+    number = {w: language_model.RARE + 1 + i for i, w in enumerate(top)}
+    rare = lambda w: zlib.crc32(w[:2]) % language_model.RARE + 1
+    mass = collections.Counter({i: 1 for i in range(1, language_model.RARE + 1)})
+    for w in count:
+        if w not in number:
+            mass[rare(w)] += count[w] + 1
+    (counts, model), seen = models[0], 0
+    assert len(models) == 1 and counts[0] == docs and counts.sum() == n and len(number) > 50
+    for i, ws in rows:
+        if not 0 < len(ws) < 100:
+            continue
+        outcomes = [number.get(w) or rare(w) for w in ws] + [0]
+        want = sum(math.log10((count[w] + 1) / mass[rare(w)]) for w in ws if w not in number)
+        want += sum(walk(model.arrays(), a, b, y, len(counts)) for a, b, y in zip([0, 0, *outcomes], [0, *outcomes], outcomes))
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws) + math.log10((docs + 1) / (n + v + 1))
+        assert abs(got[i, round(base, 6)] - want) < 1e-3
+        seen += 1
+        if seen == 40:
+            break
 
 
 def test_pipeline_stages(spark):
@@ -102,8 +153,21 @@ def test_pipeline_stages(spark):
     assert all(b <= a for a, b in zip(ids, ids[1:]))
     letters = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
     assert ids[1] <= letters and len(ids[1]) > 0.97 * len(letters)
-    comp = {r.doc_id: r.component_id for r in simhash.near_dedup(seen[1]).collect()}
-    assert ids[2] == set(comp.values())
+    found = collections.defaultdict(list)
+    for r in seen[1].collect():
+        w = (r.text or "").encode().lower().split()
+        found[frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))].append(r.doc_id)
+    sets, left = list(found), {}
+    for i, s in enumerate(sets):  # by all pairs
+        left[i] = i
+        for j in range(i):
+            if 4 * max(len(s), len(sets[j])) <= 5 * min(len(s), len(sets[j])) and 5 * len(s & sets[j]) >= 4 * len(s | sets[j]):
+                a, b = sorted((left[i], left[j]))
+                left = {x: a if y == b else y for x, y in left.items()}
+    groups = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        groups[left[i]] += found[s]
+    assert ids[2] == {min(g) for g in groups.values()}
     items = [decontaminate.normalise(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaked = {r.doc_id for r in seen[2].collect() if any(i in decontaminate.normalise(r.text or "") for i in items)}
     assert leaked and not leaked & ids[3] and len(ids[3]) >= len(ids[2]) - len(leaked) - 2
