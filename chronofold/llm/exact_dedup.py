@@ -5,10 +5,11 @@ characters, then a 64-bit hash of the whole), sorted externally within each part
 neighbours in the sort (the window's group boundary is equality of the whole text). Bounded splitter keys keep the
 splitter sample small however long texts are.
 
-A text whose copies are more than a partition's share would land in one task. Its rows are found first by counts of the
-64-bit hash (map-side combined, a few bytes a row), and take a salt into sort key and group: each salted group is
-compared and summed alone, and the salted groups of a text, at most SALTS of each, are then merged. The number of such
-hashes is bounded by HOT_PER_PARTITION times the number of shuffle partitions, whatever the data.
+A text whose copies together hold more than a partition's share of the bytes (a row counts ROW_BYTES besides its text)
+would land in one task. Such texts are found first by sums over the 64-bit hash (map-side combined, a few bytes a row),
+and their rows take a salt into sort key and group: each salted group is compared and summed alone, and the salted groups
+of a text, at most SALTS of each, are then merged. The number of such hashes is bounded by HOT_PER_PARTITION times the
+number of shuffle partitions, whatever the data.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from . import shared
 
 SALTS = 64
 HOT_PER_PARTITION = 8
+ROW_BYTES, HOT_BYTES = 64, 4096
 HEAD_CHARS = 24
 
 
@@ -37,10 +39,11 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     spark = docs.sparkSession
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.groupBy("h").agg(F.count("*").alias("n"))
-    counts = shared.written(counts.where("n > 1"), "dedup-counts")
-    total = max(docs.count(), 1)
-    hot = F.broadcast(counts.where(F.col("n") > max(16, total // (HOT_PER_PARTITION * parts))).select(F.col("h").alias("hot_h")))
+    counts = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.octet_length("t").cast("long") + ROW_BYTES).alias("bytes"))
+    counts = shared.written(counts, "dedup-counts")
+    total = max(counts.agg(F.sum("bytes")).first()[0] or 0, 1)
+    # At most HOT_PER_PARTITION * parts texts can hold such a share of all bytes, so these can be broadcast.
+    hot = F.broadcast(counts.where((F.col("n") > 1) & (F.col("bytes") > max(HOT_BYTES, total // (HOT_PER_PARTITION * parts)))).select(F.col("h").alias("hot_h")))
 
     salted = (
         rows.join(hot, F.col("h") == F.col("hot_h"), "left")

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame operations only.
 
-Every document has a fixed 60-bit key (digits of the md5 of its id). Sizes are summed by source and key bucket (8 bits
+Every document has a fixed 56-bit key (digits of the md5 of its id). Sizes are summed by source and key bucket (8 bits
 at a time, combined map-side); the bucket where a source's running sum passes its budget is the boundary, and only its
 documents are summed again by the next 8 bits, until a boundary holds one document or the key ends. What stays is a
 key threshold a source, and the mix is a filter: nothing is sorted. Larger budgets give larger thresholds, so mixes
@@ -9,7 +9,9 @@ nest. Documents are read once; the rounds read (doc_id, source, size, key).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -27,19 +29,34 @@ def targets(by_source: DataFrame, weights: tuple[int, ...], share: float, cap: i
     excess reshared by weight. A source is at its cap if cap/weight is below the common level; taking sources by
     cap/weight, the level after k capped ones is (budget - caps) / (other weights), and the first source whose
     cap/weight reaches its level ends the capped ones."""
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rank = Window.orderBy(F.asc_nulls_last("source"))
-    s = by_source.withColumn("rank", F.row_number().over(rank))
-    s = s.withColumn("w", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long"))
-    s = s.withColumn("cap", F.col("source_size") * cap).withColumn("all_size", F.sum("source_size").over(everything)).withColumn("all_w", F.sum("w").over(everything))
-    s = s.withColumn("budget", F.floor(F.col("all_size") * F.lit(float(share))).cast("long"))
-    order = Window.orderBy((F.col("cap") / F.col("w")).asc(), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("room", F.col("budget") - F.coalesce(F.sum("cap").over(order), F.lit(0))).withColumn("rest_w", F.col("all_w") - F.coalesce(F.sum("w").over(order), F.lit(0)))
-    level = F.when(F.col("cap") * F.col("rest_w") >= F.col("w") * F.col("room"), F.col("room") / F.col("rest_w"))
-    s = s.withColumn("at", F.row_number().over(Window.orderBy((F.col("cap") / F.col("w")).asc(), "rank"))).withColumn("level", level)
-    s = s.withColumn("level", F.min_by("level", F.when(F.col("level").isNotNull(), F.col("at"))).over(everything))
-    full = F.col("level").isNull() | (F.col("cap") <= F.col("w") * F.col("level"))
-    return s.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(F.col("w") * F.col("level")).alias("target"))
+    s = numbered(by_source, [F.asc_nulls_last("source")], {}, "mix-sources")
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.col("pos") % len(weights) + 1).cast("int")).cast("long")
+    s = s.select("source", "source_size", F.col("pos").alias("rank"), w.alias("w"), (F.col("source_size") * cap).alias("cap"))
+    s = numbered(s, [F.col("cap") / F.col("w"), F.col("rank")], {"cap": "caps", "w": "ws"}, "mix-caps")
+    all_size, all_w = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    budget = math.floor(all_size * float(share))
+    s = s.withColumn("room", F.lit(budget).cast("long") - F.col("caps")).withColumn("rest_w", F.lit(all_w).cast("long") - F.col("ws"))
+    reached = F.col("cap") * F.col("rest_w") >= F.col("w") * F.col("room")
+    level = s.where(reached).agg(F.min_by(F.col("room") / F.col("rest_w"), "pos")).first()[0]
+    full = F.lit(True) if level is None else F.col("cap") <= F.col("w") * F.lit(level)
+    target = F.col("cap").cast("double") if level is None else F.when(full, F.col("cap").cast("double")).otherwise(F.col("w") * F.lit(level))
+    return s.select("source", "source_size", target.alias("target"))
+
+
+def numbered(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """df with pos (rows before in the order) and, for each column of sums, the sum over the rows before under its name.
+    Ranges of the order are sorted and summed each for itself; their totals, a row a range, give each its offset."""
+    at, part = shared.unused(df, "n_at", "n_part")
+    t = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    t = shared.written(t.withColumn(part, F.shiftright(at, 33)), name)
+    inner = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("o_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = t.groupBy(F.col(part).alias("o_part")).agg(F.count("*").alias("o_pos"), *[F.sum(c).alias(f"o_{new}") for c, new in sums.items()])
+    offsets = totals.select("o_part", *[F.coalesce(F.sum(f"o_{c}").over(before), F.lit(0)).alias(f"o_{c}") for c in ("pos", *sums.values())])
+    offsets = shared.written(offsets, name + "-offsets")
+    own = {"pos": F.count(F.lit(1)).over(inner)} | {new: F.coalesce(F.sum(c).over(inner), F.lit(0)) for c, new in sums.items()}
+    run = t.withColumns(own).join(shared.small(offsets), F.col(part) == F.col("o_part"))
+    return run.select(*df.columns, *[(F.col(c) + F.col(f"o_{c}")).cast("long").alias(c) for c in own])
 
 
 def _key(docs: DataFrame, text: str, id_col: str):
@@ -48,11 +65,12 @@ def _key(docs: DataFrame, text: str, id_col: str):
     return F.conv(F.substring(F.md5(own), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def _copies(docs_source, key, edges: DataFrame, bits: int):
+def _copies(docs_source: Column, key: Column, edges: DataFrame, bits: int) -> tuple[Column, Column]:
     """The join condition with the edges, and how often the mix takes a row."""
+    source, _, _, copies, prefix, whole, some = (F.col(c) for c in edges.columns)
     p = _shift_right(key, bits)
-    once_more = F.col("e_some") & ((p < F.col("e_prefix")) | ((p == F.col("e_prefix")) & F.col("e_whole")))
-    return docs_source.eqNullSafe(F.col("e_source")), F.col("e_copies") + once_more.cast("long")
+    once_more = some & ((p < prefix) | ((p == prefix) & whole))
+    return docs_source.eqNullSafe(source), copies + once_more.cast("long")
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
@@ -60,10 +78,12 @@ def take(docs: DataFrame, **options) -> DataFrame:
     and stay once. Options as for mix()."""
     text, id_col, source = (options.get(k, d) for k, d in (("text", "text"), ("id_col", "doc_id"), ("source", "source")))
     _, edges, bits = _edges(docs, **options)
+    n_times, n_th, *names = shared.unused(docs, "n_times", "n_th", *edges.columns)
+    edges = edges.toDF(*names)
     on, times = _copies(docs[source].cast("string"), _key(docs, text, id_col), edges, bits)
     times = F.when(shared.text_of(docs, text).rlike(WORD), times).otherwise(1)
-    joined = docs.join(edges, on).withColumn("e_times", times).where("e_times > 0")
-    return joined.withColumn("e_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("e_times")))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(shared.small(edges), on).withColumn(n_times, times).where(F.col(n_times) > 0)
+    return joined.withColumn(n_th, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_times)))).select(*[docs[c] for c in docs.columns])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -76,7 +96,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     by the text; rows equal in id share a key and are taken alike. An empty table gives no rows."""
     sized, edges, bits = _edges(docs, **options)
     on, times = _copies(sized["source"], F.col("key"), edges, bits)
-    return sized.join(edges, on).select("doc_id", "size", "source", F.col("e_size").alias("source_size"), F.col("e_target").alias("target"), (F.col("size") * times).alias("taken"))
+    return sized.join(shared.small(edges), on).select("doc_id", "size", "source", F.col("e_size").alias("source_size"), F.col("e_target").alias("target"), (F.col("size") * times).alias("taken"))
 
 
 def _edges(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: int = 3, text: str = "text", id_col: str = "doc_id", source: str = "source") -> tuple[DataFrame, DataFrame, int]:
@@ -111,7 +131,7 @@ def _edges(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: floa
         F.col("source").alias("e_source"), F.col("source_size").alias("e_size"), F.col("target").alias("e_target"), F.col("copies").alias("e_copies"),
         F.col("prefix").alias("e_prefix"), whole.alias("e_whole"), (F.col("rest") > 0).alias("e_some"),
     )
-    return sized, shared.small(edges), bits
+    return sized, edges, bits
 
 
 ORACLE = r"""

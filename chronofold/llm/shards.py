@@ -3,6 +3,7 @@
 The text is read once, for its size and checksum. The narrow rows are range-partitioned and sorted by id, each
 partition is summed for itself, the partitions' totals give each partition its offset, and the row whose middle byte
 lies in the k-th of n equal stretches goes to shard k. A shard's bytes differ from the target by one document at most.
+Each row names its group, the hash of its text; groups of equal texts lie where their ids do.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ OVERHEAD = 16
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40, *, text: str = "text", id_col: str = "doc_id", overhead: int = OVERHEAD) -> DataFrame:
-    """One row per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null under this law).
+    """One row per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null under this law),
+    text_group (XXH64 of the text as a signed long: equal texts have the same).
 
     size: UTF-8 bytes of the text (null: none) plus overhead, so empty documents spread too. slot counts from 0 without
     gaps in each shard, in order of doc_id (null ids first, then by checksum and size). Equal texts are not kept
     together: a group of copies can be larger than a shard. An empty table gives no rows."""
     t = shared.text_of(docs, text)
-    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), (F.octet_length(t) + overhead).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"))
+    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), (F.octet_length(t) + overhead).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"), F.xxhash64(t).alias("text_group"))
     sized = shared.written(sized, "shard-sizes")
     summed = shared.with_prefix_sums(sized, ["doc_id", "text_crc32", "size"], "size", "shard-order")
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     placed = summed.withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"cast((start * 2 + size) * {n_shards} div {max(2 * total, 1)} as int)")))
     firsts = placed.groupBy("shard").agg(F.min("pos").alias("first_pos"))  # n_shards rows
     out = placed.join(F.broadcast(firsts), "shard")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("pos") - F.col("first_pos")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("pos") - F.col("first_pos")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "text_group")

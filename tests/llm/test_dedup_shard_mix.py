@@ -54,6 +54,7 @@ def test_shards_are_contiguous_and_balanced(edge_docs, no_docs):
         assert r.slot == i - first.setdefault(r.shard, i)
         start += r.size
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    assert len({r.text_group for r in got}) == len({r[1] or "" for r in edge_rows()}) == len({(r.text_group, r.text_crc32) for r in got})
     assert shards.shard_by_bytes(no_docs).count() == 0
 
 
@@ -78,3 +79,45 @@ def test_mix_meets_targets_and_repeats_rows(edge_docs, no_docs):
     assert out.columns == edge_docs.columns
     assert sum(words(r.text) for r in out.collect()) == sum(r.taken for r in rows)
     assert mixing.mix(no_docs).count() == 0 and mixing.take(no_docs).count() == 0
+
+
+def test_other_columns_do_not_matter(edge_docs, clashing_docs):
+    rows = lambda df: sorted(map(str, df.collect()))
+    out = mixing.take(clashing_docs)
+    assert out.columns == clashing_docs.columns
+    assert rows(out.select(edge_docs.columns)) == rows(mixing.take(edge_docs))
+    assert rows(mixing.mix(clashing_docs)) == rows(mixing.mix(edge_docs))
+    assert rows(exact_dedup.exact_dedup(clashing_docs)) == rows(exact_dedup.exact_dedup(edge_docs))
+    assert rows(shards.shard_by_bytes(clashing_docs, 5)) == rows(shards.shard_by_bytes(edge_docs, 5))
+
+
+def test_targets_of_many_sources(spark):
+    """Water-filling by rounds: sources over their cap are set to it, and the rest is shared again."""
+    rows = [(f"s{i:03}" if i else None, i * i % 37 + (i == 5) * 4000) for i in range(200)]
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(order)}
+    total, want, free = sum(n for _, n in rows), {}, dict(rows)
+    while True:
+        room, w = total - sum(want.values()), sum(weight[s] for s in free)
+        over = {s: 3 * n for s, n in free.items() if room * weight[s] >= 3 * n * w}
+        if not over:
+            break
+        want |= over
+        free = {s: n for s, n in free.items() if s not in over}
+    want |= {s: room * weight[s] / w for s in free}
+    got = mixing.targets(spark.createDataFrame(rows, "source string, source_size long").repartition(7), (5, 2, 1), 1.0, 3).collect()
+    assert len(got) == len(rows) and all(abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
+def test_few_large_copies_are_split(spark):
+    rows = [(i, "x" * 20_000 if i % 50 == 0 else f"text {i}", "en", "s", 1, 1, 0.0, "", 1, 1) for i in range(600)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, 550 if i % 50 == 0 else i, 12 if i % 50 == 0 else 1, i == 550 or i % 50 > 0) for i in range(600)}
+
+
+def test_oracle_of_exact_dedup(spark):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({exact_dedup.ORACLE})").fetchall())
+    assert sorted(tuple(r) for r in exact_dedup.exact_dedup(spark.read.parquet(f"{sf}/documents.parquet")).select(columns).collect()) == want
