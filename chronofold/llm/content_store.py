@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +28,9 @@ from . import shared
 
 MIN_IDS, CUT_BITS, MAX_IDS = 64, 7, 1024
 KEY = 16
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+#: A Latin letter, then closing ASCII marks and the end of a piece.
+CLOSING = "([A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}])([!-/:-@\\[-`{-~]+)(\\x00|\\z)"
 
 
 def digest(data: bytes) -> bytes:
@@ -54,71 +55,107 @@ def byte_marks() -> dict[int, str]:
 
 class Encoder:
     """Encodes whole texts with a tokenizers file. For a byte-level BPE with the usual word pattern, a word's ids do not
-    depend on its neighbours: such texts are cut at single spaces and newlines, and each distinct piece is encoded by
-    the library once while it stays in a bounded cache. Texts that hold other white space, or an added token's string,
-    go to the library whole. A piece that is one run of letters, closing marks aside, is one unit of the word pattern and
-    goes to the library's model directly."""
+    depend on its neighbours: such texts are cut at single spaces and newlines in Arrow, the distinct pieces of a batch
+    are looked up once, and pieces not met before go to the library together, joined by what they were cut at. Texts that
+    hold other white space, or an added token's string, go to the library whole. Closing ASCII marks after a letter are a
+    unit of the word pattern by themselves, so a word and its marks are looked up apart."""
 
     def __init__(self, tokenizer_json: str) -> None:
+        import numpy as np
         from tokenizers import Tokenizer
 
         spec = json.loads(tokenizer_json)
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.odd = [*self.added, "  ", " \n", "\n ", "\n\n", "\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
-        self.words = Words(self)
-        self.model, self.marks = self.tokenizer.model, byte_marks()
-        self.packed = [int(i).to_bytes(2 if self.dtype == "<u2" else 4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        pre, added = spec.get("pre_tokenizer") or {}, [t["content"] for t in spec.get("added_tokens") or []]
+        by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        self.by_word = bool(by_word) and not any(c.isspace() for t in added for c in t)
+        spaces = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+        self.odd = "|".join([r"\A[ \n]", r"[ \n]\z", "[ \n][ \n]", rf"[\x00{spaces}]", *("".join(f"\\x{{{ord(c):x}}}" for c in t) for t in added if t)])
+        mark, known = byte_marks(), self.tokenizer.get_vocab()
+        self.opens, self.is_line = np.zeros(max(known.values(), default=0) + 1, bool), np.zeros(max(known.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in known.items() if t.startswith(mark[32])]] = True
+        self.is_line[[i for t, i in known.items() if mark[10] in t]] = True
+        self.words, self.met = pa.array([""], pa.large_string()), np.zeros(1, np.int64)  # pieces met, and in which batch last
+        self.ids, self.size, self.batch = np.zeros(0, self.dtype), np.zeros(1, np.int64), 0
 
     def plain(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text."""
         import numpy as np
 
         ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        stop = np.cumsum([0, *map(len, ids)]) * np.dtype(self.dtype).itemsize
-        flat = np.fromiter(itertools.chain.from_iterable(ids), self.dtype).tobytes()
-        return [flat[a:b] for a, b in itertools.pairwise(stop.tolist())]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as packed integers of self.dtype."""
-        pieces: list[list[str] | None] = []
-        for t in texts:
-            split = self.by_word and t and not t[0].isspace() and not t[-1].isspace() and not any(c in t for c in self.odd)
-            pieces.append(t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if split else None)
-        self.words.age()
-        plain = iter(self.plain([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        ids = self.words.__getitem__
-        return [next(plain) if p is None else b"".join(map(ids, p)) for p in pieces]
-
-
-class Words(dict):
-    """The packed ids of pieces, encoded when first met. Two generations of up to CACHE_WORDS pieces are held: a full one
-    becomes the older, and what is still met moves over from it, so frequent words stay."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        self.encoder, self.older = encoder, {}
-
-    def age(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is not None:
-            self[piece] = ids
-            return ids
-        e, stem = self.encoder, piece.rstrip(string.punctuation)
-        if not stem.removeprefix(" ").isalpha():
-            ids = e.plain([piece])[0]
-        elif stem == piece:
-            ids = b"".join([e.packed[t.id] for t in e.model.tokenize(piece.encode().decode("latin-1").translate(e.marks))])
+        return [np.array(x, self.dtype).tobytes() for x in ids]
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text (a list or an Arrow array) as packed integers of self.dtype; null counts as empty."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        col = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(col, self.odd).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(col), bool)
+        plain = iter(self.plain(col.filter(pa.array(whole)).to_pylist()))
+        marked = pc.replace_substring(pc.replace_substring(col.filter(pa.array(~whole)), "\n", "\0\n\0"), " ", "\0 ")
+        pieces = pc.split_pattern(pc.replace_substring_regex(marked, CLOSING, "\\1\0\\2\\3"), "\0")
+        flat = pieces.flatten().dictionary_encode()
+        code = self.look_up(flat.dictionary)[flat.indices.to_numpy()]
+        n = self.size[code]
+        upto = np.cumsum(n)
+        at = np.repeat((np.cumsum(self.size) - self.size)[code] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+        stop = np.r_[0, upto][pieces.offsets.to_numpy() - (pieces.offsets[0].as_py() if len(pieces) else 0)] * self.ids.itemsize
+        packed = self.ids[at].tobytes()
+        cut = (packed[a:b] for a, b in itertools.pairwise(stop.tolist()))
+        return [next(plain) if w else next(cut) for w in whole.tolist()]
+
+    def look_up(self, pieces: pa.Array):
+        """Where distinct pieces are among the words; new ones are learned. Of more than CACHE_WORDS, those that the last
+        two batches had stay, so frequent ones do."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        self.batch += 1
+        if len(self.words) > CACHE_WORDS:
+            keep = self.met >= self.batch - 2
+            self.ids = self.ids[np.repeat(keep, self.size)]
+            self.words, self.met, self.size = self.words.filter(pa.array(keep)), self.met[keep], self.size[keep]
+        at = pc.index_in(pieces, self.words)
+        new = pieces.filter(at.is_null())
+        line, spaced = pc.equal(new, "\n"), pc.starts_with(new, " ")
+        for some, before, first in ((new.filter(spaced), "", self.opens), (new.filter(pc.invert(pc.or_(spaced, line))), "\n", self.is_line), (new.filter(line), None, None)):
+            for k in range(0, len(some), 50_000):
+                self.learn(some.slice(k, 50_000), before, first)
+        at = pc.index_in(pieces, self.words).to_numpy() if len(new) else at.to_numpy()
+        self.met[at] = self.batch
+        return at
+
+    def learn(self, pieces: pa.Array, before: str | None, first) -> None:
+        """Encode many pieces in one text: a piece begins at each id of `first`, which is its own or the newline before."""
+        import numpy as np
+
+        if before is not None:
+            text = before + before.join(pieces.to_pylist())
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            begin = np.flatnonzero(first[ids])
+        if before is None or len(begin) != len(pieces):  # not the word pattern that this takes it for
+            each = self.plain(pieces.to_pylist())
+            ids, size = np.frombuffer(b"".join(each), self.dtype), np.array([len(x) for x in each]) // self.ids.itemsize
         else:
-            ids = self[stem] + self[piece[len(stem) :]]
-        self[piece] = ids
-        return ids
+            size = np.diff(np.r_[begin, len(ids)]) - len(before)
+            ids = ids[~first[ids]] if before else ids
+        self.words = pa.concat_arrays([self.words, pieces])
+        self.ids, self.size, self.met = np.r_[self.ids, ids].astype(self.dtype), np.r_[self.size, size], np.r_[self.met, np.full(len(size), self.batch)]
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `size` bytes in a text column, or one row that is longer."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def cut_points(ids) -> list[int]:
@@ -166,10 +203,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, *,
         encoder, part, row, seen = state["encoder"], TaskContext.get().partitionId(), 0, set()
         end, width = np.array([end_id], encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize
         for b in batches:
-            for k in range(0, b.num_rows, 128):
+            for some in slices(b, 1):
                 out: list = [[], [], [], [], [], []]
-                some = b.slice(k, 128)
-                for doc_id, packed in zip(some.column(0).to_pylist(), encoder.encode([x or "" for x in some.column(1).to_pylist()]), strict=True):
+                for doc_id, packed in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     packed += end
                     recipe, keys, last = [], [], 0
                     for stop in cut_points(np.frombuffer(packed, encoder.dtype)):
@@ -189,7 +225,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, *,
                         seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "key", "doc_id", "n_tokens", "root", "body"])
 
-    made = docs.select(docs[id_col].cast("long").alias("doc_id"), shared.text_of(docs, text).alias("t")).mapInArrow(run, "kind string, key binary, doc_id long, n_tokens long, root binary, body binary")
+    made = docs.select(docs[id_col].cast("long").alias("doc_id"), shared.text_of(docs, text).alias("t")).mapInArrow(shared.lean(run), "kind string, key binary, doc_id long, n_tokens long, root binary, body binary")
     # Map-side combined: a chunk that every document holds leaves each task once.
     once = made.groupBy("kind", "key").agg(F.first(F.struct("doc_id", "n_tokens", "root", "body")).alias("v")).select("key", "v.*", "kind")
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
@@ -254,8 +290,9 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
 
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select(F.col("part").alias("p"), "offset")
-    placed = recipes.join(shared.small(manifest), F.col("part") == F.col("p"))
-    return placed.select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "root", "body").mapInArrow(run, "doc_id long, start long, n_tokens long, nth int, key binary, tail long")
+    placed = recipes.join(shared.small(manifest), F.col("part") == F.col("p"), "left")
+    offset = F.coalesce("offset", F.raise_error(F.lit("a part of the recipes is not in the manifest")).cast("long"))
+    return placed.select("doc_id", (F.col("at") + offset).alias("start"), "n_tokens", "root", "body").mapInArrow(shared.lean(run), "doc_id long, start long, n_tokens long, nth int, key binary, tail long")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -297,10 +334,12 @@ def crc_advance(crc, n_ids):
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files. Every stored chunk is read, must have its
-    content's key, and gives the checksum of its ids; a document's checksum is composed of its chunks', so no ids move
-    between tasks. A missing chunk, or a length that differs, is an error."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files. The recipes must be those of the manifest.
+    Every stored chunk is read, must have its content's key, and gives the checksum of its ids; a document's checksum is
+    composed of its chunks', so no ids move between tasks. A missing chunk or part, or a length that differs, is an
+    error."""
     dtype = _dtype(spark, path)
+    verify_manifest(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -320,8 +359,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             moved = crc_advance(b.column("crc").to_numpy().astype(np.uint32), b.column("tail").to_numpy())
             yield b.select(["doc_id", "start", "n_tokens", "n"]).append_column("crc", pa.array(moved.astype(np.int64)))
 
-    chunk = _chunks(spark, path).mapInArrow(sums, "k binary, n long, crc long")
-    joined = _entries(spark, path).join(chunk, F.col("key") == F.col("k")).select("doc_id", "start", "n_tokens", "n", "crc", "tail")
+    chunk = _chunks(spark, path).mapInArrow(shared.lean(sums), "k binary, n long, crc long")
+    there = F.coalesce("n", F.raise_error(F.lit("a document's chunk is not in the store")).cast("long")).alias("n")
+    joined = _entries(spark, path).join(chunk, F.col("key") == F.col("k"), "left").select("doc_id", "start", "n_tokens", there, "crc", "tail")
     each = joined.mapInArrow(advanced, "doc_id long, start long, n_tokens long, n long, crc long")
     out = each.groupBy("doc_id", "start", "n_tokens").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"))
     whole = F.when(F.col("n") == F.col("n_tokens"), F.col("crc")).otherwise(F.raise_error(F.lit("a document's chunks do not make up its length")).cast("long"))
@@ -329,8 +369,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (array<int>) of each document, rebuilt from its chunks."""
+    """doc_id, start, ids (array<int>) of each document, rebuilt from its chunks, with the checks of read_digests."""
     dtype = _dtype(spark, path)
+    verify_manifest(spark, path)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -339,25 +380,38 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             ids = [np.concatenate([np.frombuffer(_checked(e["key"], e["body"]), dtype) for e in row.as_py()]).astype(np.int32) for row in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    joined = _entries(spark, path).join(_chunks(spark, path).select("key", "body"), "key")
+    there = F.coalesce("body", F.raise_error(F.lit("a document's chunk is not in the store")).cast("binary")).alias("body")
+    joined = _entries(spark, path).join(_chunks(spark, path).select("key", "body"), "key", "left").withColumn("body", there)
     rows = joined.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("nth", "key", "body"))).alias("e"))
     return rows.mapInArrow(unpack, "doc_id long, start long, ids array<int>")
 
 
-def verify_manifest(spark: SparkSession, path: str) -> bool:
-    """True if the recipes' roots, in order, give each part's chain, and the parts' chains the manifest's root."""
-    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Raise if the recipes' roots, in order, do not give each part's chain, if a part's rows or tokens differ from the
+    manifest's, if either has a part that the other lacks, or if the parts' chains do not give the manifest's root."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()  # a row for each part
+    want = spark.sparkContext.broadcast({r.part: (r.rows, r.tokens, bytes(r.chain)) for r in rows})
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, part = b"", None
+        last, now, seen = b"", (None, 0, 0), 0
+
+        def whole():
+            if now[0] is not None and want.value.get(now[0]) != (*now[1:], last):
+                raise ValueError(f"part {now[0]} of the recipes is not as the manifest has it")
+            return now[0] is not None
+
         for b in batches:
-            for p, root, chain in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                last = digest((last if p == part else b"") + root)
+            for p, n, root, chain in zip(*(b.column(x).to_pylist() for x in ("part", "n_tokens", "root", "chain")), strict=True):
+                if p != now[0]:
+                    seen += whole()
+                    last, now = b"", (p, 0, 0)
+                last, now = digest(last + root), (p, now[1] + 1, now[2] + n)
                 if last != chain:
                     raise ValueError(f"part {p} of the recipes does not give its chain")
-                part = p
-        yield pa.RecordBatch.from_arrays([pa.array([True])], names=["ok"])
+        seen += whole()
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64())], names=["parts"])
 
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "root", "chain", "row")
-    recipes.repartition("part").sortWithinPartitions("part", "row").select("part", "root", "chain").mapInArrow(check, "ok boolean").count()
-    return all(bytes(r.root) == merkle_root([bytes(x.chain) for x in rows]) for r in rows)
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "n_tokens", "root", "chain", "row")
+    parts = recipes.repartition("part").sortWithinPartitions("part", "row").mapInArrow(check, "parts long").agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+    if parts != len(rows) or any(bytes(r.root) != merkle_root([bytes(x.chain) for x in rows]) for r in rows):
+        raise ValueError("the manifest does not give its root, or has other parts than the recipes")

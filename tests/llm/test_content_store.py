@@ -67,7 +67,35 @@ def test_store_round_trip(spark, edge_docs, tokenizer_json, encoder):
     assert {(r.doc_id, crc(r.ids)) for r in whole} == {(r.doc_id, r.ids_crc32) for r in got} and len(whole) == len(rows)
     chunks = content_store._chunks(spark, path)
     assert chunks.count() == chunks.select("key").distinct().count() < sum(len(content_store.cut_points(np.array(x, "<u2"))) for x in (ids[r[:2]] for r in rows))
-    assert content_store.verify_manifest(spark, path)
+    content_store.verify_manifest(spark, path)
+
+
+def test_caches_give_the_library_s_ids(tokenizer_json, monkeypatch):
+    import random
+
+    monkeypatch.setattr(content_store, "CACHE_WORDS", 50)
+    encoder, rng = content_store.Encoder(tokenizer_json), random.Random(3)
+    words = ["".join(rng.choice("aeésßstr'.,!7日€") for _ in range(rng.randrange(1, 7))) for _ in range(300)]
+    for _ in range(20):
+        texts = [None, "", *(rng.choice(["", "\n", " "]) + "".join(rng.choice(words) + rng.choice("    \n") for _ in range(rng.randrange(40))) + rng.choice(words) for _ in range(10))]
+        want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == want
+    assert len(encoder.words) < 1000
+
+
+@pytest.mark.parametrize(("table", "change", "says"), [("manifest", "where part <> 0", "as the manifest has it"), ("objects", "where kind = 'r' or n_tokens <> 5", "is not in the store"), ("recipes", "where doc_id <> 2", "does not give its chain")])
+def test_losses_are_found(spark, tokenizer_json, table, change, says):
+    path, bad = shared.new_path(spark, "test-store"), shared.new_path(spark, "test-bad")
+    docs = spark.createDataFrame([(i, " word" * (i + 1), "en", "s", 1, 1, 0.0, "", 1, 1) for i in range(1, 6)], SCHEMA).coalesce(1)
+    content_store.write_store(docs, path, tokenizer_json, 2)
+    for name in ("objects", "recipes", "manifest", "meta"):
+        t = spark.read.parquet(f"{path}/{name}")
+        if name == table:
+            t.createOrReplaceTempView("t")
+            t = spark.sql(f"select * from t {change}")
+        (t.write.partitionBy("kind") if name == "objects" else t.write).parquet(f"{bad}/{name}")
+    with pytest.raises(Exception, match=says):
+        content_store.read_digests(spark, bad).collect()
 
 
 def test_damage_is_found(spark, tokenizer_json):
