@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-MIN_IDS, CUT_BITS, MAX_IDS = 64, 7, 1024
+MIN_IDS, CUT_BITS, MAX_IDS = 128, 8, 2048
 KEY = 16
 CACHE_WORDS = 400_000
 #: A Latin letter, then closing ASCII marks and the end of a piece.
