@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +75,11 @@ def where_text(docs: DataFrame, test, *, text: str = "text", rows: int = 64) ->
     """The rows of docs whose whole text passes: test() gives a function from up to `rows` texts to booleans. Columns
     that are not the text stay in the JVM."""
 
-    @F.pandas_udf("boolean")
-    def passes(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def passes(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = test()
-        for s in series:
-            texts = [None if t is None else t for t in s.tolist()]
-            yield pd.Series([bool(x) for k in range(0, len(texts), rows) for x in made(texts[k : k + rows])], dtype=bool)
+        for a in arrays:
+            yield pa.array([bool(x) for k in range(0, len(a), rows) for x in made(a.slice(k, rows).to_pylist())], pa.bool_())
         shared.give_back()
 
     return docs.where(passes(docs[text].cast("string")))

@@ -3,10 +3,14 @@ is 4/5 or more. No candidate is lost, as every filter follows from that bound.
 
 1. A text similar to another shares 4/5 of its own shingles with it. Shingles are dealt by hash to BUCKETS as packed
    arrays, each bucket says which of them stand in two texts or more, and texts with fewer shared ones go.
-2. What is left is one text for each set. In order of rarity among these sets, two similar ones share a shingle among the
-   first n - ceil(4n/5) + 1 of each (prefix filter), and the smaller has 4/5 of the larger's shingles at least.
-3. Neighbours in the order of a shared shingle are verified first; then all pairs of sets with a shared shingle that
-   those links leave in different components. So a group of copies is a chain, not all its pairs.
+2. What is left is one text for each set. Sets are linked first by the SimHash index over their fingerprints (5-word
+   shingles), every link verified by the sets' similarity.
+3. What the fingerprints miss: in order of rarity among these sets, two similar ones share a shingle among the first
+   n - ceil(4n/5) + 1 of each (prefix filter). Of the sets with a shingle there, each is verified against the one with
+   the fewest rarer shingles, the nearest to what a group has in common, and against the next in size.
+4. Pairs that these links leave in different components are verified if they can be similar at all: sets of n and m
+   shingles, whose first common shingle stands after i and j others, need 9 * min(n - i, m - j) >= 4 * (n + m). So a group
+   of copies is a few stars and chains, not all its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import shared, simhash
 
-WIDTH = 5
+#: Words of a shingle, and bits by which linked fingerprints may differ.
+WIDTH, MAX_DIFF = 5, 6
 BUCKETS = 2048  # at least; a bucket holds the shingles of ROWS_A_BUCKET rows on average at most
 ROWS_A_BUCKET = 8192
 FLUSH = 1 << 18
@@ -64,7 +69,7 @@ def _shared(texts: DataFrame, buckets: int, full: bool) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             h, at, bucket = h[order], at[order], bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else np.zeros(0, np.int64)
-            stop = np.r_[cut[1:], len(h)]
+            stop = np.r_[cut[1:], len(h)][: len(cut)]
             key = h if full else h.astype(np.uint32)
             head = [(np.array(ids, np.int64).tobytes(), np.array(marks, np.int64).tobytes(), np.array(sizes, np.int64).tobytes())]
             rows = head + [(key[i:j].tobytes(), at[i:j].tobytes(), None) for i, j in zip(cut.tolist(), stop.tolist(), strict=True)]
@@ -140,7 +145,7 @@ def _shared(texts: DataFrame, buckets: int, full: bool) -> DataFrame:
         columns = [pa.array(ids[keep]), pa.array(marks[keep]), pa.array(n[keep]), pa.array(s[keep]), pa.array(prefix, pa.list_(pa.int64()))]
         return pa.Table.from_arrays(columns, names=["id", "mark", "n", "s", "prefix"])
 
-    dealt = texts.select("id", "t").mapInArrow(deal, "bucket long, flush long, a binary, b binary, c binary")
+    dealt = texts.select("id", "t").mapInArrow(shared.lean(deal), "bucket long, flush long, a binary, b binary, c binary")
     told = dealt.groupBy("bucket").applyInArrow(tell, "flush long, kind int, a binary, b binary, c binary")
     return told.groupBy("flush").applyInArrow(gather, "id long, mark long, n long, s long, prefix array<long>")
 
@@ -160,7 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
     with_u = pairs.join(sets.select(F.col("mark").alias("u"), F.col("hashes").alias("x")), "u")
-    return with_u.join(sets.select(F.col("mark").alias("v"), F.col("hashes").alias("y")), "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return with_u.join(sets.select(F.col("mark").alias("v"), F.col("hashes").alias("y")), "v").select("u", "v", "x", "y").mapInArrow(shared.lean(run), "u long, v long")
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -176,14 +181,18 @@ def near_copies(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id")
     texts = shared.written(rows.join(once, F.col("text_hash") == F.col("one"), "left_semi").select(F.col("text_hash").alias("id"), "t").dropDuplicates(["id"]), "near-texts")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(x.as_py() or b"") for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_mark(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["mark", "hashes"])
+        import numpy as np
+
+        for b in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+            words = [x.as_py() or b"" for x in b.column(0)]
+            found, fps = [shingles(x) for x in words], np.array([simhash.fingerprint(x, WIDTH) for x in words], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([_mark(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary()), pa.array(fps.view(np.int64))], names=["mark", "hashes", "fp"])
 
-    posting = _shared(texts, buckets, True).select("mark", "n", F.explode("prefix").alias("h"))
-    posting = shared.written(posting, "near-postings")
-    sets = texts.select("t").mapInArrow(hashes, "mark long, hashes binary")
+    rare = _shared(texts, buckets, True).select("mark", "n", "s", F.posexplode("prefix").alias("at", "h"))
+    posting = shared.written(rare.select("mark", "n", "h", (F.col("n") - F.col("s") + F.col("at")).alias("i")), "near-postings")
+    sets = texts.select("t").mapInArrow(shared.lean(hashes), "mark long, hashes binary, fp long")
     sets = shared.written(sets.join(shared.small(posting.select(F.col("mark").alias("m")).distinct()), F.col("mark") == F.col("m"), "left_semi"), "near-sets")
+    shared.forget(texts)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -200,18 +209,55 @@ def near_copies(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id")
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(m[near], m[near + 1])), pa.array(np.minimum(m[near], m[near + 1]))], names=["u", "v"])
 
     chain = posting.select("h", "n", "mark").repartitionByRange("h", "n", "mark").sortWithinPartitions("h", "n", "mark").mapInArrow(neighbours, "u long, v long").distinct()
-    links = shared.written(_verified(shared.written(chain, "near-chain"), sets), "near-links")
+    # Sets of one fingerprint, and fingerprints within MAX_DIFF bits, as a spanning forest of sets.
+    rep = sets.groupBy("fp").agg(F.min("mark").alias("rep"))
+    alike = sets.select("mark", "fp").join(rep, "fp").where("mark <> rep").select(F.col("mark").alias("u"), F.col("rep").alias("v"))
+    close = simhash.near_links(shared.written(rep, "near-fingerprints"), MAX_DIFF)
+    centre = posting.groupBy("h").agg(F.min(F.struct("i", "n", "mark")).alias("c"))
+    star = posting.join(shared.small(centre), "h").where("mark <> c.mark and 5 * least(n, c.n) >= 4 * greatest(n, c.n)")
+    star = star.select(F.greatest("mark", "c.mark").alias("u"), F.least("mark", "c.mark").alias("v"))
+    likely = shared.written(alike.unionByName(close).unionByName(chain).unionByName(star).distinct(), "near-likely")
+    links = shared.written(_verified(likely, sets), "near-links")
     labels = simhash.components(links, "near-components")
-    named = posting.join(labels, posting["mark"] == labels["node"], "left").select("h", "n", "mark", F.coalesce("label", "mark").alias("label"))
+    named = posting.join(labels, posting["mark"] == labels["node"], "left").select("h", "n", "i", "mark", F.coalesce("label", "mark").alias("label"))
     named = shared.written(named, "near-named")
     mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
     left = shared.written(named.join(mixed, "h", "left_semi"), "near-left")
     a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.label") > F.col("b.label"))).where("5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)")
+    # The smaller set, whose first common shingle must then stand among its first n / 9, with the larger.
+    b = b.where("9 * (n - i) >= 8 * n")
+    order = (F.col("b.n") < F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.mark") < F.col("a.mark")))
+    fits = F.expr("9 * least(a.n - a.i, b.n - b.i) >= 4 * (a.n + b.n)")
+    rest = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & order & fits)
     rest = shared.written(rest.select(F.greatest("a.mark", "b.mark").alias("u"), F.least("a.mark", "b.mark").alias("v")).distinct(), "near-rest")
     more = shared.written(_verified(rest, sets), "near-links")
+    shared.forget(posting, sets, likely, named, left, rest)
     if more.limit(1).count():
         labels = simhash.components(links.unionByName(more), "near-components")
     of_text = marks.join(labels, marks["mark"] == labels["node"], "left").select("h", F.coalesce("label", "mark").alias("component"))
     of_text = shared.written(of_text, "near-of-text")
+    shared.forget(marks, links, more)
     return rows.select("doc_id", "text_hash").join(shared.small(of_text), F.col("text_hash") == F.col("h")).select("doc_id", "text_hash", "component")
+
+
+def keep_one(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, as they are, of which one of each component of near copies stays: that of the smallest id (null
+    last), then of the smallest text hash, and of rows equal in both the one whose columns have the smallest digest.
+
+    Null and empty texts and those of white space are copies of each other. An empty table gives no rows."""
+    found = shared.written(near_copies(docs, text=text, id_col=id_col).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")), "near-members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))
+    first = shared.written(found.groupBy("component").agg(F.min(order).alias("first")), "near-first")
+    k_id, k_hash = shared.unused(docs, "near_id", "near_hash")
+    named = found.join(shared.small(first), "component").withColumn("is_first", order == F.col("first"))
+    named = shared.written(named.select(F.col("doc_id").alias(k_id), F.col("text_hash").alias(k_hash), "n", "is_first"), "near-verdicts")
+    shared.forget(found, first)
+    others, repeated = named.where("not is_first").select(k_id, k_hash), named.where("is_first and n > 1").select(k_id, k_hash)
+    t = F.xxhash64(shared.text_of(docs, text))
+    same = docs[id_col].cast("long").eqNullSafe(F.col(k_id)) & (t == F.col(k_hash))
+    kept = docs.join(shared.small(others), same, "left_anti")
+    if not repeated.limit(1).count():
+        return kept
+    rows = F.struct(*[docs[c] for c in docs.columns])
+    once = kept.join(shared.small(repeated), same).groupBy(k_id, k_hash).agg(F.min_by(rows, F.md5(F.to_json(rows))).alias("row")).select("row.*")
+    return kept.join(shared.small(repeated), same, "left_anti").unionByName(once)

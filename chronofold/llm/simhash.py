@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
             fps = np.array([fingerprint(x.as_py() or b"", width) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), shared.text_of(docs, text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), shared.text_of(docs, text).cast("binary").alias("t")).mapInArrow(shared.lean(run), "doc_id long, fp long")
 
 
 def gray_rank(fp):
