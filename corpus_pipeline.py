@@ -7,7 +7,6 @@ Parquet and is the next stage's docs. All but the last return the columns of doc
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronofold.llm import decontaminate, language, mixing, queries, shared, shingle_overlap
 
@@ -21,18 +20,9 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (5-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest
-    id stays; of rows that share that id, one. Documents without an id have none to be compared by and stay."""
-    found = shared.written(shingle_overlap.near_copies(docs).where("doc_id is not null"), "near-copies")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("kept"))
-    named = found.join(least, "component").select("doc_id", "kept")
-    others = shared.written(named.where("doc_id <> kept").select(F.col("doc_id").alias("_id")).distinct(), "near-others")
-    again = shared.written(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "near-repeated")
-    kept = docs.join(shared.small(others), docs["doc_id"] == F.col("_id"), "left_anti")
-    if not again.limit(1).count():
-        return kept
-    once = kept.join(shared.small(again), kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(shared.small(again), kept["doc_id"] == F.col("_id"), "left_anti").unionByName(once)
+    """Of each component of near copies (5-word shingles, Jaccard similarity of 0.8 or more) one document stays: that with
+    the smallest id, of rows that share it that with the smallest text hash. Rows without an id are compared like any."""
+    return shingle_overlap.keep_one(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
