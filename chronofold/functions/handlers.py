@@ -53,7 +53,15 @@ class TaskContext:
     def emit(self, name: str, content_type: str, content: bytes) -> None:
         import hashlib
 
-        self.artifacts.append((name, hashlib.sha256(content).hexdigest(), len(content), content_type))
+        self.emit_hashed(name, content_type, hashlib.sha256(content).hexdigest(), len(content))
+
+    def emit_hashed(self, name: str, content_type: str, sha256: str, size: int) -> None:
+        """An artifact that is kept elsewhere, by its digest."""
+        import re
+
+        if not re.fullmatch("[0-9a-f]{64}", sha256):
+            raise ValueError(f"{sha256!r} is not the SHA-256 of an artifact")
+        self.artifacts.append((name, sha256, size, content_type))
 
 
 class Registry:
@@ -116,3 +124,38 @@ def examples() -> Registry:
     r.handle("charge_once", lambda c: c.do("charge", lambda: {"charged": True}))
     r.handle("effect_then_die", lambda c: c.do("charge", lambda: {"charged": True}))
     return r
+
+
+def failing(base: Registry, rate: float) -> Registry:
+    """base with a share of attempts failing, the same ones at every run: drawn from the attempt, run, task and handler."""
+    from ..operators.simulate import draw
+
+    if rate <= 0:
+        return base
+    out = Registry()
+    for name in base.names():
+
+        def wrapped(c: TaskContext, name: str = name) -> Any:
+            if draw(c.attempt, c.run_id, "bench-fault", c.task, name) < rate:
+                raise RuntimeError(f"injected benchmark failure at {rate * 100:.1f}% fault rate")
+            return base.lookup(name)(c)
+
+        out.handle(name, wrapped)
+    return out
+
+
+class ScenarioSource:
+    """The scenario of each run, looked up once. A run that names a scenario that is not known, or is known under another
+    hash, is an error: without its faults it would pass a test that never ran."""
+
+    def __init__(self, scenarios: dict[str, dict], scenario_of: Callable[[Any], tuple[str, str]]) -> None:
+        self._scenarios, self._scenario_of, self._seen = scenarios, scenario_of, {}
+
+    def for_run(self, run_id: Any) -> dict | None:
+        if run_id not in self._seen:
+            name, digest = self._scenario_of(run_id)
+            found = self._scenarios.get(name) if name else None
+            if name and (found is None or digest and found.get("hash") != digest):
+                raise LookupError(f"run {run_id} was started under scenario {name!r}, which is not known here")
+            self._seen[run_id] = found
+        return self._seen[run_id]

@@ -15,8 +15,9 @@ BOUNDS = ("lost_tasks", "duplicate_effects", "max_recovery_time_ms", "max_retrie
 def observed(journal: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
     """What assertions are held against: a row per run. duplicates: run_id, duplicate_effects."""
     tasks = fold.totals(fold.task_state(journal)).select("run_id", "max_retries", "lost", "total_attempts", "sum_retries")
-    runs = fold.run_state(journal).select("run_id", "status", "scenario", "seed", F.size("faults").alias("faults"), F.size("skipped").alias("skipped"))
-    out = runs.join(tasks, "run_id", "left").join(recovery.recovery_time(journal), "run_id")
+    runs = fold.run_state(journal, recovery_ms=F.coalesce(recovery.recovery_ms(), F.lit(0)))
+    runs = runs.select("run_id", "status", "scenario", "seed", F.size("faults").alias("faults"), F.size("skipped").alias("skipped"), "recovery_ms")
+    out = runs.join(tasks, "run_id", "left")
     out = out.join(duplicates, "run_id", "left") if duplicates is not None else out.withColumn("duplicate_effects", F.lit(0).cast("long"))
     return out.fillna(0, ["max_retries", "lost", "total_attempts", "sum_retries", "duplicate_effects"])
 

@@ -21,9 +21,17 @@ def _rows(df: DataFrame, *tests: tuple[Column, Column]) -> DataFrame:
 
 
 def compare_runs(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Status, definition hash, seed, number of suppressed effects; faults by position unless their numbers differ."""
-    j = expected.alias("e").join(actual.alias("a"), "run_id")
+    """Runs that one side lacks; status, definition hash, seed, number of suppressed effects; faults by position unless
+    their numbers differ."""
+    here = F.lit(True).alias("here")
+    full = expected.select("*", here).alias("e").join(actual.select("*", here).alias("a"), "run_id", "full")
     e, a = (lambda c: F.col(f"e.{c}")), (lambda c: F.col(f"a.{c}"))
+    alone = _rows(
+        full,
+        (a("here").isNull(), _row(0, "missing-event", "run", e("status"), F.lit("absent"))),
+        (e("here").isNull(), _row(0, "extra-event", "run", F.lit("absent"), a("status"))),
+    )
+    j = full.where(e("here") & a("here"))
     differs = lambda x: ~e(x).eqNullSafe(a(x))
     flat = _rows(
         j,
@@ -39,7 +47,7 @@ def compare_runs(expected: DataFrame, actual: DataFrame) -> DataFrame:
         same &= F.col(f"z.w.{f}").eqNullSafe(F.col(f"z.g.{f}"))
     said = lambda s: F.concat_ws("", F.col(f"z.{s}.type"), F.lit(" at "), F.col(f"z.{s}.point"), F.lit(" on "), F.col(f"z.{s}.task"))
     ordered = pairs.where(~same).select("run_id", F.lit(6).alias("rank"), F.lit("ordering").alias("category"), F.concat(F.lit("fault["), F.col("i"), F.lit("]")).alias("subject"), said("w").alias("expected"), said("g").alias("actual"))
-    return flat.unionByName(ordered)
+    return alone.unionByName(flat).unionByName(ordered)
 
 
 def compare_tasks(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@ fields; graphs are small, tables of many workflows are not, so closures run for
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import text
+from ..sources.storage import forget, written
 
 STEPS = (
     "workflow string, position int, name string, handler string, depends_on array<string>, max_attempts int, initial_delay_ms long, "
@@ -31,27 +33,54 @@ def dependents(steps: DataFrame) -> DataFrame:
 
 
 def descendants(edge: DataFrame) -> DataFrame:
-    """workflow, name, descendant: the transitive closure of acyclic edges, by a recursive query for all workflows."""
-    return edge.sparkSession.sql(
-        """WITH RECURSIVE walk(workflow, name, descendant) AS (
-             SELECT workflow, parent, child FROM {edge}
-             UNION ALL SELECT w.workflow, w.name, e.child FROM walk w JOIN {edge} e ON e.workflow = w.workflow AND e.parent = w.descendant)
-           SELECT DISTINCT workflow, name, descendant FROM walk""",
-        edge=edge,
-    )
-
-
-def cycles(edge: DataFrame, most: int = 100) -> DataFrame:
-    """workflow, path: a cycle of each workflow that has one, closed, from its least step (so one rotation of it). Paths stop
-    where they meet a step again; `most` bounds their length, as a workflow's number of steps does."""
-    return edge.sparkSession.sql(
-        f"""WITH RECURSIVE walk(workflow, start, at, path, closed) AS (
-             SELECT workflow, child, parent, array(child, parent), child = parent FROM {{edge}}
-             UNION ALL SELECT w.workflow, w.start, e.parent, concat(w.path, array(e.parent)), e.parent = w.start FROM walk w JOIN {{edge}} e ON e.workflow = w.workflow AND e.child = w.at
-              WHERE NOT w.closed AND size(w.path) <= {most} AND (e.parent = w.start OR NOT array_contains(w.path, e.parent)))
-           SELECT workflow, min(array_join(path, ' -> ')) AS path FROM walk WHERE closed AND start = array_min(path) GROUP BY workflow""",
-        edge=edge,
-    )
+    """workflow, name, descendant: the transitive closure of the edges, for all workflows at once. Each round joins the
+    pairs found with themselves, so paths double in length, until no pair is new; rounds are written."""
+    pairs = written(edge.select("workflow", F.col("parent").alias("name"), F.col("child").alias("descendant")).distinct(), "closure")
+    while True:
+        a, b = pairs.alias("a"), pairs.alias("b")
+        further = a.join(b, (F.col("a.workflow") == F.col("b.workflow")) & (F.col("a.descendant") == F.col("b.name"))).select("a.workflow", "a.name", "b.descendant")
+        more = written(pairs.unionByName(further).distinct(), "closure")
+        if more.count() == pairs.count():
+            forget(more)
+            return pairs
+        forget(pairs)
+        pairs = more
+
+
+def find_cycle(edge: list[tuple[str, str]]) -> list[str] | None:
+    """Of (step, dependency) pairs: the shortest cycle through the least step that lies on one, closed; of several, the one
+    whose steps come first. None if there is none."""
+    deps: dict[str, set[str]] = {}
+    for child, parent in edge:
+        deps.setdefault(child, set()).add(parent)
+    for start in sorted(deps):
+        came: dict[str, str] = {}
+        front = [start]
+        while front:
+            after = []
+            for at in front:
+                for d in sorted(deps.get(at, ())):
+                    if d == start:
+                        path = [d, at]
+                        while path[-1] != start:
+                            path.append(came[path[-1]])
+                        return path[::-1]
+                    if d not in came:
+                        came[d] = at
+                        after.append(d)
+            front = after
+    return None
+
+
+def cycles(edge: DataFrame) -> DataFrame:
+    """workflow, path: a cycle of each workflow that has one, of any length (find_cycle). A workflow's steps are one group:
+    it is a graph that its author wrote."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        path = find_cycle(list(zip(pdf["child"], pdf["parent"], strict=True)))
+        return pd.DataFrame({"workflow": [pdf["workflow"].iloc[0]] if path else [], "path": [" -> ".join(path)] if path else []}, dtype=object)
+
+    return edge.groupBy("workflow").applyInPandas(search, "workflow string, path string")
 
 
 def unlocked(steps: DataFrame, tasks: DataFrame) -> DataFrame:

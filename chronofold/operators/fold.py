@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import vocabulary as V
 from ..functions import text
@@ -14,10 +15,17 @@ def _last(value: Column, when: Column) -> Column:
     return F.max_by(value, F.when(when, F.col("seq")))
 
 
+def _decoded(journal: DataFrame, types: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """journal with p, the named payload fields, parsed for the event types that a fold reads them of."""
+    schema = T.StructType([f for f in T.StructType.fromDDL(V.PAYLOAD) if f.name in fields])
+    return journal.withColumn("p", F.from_json(F.when(F.col("type").isin(*types), F.col("payload")), schema))
+
+
 def task_state(journal: DataFrame) -> DataFrame:
     """A row per (run_id, task_name): status, handler, attempts, retries, requeues, lease_expiries, error, output hash of the
     last success's artifacts, first_started, completed."""
-    e = journal.where("task_name is not null").withColumn("p", text.decode(F.col("payload")))
+    read = ("TASK_LEASED", "TASK_STARTED", "TASK_SUCCEEDED", "TASK_FAILED", "TASK_DEAD_LETTERED")
+    e = _decoded(journal.where("task_name is not null"), read, ("attempt", "handler", "error", "reason", "artifacts"))
     kind = F.col("type")
     is_ = lambda *names: kind.isin(*names)
     status = text.lookup(kind, V.TASK_STATUS_OF)
@@ -39,10 +47,12 @@ def task_state(journal: DataFrame) -> DataFrame:
     )
 
 
-def run_state(journal: DataFrame) -> DataFrame:
+def run_state(journal: DataFrame, **more: Column) -> DataFrame:
     """A row per run_id: status, workflow, version, definition_hash, scenario, seed, failure_reason, workers_lost,
-    event_count, last_seq, faults and skipped (arrays in seq order)."""
-    e = journal.withColumn("p", text.decode(F.col("payload")))
+    event_count, last_seq, faults and skipped (arrays in seq order), and further aggregates of a run's events."""
+    read = ("RUN_CREATED", "RUN_FAILED", "RUN_CANCELLED", "FAULT_INJECTED", "SIDE_EFFECT_SKIPPED")
+    fields = ("workflow_name", "workflow_version", "definition_hash", "scenario_name", "seed", "reason", "detail", "fault_type", "fault_point", "draw", "idempotency_key", "attempt", "first_attempt")
+    e = _decoded(journal, read, fields)
     kind, created = F.col("type"), F.col("type") == "RUN_CREATED"
     status = text.lookup(kind, V.RUN_STATUS_OF)
     reason = F.when(F.coalesce(F.col("p.detail"), F.lit("")) != "", F.concat_ws(": ", "p.reason", "p.detail")).otherwise(F.col("p.reason"))
@@ -61,6 +71,7 @@ def run_state(journal: DataFrame) -> DataFrame:
         F.max("seq").alias("last_seq"),
         F.array_sort(F.collect_list(fault)).alias("faults"),
         F.array_sort(F.collect_list(skipped)).alias("skipped"),
+        *[c.alias(name) for name, c in more.items()],
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import draws, text
 from ..functions.time import micros, ms_between, plus_ms
+from .order import numbered
 
 
 # Lists and pages ----------------------------------------------------------------------------------------------------
@@ -119,15 +120,14 @@ def claim(tasks: DataFrame, now: Column, worker, limit: int, *, run_id=None, lea
 
 
 def assign(tasks: DataFrame, workers: DataFrame, now: Column) -> DataFrame:
-    """Ready tasks dealt to healthy workers with free slots, earliest task to first slot: both sides are numbered and met
-    by number. Only as many tasks as there are slots are ordered; slots are as many as the workers' free capacity."""
+    """Ready tasks dealt to healthy workers with free slots, earliest task to first slot: both sides are numbered by ranges
+    and met by number. Slots are as many as the workers' free capacity."""
     free = workers.where("status = 'HEALTHY' and capacity > active_tasks")
     n_slots = free.agg(F.sum(F.col("capacity") - F.col("active_tasks"))).first()[0] or 0
-    slots = free.select("id", F.explode(F.sequence(F.lit(1), F.col("capacity") - F.col("active_tasks"))).alias("slot"))
-    slots = slots.select(F.col("id").alias("worker_id"), F.row_number().over(Window.orderBy("slot", "id")).alias("n"))
-    ready = tasks.where((F.col("status") == "READY") & (F.col("scheduled_at") <= now)).orderBy("scheduled_at", "id").limit(min(n_slots, 2**31 - 1))
-    ready = ready.select("id", "run_id", "task_name", F.row_number().over(Window.orderBy("scheduled_at", "id")).alias("n"))
-    return ready.join(slots, "n").select("id", "run_id", "task_name", "worker_id")
+    slots = free.select(F.col("id").alias("worker_id"), F.explode(F.sequence(F.lit(1), F.col("capacity") - F.col("active_tasks"))).alias("slot"))
+    ready = tasks.where((F.col("status") == "READY") & (F.col("scheduled_at") <= now)).select("id", "run_id", "task_name", "scheduled_at")
+    ready = numbered(ready, [F.col("scheduled_at"), F.col("id")], {}, "ready").where(F.col("pos") < n_slots)
+    return ready.join(numbered(slots, [F.col("slot"), F.col("worker_id")], {}, "slots"), "pos").select("id", "run_id", "task_name", "worker_id")
 
 
 def expired_leases(tasks: DataFrame, runs: DataFrame, now: Column, limit: int | None = 200) -> DataFrame:

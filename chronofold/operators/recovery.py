@@ -10,7 +10,8 @@ from ..functions import text
 from ..functions.time import ms_between
 
 
-def _recovery() -> Column:
+def recovery_ms() -> Column:
+    """The aggregate of a run's events behind recovery_time; null if nothing went wrong or the run has not recovered."""
     trouble = F.min_by("occurred_at", F.when(F.col("type").isin(*V.TROUBLE_TYPES), F.col("seq")))
     ended = F.max_by("occurred_at", F.when(F.col("type").isin(*V.TERMINAL_TYPES), F.col("seq")))
     return F.when(ended >= trouble, ms_between(trouble, ended))
@@ -19,7 +20,7 @@ def _recovery() -> Column:
 def recovery_time(journal: DataFrame) -> DataFrame:
     """run_id, recovery_ms from the first trouble (lease expiry, fault, task failure or lost worker) to the run's end; 0 if
     there was none, the run is open, or the end is stamped earlier."""
-    return journal.groupBy("run_id").agg(F.coalesce(_recovery(), F.lit(0)).alias("recovery_ms"))
+    return journal.groupBy("run_id").agg(F.coalesce(recovery_ms(), F.lit(0)).alias("recovery_ms"))
 
 
 def evidence(journal: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def evidence(journal: DataFrame) -> DataFrame:
         n("TASK_STARTED").alias("attempts"), n("TASK_LEASE_EXPIRED").alias("lease_expiries"), n("TASK_REQUEUED").alias("requeues"),
         n("TASK_RETRY_SCHEDULED").alias("retries_scheduled"), n("WORKER_LOST").alias("workers_lost"), n("FAULT_INJECTED").alias("faults_injected"),
         n("SIDE_EFFECT_SKIPPED").alias("effects_suppressed"), n("TASK_DEAD_LETTERED").alias("dead_lettered"),
-        F.array_join(F.sort_array(F.collect_set("worker_id")), ",").alias("workers"), _recovery().alias("recovery_ms"),
+        F.array_join(F.sort_array(F.collect_set("worker_id")), ",").alias("workers"), recovery_ms().alias("recovery_ms"),
     )
 
 

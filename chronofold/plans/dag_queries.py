@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import text
-from ..operators import checks, dag, faults, metrics, simulate
-from ..sources import examples
+from ..operators import checks, dag, faults, simulate
+from ..sources import examples, storage
 from ..sources.definitions import parse_scenario, parse_workflow
 from . import registry
 from .registry import query
@@ -124,7 +124,7 @@ def simulated(spark, sf_dir):
     pick = F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names) + 1).cast("int"))
     on = text.lookup(F.col("scenario"), {n: s["workflow"] or "data-pipeline" for n, s in scenarios.items()})
     runs = registry.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), pick.alias("scenario"), F.col("o_orderdate").alias("started")).withColumn("workflow", on)
-    return simulate.journal(runs, workflows, scenarios)
+    return storage.written(simulate.journal(runs, workflows, scenarios), "simulated")
 
 
 def _asserted(spark):
@@ -145,14 +145,3 @@ def x10_simulated_journal(spark, sf_dir):
     return simulated(spark, sf_dir)
 
 
-@query()
-def k02_bench_csv(spark, sf_dir):
-    j = simulated(spark, sf_dir)
-    s = metrics.samples(j).withColumns({"workers": F.col("run_id") % 4 + 1, "fault_rate": F.lit(0.05)})
-    return metrics.bench_csv(metrics.summarise(s, ["workers", "fault_rate"], 60.0))
-
-
-@query()
-def k06_human_reports(spark, sf_dir):
-    seen = checks.observed(simulated(spark, sf_dir))
-    return checks.human_report(seen, checks.passed(checks.evaluate(seen, _asserted(spark))))

@@ -9,6 +9,7 @@ from ..functions import draws, text
 from ..functions.time import at, clock
 from ..operators import checks, compare, fold, ops, recovery
 from ..sources import projections as P
+from ..sources import tables
 from ..sources.template import journal
 from .journal_queries import _RUN_STATE, _TASK_STATE, RECOVERY_SQL
 from .registry import query, table
@@ -140,9 +141,9 @@ def a10_distinct_runs(spark, sf_dir):
     return P.table(spark, sf_dir, "tasks").where("status = 'DEAD'").select("run_id").distinct()
 
 
-@query("SELECT coalesce(max(l_linenumber), 0) AS version FROM lineitem WHERE l_orderkey < 0")
+@query("SELECT coalesce(max(l_linenumber), 0) AS version FROM lineitem")
 def a07_schema_version(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 0").agg(F.coalesce(F.max("l_linenumber"), F.lit(0)).alias("version"))
+    return tables.schema_version(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("version")))
 
 
 @query(f"SELECT run_id, max(retries) AS max_retries, count(*) FILTER (WHERE status = 'DEAD') AS lost FROM ({_TASK_STATE}) GROUP BY run_id", journal=True)

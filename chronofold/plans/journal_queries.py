@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import draws, text
 from ..operators import checks, compare, fold, metrics, recovery, validity
+from ..sources.storage import written
 from ..sources.template import corrupted, journal
 from .registry import query
 
@@ -135,7 +136,7 @@ def w03_first_anomaly(spark, sf_dir):
     return validity.first_anomaly(corrupted(journal(spark, sf_dir)))
 
 
-@query(f"WITH {_ANOMALIES} SELECT run_id, seq, type FROM damaged WHERE run_id NOT IN (SELECT run_id FROM a)", damaged=True)
+@query(f"WITH {_ANOMALIES} SELECT d.run_id, d.seq, d.type FROM damaged d ANTI JOIN (SELECT DISTINCT run_id FROM a) b ON b.run_id = d.run_id", damaged=True)
 def s03_valid_journal(spark, sf_dir):
     return validity.valid_runs(corrupted(journal(spark, sf_dir))).select("run_id", "seq", "type")
 
@@ -220,15 +221,48 @@ def a23_task_histogram(spark, sf_dir):
     return h.withColumn("total", F.round("total", 3))
 
 
+@query(
+    f"""WITH r AS (SELECT j.run_id, x.ms / 1000.0::DOUBLE AS s FROM (SELECT DISTINCT run_id FROM journal) j JOIN {RECOVERY_SQL} x ON x.run_id = j.run_id WHERE x.ms > 0),
+w AS (SELECT run_id, payload->>'$.workflow_name' AS workflow FROM journal WHERE type = 'RUN_CREATED'), b AS (SELECT workflow, s, CASE """
+    + " ".join(f"WHEN s <= {b} THEN '{b:g}'" for b in (0.1, 0.25, 0.5, 1, 2, 5, 10, 30, 60, 120))
+    + """ ELSE '+Inf' END AS bucket FROM r JOIN w ON w.run_id = r.run_id) SELECT workflow, bucket, count(*) AS n, round(sum(s), 3) AS total FROM b GROUP BY workflow, bucket""",
+    journal=True,
+)
+def a23_recovery_histogram(spark, sf_dir):
+    h = metrics.histogram(metrics.recoveries(journal(spark, sf_dir)), ["workflow"], "seconds", metrics.RECOVERY_BOUNDS)
+    return h.withColumn("total", F.round("total", 3))
+
+
+_CSV = f"""WITH {_SAMPLES}, g AS (SELECT run_id % 4 + 1 AS workers, count(*) AS n, count(*) FILTER (WHERE status = 'SUCCEEDED') AS ok, sum(attempts)::BIGINT AS tasks, sum(retries)::BIGINT AS retries, sum(lost)::BIGINT AS lost,
+ {_pct("duration_ms", 0.5)} AS d50, {_pct("duration_ms", 0.95)} AS d95, {_pct("duration_ms", 0.99)} AS d99, {_pct("duration_ms", 1)} AS d100,
+ {_pct("recovery_ms", 0.5, "recovery_ms > 0")} AS r50, {_pct("recovery_ms", 0.95, "recovery_ms > 0")} AS r95, {_pct("recovery_ms", 1, "recovery_ms > 0")} AS r100 FROM s GROUP BY 1)
+SELECT workers::VARCHAR AS workers, n::VARCHAR AS runs, '0.050' AS fault_rate, 'wf' AS workflow, n::VARCHAR AS runs_completed, ok::VARCHAR AS runs_succeeded, (n - ok)::VARCHAR AS runs_failed, '60.000' AS wall_clock_s, printf('%.2f', round(n / 60.0::DOUBLE, 2)) AS runs_per_second,
+ tasks::VARCHAR AS tasks_executed, printf('%.2f', round(tasks / 60.0::DOUBLE, 2)) AS tasks_per_second, retries::VARCHAR AS retries, lost::VARCHAR AS lost_tasks, d50::VARCHAR AS run_p50_ms, d95::VARCHAR AS run_p95_ms, d99::VARCHAR AS run_p99_ms, d100::VARCHAR AS run_max_ms,
+ r50::VARCHAR AS recovery_p50_ms, r95::VARCHAR AS recovery_p95_ms, r100::VARCHAR AS recovery_max_ms, '' AS go_version, 'linux' AS os, 'amd64' AS arch, '4' AS num_cpu, '' AS postgres_version, '1' AS engine_version, '1997-01-01T00:00:00Z' AS measured_at FROM g"""
+
+
+@query(_CSV, journal=True)
+def k02_bench_csv(spark, sf_dir):
+    s = metrics.samples(journal(spark, sf_dir)).withColumns({"workers": F.col("run_id") % 4 + 1, "fault_rate": F.lit(0.05)})
+    known = {"os": "linux", "arch": "amd64", "num_cpu": "4", "engine_version": "1", "measured_at": "1997-01-01T00:00:00Z"}
+    return metrics.bench_csv(metrics.summarise(s, ["workers", "fault_rate"], 60.0), "wf", 60.0, known)
+
+
 @query("SELECT run_id, task_name, CASE WHEN type = 'TASK_SUCCEEDED' THEN 'succeeded' ELSE 'failed' END AS outcome, (payload->>'$.duration_ms')::BIGINT / 1000.0::DOUBLE AS seconds FROM journal WHERE type IN ('TASK_SUCCEEDED', 'TASK_FAILED')", journal=True)
 def v22_task_outcomes(spark, sf_dir):
     return metrics.task_outcomes(journal(spark, sf_dir))
 
 
 @query(
-    """SELECT CASE type WHEN 'TASK_STARTED' THEN 'task_executions' WHEN 'TASK_RETRY_SCHEDULED' THEN 'task_retries' WHEN 'TASK_LEASE_EXPIRED' THEN 'lease_expiries' WHEN 'WORKER_LOST' THEN 'workers_lost'
- WHEN 'FAULT_INJECTED' THEN 'faults_injected' WHEN 'SIDE_EFFECT_SKIPPED' THEN 'effects_skipped' WHEN 'TASK_DEAD_LETTERED' THEN 'dead_letters' END AS counter, count(*) AS n
-FROM journal WHERE type IN ('TASK_STARTED', 'TASK_RETRY_SCHEDULED', 'TASK_LEASE_EXPIRED', 'WORKER_LOST', 'FAULT_INJECTED', 'SIDE_EFFECT_SKIPPED', 'TASK_DEAD_LETTERED') GROUP BY 1""",
+    """WITH w AS (SELECT run_id, max_by(payload->>'$.workflow_name', seq) AS workflow FROM journal WHERE type = 'RUN_CREATED' GROUP BY run_id),
+e AS (SELECT j.*, w.workflow FROM journal j LEFT JOIN w ON w.run_id = j.run_id)
+SELECT 'workflow_runs_total' AS counter, replace(type, 'RUN_', '') AS status, workflow, NULL::VARCHAR AS task, count(*) AS n FROM e WHERE type IN ('RUN_SUCCEEDED', 'RUN_FAILED', 'RUN_CANCELLED') GROUP BY ALL
+UNION ALL SELECT 'task_executions_total', lower(replace(type, 'TASK_', '')), workflow, task_name, count(*) FROM e WHERE type IN ('TASK_SUCCEEDED', 'TASK_FAILED') GROUP BY ALL
+UNION ALL SELECT 'task_retries_total', NULL, workflow, task_name, count(*) FROM e WHERE type = 'TASK_RETRY_SCHEDULED' GROUP BY ALL
+UNION ALL SELECT 'task_lease_expirations_total', NULL, NULL, NULL, count(*) FROM e WHERE type = 'TASK_LEASE_EXPIRED' HAVING count(*) > 0
+UNION ALL SELECT 'side_effects_skipped_total', NULL, NULL, task_name, count(*) FROM e WHERE type = 'SIDE_EFFECT_SKIPPED' GROUP BY ALL
+UNION ALL SELECT 'worker_lost_total', NULL, NULL, NULL, count(DISTINCT worker_id) FROM e WHERE type = 'WORKER_LOST' HAVING count(*) > 0
+UNION ALL SELECT 'duplicate_executions_total', NULL, NULL, task_name, sum(k - 1)::BIGINT FROM (SELECT run_id, task_name, count(*) AS k FROM e WHERE type = 'TASK_STARTED' GROUP BY run_id, task_name, payload->>'$.attempt' HAVING count(*) > 1) GROUP BY task_name""",
     journal=True,
 )
 def a24_counters(spark, sf_dir):
@@ -291,7 +325,8 @@ UNION ALL SELECT coalesce(w.run_id, g.run_id), 4, 'artifact-hash', coalesce(w.ta
 
 
 def _states(j):
-    return fold.run_state(j), fold.task_state(j)
+    """Both folds of a history, each written once: the comparison reads them several times."""
+    return written(fold.run_state(j), "run-state"), written(fold.task_state(j), "task-state")
 
 
 @query(_COMPARE, journal=True)
@@ -300,7 +335,11 @@ def d01_compare(spark, sf_dir):
     return compare.compare(_states(j), _states(_changed(j)))
 
 
-@query()
+@query(
+    f"""WITH d AS ({_COMPARE}), j AS (SELECT run_id, string_agg('{{"rank":' || rank || ',"subject":"' || subject || '","category":"' || category || '","expected":"' || expected || '","actual":"' || actual || '"}}', ',' ORDER BY rank, subject, category, expected, actual) AS t FROM d GROUP BY run_id)
+SELECT DISTINCT r.run_id, t IS NULL AS match, '{{"match":' || CASE WHEN t IS NULL THEN 'true' ELSE 'false' END || ',"divergences":[' || coalesce(t, '') || ']}}' AS report FROM journal r LEFT JOIN j ON j.run_id = r.run_id""",
+    journal=True,
+)
 def d03_match(spark, sf_dir):
     j = journal(spark, sf_dir)
     runs, tasks = _states(j)
@@ -353,6 +392,17 @@ def a26_passed(spark, sf_dir):
     return checks.passed(checks.evaluate(checks.observed(journal(spark, sf_dir)), _scenarios(spark)))
 
 
+@query(
+    f"""WITH {_EVALUATE}, v AS (SELECT run_id, bool_and(passed) AS p FROM res GROUP BY run_id)
+SELECT run_id, CASE WHEN p THEN 'PASS ' ELSE 'FAIL ' END || scenario || chr(10) || '  recovery time      ' || ((recovery_ms + 5) // 10 * 10) || 'ms' || chr(10) || '  retries            ' || m || chr(10) || '  lost tasks         ' || lost || chr(10)
+ || '  duplicate effects  0' || chr(10) || '  faults injected    ' || n_faults || chr(10) || '  final state        ' || status || chr(10) AS report FROM o JOIN v USING (run_id)""",
+    journal=True,
+)
+def k06_human_reports(spark, sf_dir):
+    seen = checks.observed(journal(spark, sf_dir))
+    return checks.human_report(seen, checks.passed(checks.evaluate(seen, _scenarios(spark))))
+
+
 @query(f"WITH {_EVALUATE} SELECT scenario, count(*) AS runs, count(*) FILTER (WHERE NOT p) AS failed FROM (SELECT run_id, scenario, bool_and(passed) AS p FROM res GROUP BY run_id, scenario) GROUP BY scenario", journal=True)
 def v20_repeats(spark, sf_dir):
     return checks.repeats(checks.evaluate(checks.observed(journal(spark, sf_dir)), _scenarios(spark)))

@@ -353,9 +353,9 @@ def p21_valid_names(spark, sf_dir):
     return c.select("c_custkey", text.valid_name(F.when(F.col("c_custkey") % 2 == 0, F.replace("c_name", F.lit("#"), F.lit("_"))).otherwise(F.col("c_name"))).alias("valid"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'wf' ELSE 'wf@' || CASE o_orderkey % 3 WHEN 1 THEN 'x' ELSE '' END END AS name, 0 AS version FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 <> 2 UNION ALL SELECT o_orderkey, 'wf', (o_orderkey % 9 + 1)::INT FROM orders WHERE o_orderkey % 4 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 0 THEN 'wf' ELSE 'wf@x' END AS name, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 9 + 1 ELSE 0 END::INT AS version FROM orders")
 def f15_name_and_version(spark, sf_dir):
-    o = registry.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0 or o_orderkey % 3 <> 2")
+    o = registry.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     arg = F.when(k % 4 == 0, F.concat(F.lit("wf@"), k % 9 + 1)).when(k % 3 == 0, F.lit("wf")).otherwise(F.lit("wf@x"))
     return o.select("o_orderkey", text.name_and_version(arg).alias("v")).select("o_orderkey", "v.name", "v.version")

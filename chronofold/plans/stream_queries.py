@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import at
 from ..sources import projections as P
-from ..sources import storage, tables
-from ..sources.template import journal
+from ..sources import storage, tables, template
 from ..streaming import journal as streaming
 from .registry import query
 
@@ -30,10 +29,16 @@ def t08_stream_once_by_key(spark, sf_dir):
     return streaming.drain(once, storage.new_path(spark, "once"), storage.new_path(spark, "once-checkpoint"))
 
 
-@query("WITH j AS (SELECT conv_id AS run_id, turn + 1 AS seq, lag(turn + 1, 1, 0) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM conversations WHERE turn <> 1) SELECT run_id, 'gap' AS kind, last + 1 AS expected, seq AS found FROM j WHERE seq <> last + 1")
+@query(
+    """WITH j AS (SELECT conv_id AS run_id, turn, turn + 1 + CASE WHEN turn >= 2 AND conv_id % 5 = 0 THEN 1 ELSE 0 END AS seq, bool_or(turn = 2 AND conv_id % 3 = 0) OVER (PARTITION BY conv_id) AS ends FROM conversations),
+l AS (SELECT *, lag(seq, 1, 0) OVER (PARTITION BY run_id ORDER BY turn) AS last FROM j)
+SELECT run_id, CASE WHEN ends AND turn > 2 THEN 'after-terminal' ELSE 'gap' END AS kind, CASE WHEN NOT (ends AND turn > 2) THEN last + 1 END AS expected, seq AS found FROM l WHERE ends AND turn > 2 OR seq <> last + 1"""
+)
 def t09_stream_contiguity(spark, sf_dir):
-    turns = streaming.tail(spark, f"{sf_dir}/conversations.parquet", "conv_id long, turn long, role string, text string").where("turn <> 1")
-    found = streaming.contiguity(turns.select(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("seq"), F.lit("RUN_STARTED").alias("type")))
+    turns = streaming.tail(spark, f"{sf_dir}/conversations.parquet", "conv_id long, turn long, role string, text string")
+    seq = F.col("turn") + 1 + F.when((F.col("turn") >= 2) & (F.col("conv_id") % 5 == 0), 1).otherwise(0)
+    kind = F.when((F.col("turn") == 2) & (F.col("conv_id") % 3 == 0), "RUN_SUCCEEDED").otherwise("RUN_STARTED")
+    found = streaming.contiguity(turns.select(F.col("conv_id").alias("run_id"), seq.alias("seq"), kind.alias("type")))
     return streaming.drain(found, storage.new_path(spark, "gaps"), storage.new_path(spark, "gaps-checkpoint"))
 
 
@@ -50,9 +55,18 @@ def t02_reap(spark, sf_dir):
     return streaming.reap(tasks, runs, workers, at(P.NOW))["leases"].select("id", "fate")
 
 
-@query()
+@query(
+    f"""WITH {template.journal_sql()}, {P.sql("runs", "tasks")},
+t AS (SELECT run_id, string_agg(task_name || ':' || status || ':' || attempt, ',' ORDER BY task_name) AS tasks FROM tasks GROUP BY run_id),
+e AS (SELECT run_id, string_agg(seq || ':' || type || ':' || coalesce(task_name, '') || ':' || md5(payload), ',' ORDER BY seq) AS events FROM journal GROUP BY run_id)
+SELECT r.id AS run_id, r.status || ':' || r.seed AS run, t.tasks, e.events FROM runs r LEFT JOIN t ON t.run_id = r.id LEFT JOIN e ON e.run_id = r.id"""
+)
 def k04_snapshot(spark, sf_dir):
+    """The nested rows of the snapshot, flattened again in their order."""
     runs = P.table(spark, sf_dir, "runs")
     tasks = P.table(spark, sf_dir, "tasks").select("run_id", "task_name", "status", "attempt")
-    rows = tables.snapshot(runs, tasks, journal(spark, sf_dir).select("run_id", "seq", "type", "task_name", "payload"))
-    return rows.select("run_id", F.to_json("run").alias("run"), F.to_json("tasks").alias("tasks"), F.to_json("events").alias("events"))
+    rows = tables.snapshot(runs, tasks, template.journal(spark, sf_dir).select("run_id", "seq", "type", "task_name", "payload"))
+    said = lambda x, *names: F.concat_ws(":", *[F.coalesce(x[n].cast("string"), F.lit("")) for n in names])
+    task = F.array_join(F.transform("tasks", lambda x: said(x, "task_name", "status", "attempt")), ",")
+    event = F.array_join(F.transform("events", lambda x: F.concat_ws(":", said(x, "seq", "type", "task_name"), F.md5(x["payload"]))), ",")
+    return rows.select("run_id", F.concat_ws(":", "run.status", "run.seed").alias("run"), task.alias("tasks"), event.alias("events"))

@@ -62,5 +62,39 @@ def drift(shipped: DataFrame, applied: DataFrame) -> DataFrame:
     return j.select("version", F.when(F.col("s").isNull(), "unknown").when(F.col("a").isNull(), "pending").when(F.col("a") == F.col("s"), "applied").otherwise("changed").alias("state"))
 
 
+def migrate(spark: SparkSession, path: str, applied: DataFrame) -> list[tuple[int, str, str]]:
+    """Run the pending .sql files under path in order, statement by statement (parted by semicolons at line ends); gives
+    (version, name, checksum) of each, to be appended to schema_migrations. A shipped file that differs from what was
+    applied is an error before anything runs."""
+    shipped = migrations(spark, path)
+    state = {r.version: r.state for r in drift(shipped, applied).collect()}  # a row for each file
+    changed = sorted(v for v, s in state.items() if s == "changed")
+    if changed:
+        raise ValueError(f"migration {changed[0]:03d} was modified after it was applied; add a new migration instead")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sql").load(path)
+    body = {r.v: bytes(r.content).decode() for r in files.select(text.migration_name(F.element_at(F.split("path", "/"), -1))["version"].alias("v"), "content").collect()}
+    done = []
+    for r in sorted(shipped.collect()):
+        if state[r.version] == "pending":
+            for statement in filter(str.strip, body[r.version].replace(";\r\n", ";\n").rstrip().rstrip(";").split(";\n")):
+                spark.sql(statement)
+            done.append((r.version, r.name, r.checksum))
+    return done
+
+
+def pages(page, key: str, size: int = V.MAX_PAGE):
+    """Rows of page(after, size), a keyset page with has_more, one page at a time until the last. A page that says there is
+    more without moving on is an error."""
+    after = None
+    while True:
+        rows = page(after, size).orderBy(key).collect()
+        yield from rows
+        if not rows or not rows[-1]["has_more"]:
+            return
+        if after is not None and rows[-1][key] <= after:
+            raise RuntimeError("a page does not move on")
+        after = rows[-1][key]
+
+
 def schema_version(migrations_: DataFrame) -> DataFrame:
     return migrations_.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))

@@ -38,13 +38,13 @@ def contiguity(stream: DataFrame) -> DataFrame:
     def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, ended = state.get if state.exists else (0, False)
         out = []
-        for pdf in batches:
-            for seq, kind in sorted(zip(pdf["seq"].tolist(), pdf["type"].tolist(), strict=True)):
-                if ended:
-                    out.append((key[0], "after-terminal", None, seq))
-                elif seq != last + 1:
-                    out.append((key[0], "gap", last + 1, seq))
-                last, ended = max(last, seq), ended or kind in V.TERMINAL_TYPES
+        rows = [r for pdf in batches for r in zip(pdf["seq"].tolist(), pdf["type"].tolist(), strict=True)]
+        for seq, kind in sorted(rows):  # all of the run's rows in the micro-batch, however many Arrow batches hold them
+            if ended:
+                out.append((key[0], "after-terminal", None, seq))
+            elif seq != last + 1:
+                out.append((key[0], "gap", last + 1, seq))
+            last, ended = max(last, seq), ended or kind in V.TERMINAL_TYPES
         state.update((last, ended))
         yield pd.DataFrame(out, columns=["run_id", "kind", "expected", "found"]).astype({"expected": "Int64"})
 

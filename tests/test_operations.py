@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from chronofold import api
 from chronofold import vocabulary as V
-from chronofold.functions import draws, handlers, text
+from chronofold.functions import draws, handlers, params, text
 from chronofold.functions.time import at, duration_ms, human_duration, parse_ms
-from chronofold.operators import dag, faults, ops, simulate
+from chronofold.operators import compare, dag, faults, fold, metrics, ops, simulate
+from chronofold.operators.order import numbered
 from chronofold.plans import dag_queries
 from chronofold.sources import definitions, examples, projections, storage, tables, template
 from chronofold.streaming import journal as streaming
@@ -198,3 +199,103 @@ def test_truncate_error_cuts_before_a_character(spark):
     want = [w if len(w.encode()) <= 2048 else w.encode()[:2048].decode(errors="ignore") + "... (truncated)" for w in rows]
     got = spark.createDataFrame(list(enumerate(rows)), "i int, s string").select("i", text.truncate_error(F.col("s")).alias("t")).collect()
     assert [r.t for r in sorted(got)] == want
+
+
+def test_closures_and_cycles_of_any_size(spark):
+    chain = [("chain", f"n{i:03}", f"n{i + 1:03}") for i in range(150)]
+    diamond = [("diamond", f"{k}{i:02}", f"{m}{i + 1:02}") for i in range(24) for k in "ab" for m in "ab"]
+    loop = [("loop", f"c{i:03}", f"c{(i + 1) % 130:03}") for i in range(130)] + [("loop", "c000", "out"), ("loop", "out", "further")]
+    edge = spark.createDataFrame(chain + diamond + loop, "workflow string, parent string, child string")
+    pairs = {r.workflow: r["count"] for r in dag.descendants(edge.where("workflow <> 'loop'")).groupBy("workflow").count().collect()}
+    assert pairs == {"chain": 150 * 151 // 2, "diamond": 4 * 24 * 25 // 2}
+    (found,) = dag.cycles(edge).collect()
+    path = found.path.split(" -> ")
+    assert found.workflow == "loop" and path[0] == path[-1] == "c000" and len(path) == 131 and set(path) == {f"c{i:03}" for i in range(130)}
+    assert dag.find_cycle([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")]) == ["b", "c", "b"] and dag.find_cycle([("a", "a")]) == ["a", "a"]
+
+
+def test_contiguity_over_many_arrow_batches(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = spark.range(1, 30_001).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("seq"), F.lit("RUN_STARTED").alias("type"))
+    broken = rows.where("seq <> 20000").withColumn("run_id", F.lit(2).cast("long")).withColumn("type", F.when(F.col("seq") == 29_999, "RUN_FAILED").otherwise(F.col("type")))
+    rows.unionByName(broken).orderBy(F.xxhash64("seq", "run_id")).coalesce(1).write.parquet(src)
+    found = streaming.drain(streaming.contiguity(streaming.tail(spark, src, "run_id long, seq long, type string")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted((r.run_id, r.kind, r.expected, r.found) for r in found.collect()) == [(2, "after-terminal", None, 30_000), (2, "gap", 20_000, 20_001)]
+
+
+def test_metric_bounds_and_duplicates(spark):
+    assert metrics.TASK_BOUNDS == [0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1, 5, 10, 30, 60]
+    assert metrics.RUN_BOUNDS == [0.01, 0.1, 0.5, 1, 5, 10, 30, 60, 300, 900]
+    assert metrics.RECOVERY_BOUNDS == [0.1, 0.25, 0.5, 1, 2, 5, 10, 30, 60, 120]
+    assert len(V.BENCH_COLUMNS) + len(metrics.ENVIRONMENT) == 27
+    starts = [(1, 1, "RUN_CREATED", None, '{"v":1,"workflow_name":"w"}'), *[(1, i, "TASK_STARTED", "t", f'{{"v":1,"attempt":{a}}}') for i, a in enumerate((1, 2, 2, 2), 2)], (1, 6, "WORKER_LOST", None, "{}")]
+    j = spark.createDataFrame([(r, s, k, t, "w1", p, None) for r, s, k, t, p in starts] + [(2, 1, "WORKER_LOST", None, "w1", "{}", None)], V.JOURNAL)
+    assert sorted((r.counter, r.task, r.n) for r in metrics.counters(j).collect()) == [("duplicate_executions_total", "t", 2), ("worker_lost_total", None, 1)]
+
+
+def test_numbered_by_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 5).alias("v")).repartition(5)
+    got = sorted(numbered(df, [F.col("k")], {"v": "before"}, "test").collect())
+    total = 0
+    for i, r in enumerate(got):
+        assert (r.k, r.pos, r.before) == (i, i, total)
+        total += r.v
+
+
+def test_settings():
+    assert params.int_list("1, 2,,5", "--runs") == [1, 2, 5] and params.fraction_list("0,0.05", "--rates") == [0, 0.05]
+    for bad in (lambda: params.int_list("0", "x"), lambda: params.int_list(",", "x"), lambda: params.fraction_list("1.5", "x"), lambda: params.duration_param({"d": 5}, "d", 1), lambda: params.int_param({"n": "5"}, "n", 1), lambda: params.duration_setting({"A": "5"}, "A", 1)):
+        with pytest.raises(ValueError):
+            bad()
+    assert params.duration_param({"d": "250ms"}, "d", 1) == 250 and params.duration_param({}, "d", 7) == 7 and params.int_param({"n": 5.7}, "n", 1) == 5
+    assert params.Timing().problems() == [] and params.Timing.of({"LEASE_MS": "1m", "LOST_AFTER": "9"}) == params.Timing(lease_ms=60_000, lost_after=9)
+    assert len(params.Timing(renew_ms=20_000, beat_ms=0, suspect_after=1, lost_after=1).problems()) == 4
+    assert 0 < params.new_seed() < 1 << 63
+
+
+def test_failing_handlers_and_scenario_source():
+    r = handlers.failing(handlers.examples(), 0.3)
+    said = [handlers.invoke(r.lookup("import_csv"), handlers.TaskContext(str(i), "t", 1, {})) for i in range(400)]
+    bad = [s["error"] for s in said if s["error"]]
+    assert 80 < len(bad) < 160 and "30.0% fault rate" in bad[0] and handlers.failing(r, 0) is r
+    asked = []
+    source = handlers.ScenarioSource({"a": {"hash": "h"}}, lambda i: asked.append(i) or {1: ("a", ""), 2: ("", ""), 3: ("b", ""), 4: ("a", "x")}[i])
+    assert source.for_run(1) == source.for_run(1) == {"hash": "h"} and source.for_run(2) is None and asked == [1, 2]
+    for i in (3, 4):
+        with pytest.raises(LookupError):
+            source.for_run(i)
+    with pytest.raises(ValueError):
+        handlers.TaskContext("r", "t", 1, {}).emit_hashed("n", "text/plain", "abc", 3)
+
+
+def test_migrations_run_once_and_refuse_changes(spark, tmp_path):
+    (tmp_path / "001_a.sql").write_text("CREATE OR REPLACE TEMP VIEW migrated AS SELECT 1 AS x;\nCREATE OR REPLACE TEMP VIEW migrated AS\nSELECT x + 1 AS x FROM VALUES (1) t(x);\n")
+    schema = "version int, name string, checksum string"
+    done = tables.migrate(spark, str(tmp_path), spark.createDataFrame([], schema))
+    assert [d[:2] for d in done] == [(1, "a")] and spark.table("migrated").first().x == 2
+    assert tables.migrate(spark, str(tmp_path), spark.createDataFrame(done, schema)) == []
+    with pytest.raises(ValueError, match="modified"):
+        tables.migrate(spark, str(tmp_path), spark.createDataFrame([(1, "a", "other")], schema))
+
+
+def test_pages_are_walked_to_the_end(spark):
+    df = spark.range(25).select(F.col("id").alias("seq"))
+    assert [r.seq for r in tables.pages(lambda after, n: ops.keyset_page(df, "seq", after, n), "seq", 10)] == list(range(25))
+    with pytest.raises(RuntimeError):
+        list(tables.pages(lambda after, n: df.where("seq < 3").withColumn("has_more", F.lit(True)), "seq", 3))
+
+
+def test_a_run_of_one_side_is_a_divergence(spark):
+    j = template.journal(spark, SF).where("run_id in (1, 2)")
+    state = lambda j: (fold.run_state(j), fold.task_state(j))
+    found = compare.compare(state(j), state(j.where("run_id = 1"))).where("subject = 'run'").collect()
+    assert [(r.run_id, r.category, r.actual) for r in found] == [(2, "missing-event", "absent")]
+
+
+def test_errors_and_readiness(spark, tmp_path):
+    assert [api.http_status(e) for e in (api.NotFound("x"), ValueError("x"), OSError("x"))] == [404, 400, 500]
+    assert not api.Store(spark, str(tmp_path)).ready(1) and api.Store(spark, str(tmp_path)).healthy()
+    for n in ("runs", "workflows"):
+        spark.createDataFrame([], V.TABLES[n]).write.parquet(f"{tmp_path}/{n}.parquet")
+    with pytest.raises(api.NotFound):
+        api.Store(spark, str(tmp_path)).run("0" * 8 + "-0000-0000-0000-" + "0" * 12)
