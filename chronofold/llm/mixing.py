@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from . import shared
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -43,22 +44,6 @@ def targets(by_source: DataFrame, weights: tuple[int, ...], share: float, cap: i
     return s.select("source", "source_size", target.alias("target"))
 
 
-def numbered(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
-    """df with pos (rows before in the order) and, for each column of sums, the sum over the rows before under its name.
-    Ranges of the order are sorted and summed each for itself; their totals, a row a range, give each its offset."""
-    at, part = shared.unused(df, "n_at", "n_part")
-    t = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
-    t = shared.written(t.withColumn(part, F.shiftright(at, 33)), name)
-    inner = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("o_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    totals = t.groupBy(F.col(part).alias("o_part")).agg(F.count("*").alias("o_pos"), *[F.sum(c).alias(f"o_{new}") for c, new in sums.items()])
-    offsets = totals.select("o_part", *[F.coalesce(F.sum(f"o_{c}").over(before), F.lit(0)).alias(f"o_{c}") for c in ("pos", *sums.values())])
-    offsets = shared.written(offsets, name + "-offsets")
-    own = {"pos": F.count(F.lit(1)).over(inner)} | {new: F.coalesce(F.sum(c).over(inner), F.lit(0)) for c, new in sums.items()}
-    run = t.withColumns(own).join(shared.small(offsets), F.col(part) == F.col("o_part"))
-    return run.select(*df.columns, *[(F.col(c) + F.col(f"o_{c}")).cast("long").alias(c) for c in own])
-
-
 def _key(docs: DataFrame, text: str, id_col: str):
     t = shared.text_of(docs, text)
     own = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("t"), F.md5(t)))

@@ -11,31 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import new_path
+from ..sources.storage import forget, new_path, written  # noqa: F401  shared by the operators
 
 #: Rows up to which a counted table is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 50_000
 
 
-def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
-    w = df.write.option("compression", "zstd")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._chronofold_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables made by written() that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._chronofold_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as keep it apart from df's columns in any case."""
     taken = {c.lower() for c in df.columns}
