@@ -28,7 +28,7 @@ from . import shared
 
 MIN_IDS, CUT_BITS, MAX_IDS = 128, 8, 2048
 KEY = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: A Latin letter, then closing ASCII marks and the end of a piece.
 CLOSING = "([A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}])([!-/:-@\\[-`{-~]+)(\\x00|\\z)"
 
@@ -117,13 +117,14 @@ class Encoder:
             keep = self.met >= self.batch - 2
             self.ids = self.ids[np.repeat(keep, self.size)]
             self.words, self.met, self.size = self.words.filter(pa.array(keep)), self.met[keep], self.size[keep]
-        at = pc.index_in(pieces, self.words)
-        new = pieces.filter(at.is_null())
-        line, spaced = pc.equal(new, "\n"), pc.starts_with(new, " ")
-        for some, before, first in ((new.filter(spaced), "", self.opens), (new.filter(pc.invert(pc.or_(spaced, line))), "\n", self.is_line), (new.filter(line), None, None)):
-            for k in range(0, len(some), 50_000):
-                self.learn(some.slice(k, 50_000), before, first)
-        at = pc.index_in(pieces, self.words).to_numpy() if len(new) else at.to_numpy()
+        at = pc.fill_null(pc.index_in(pieces, self.words), -1).to_numpy().copy()
+        line, spaced = pc.equal(pieces, "\n").to_numpy(zero_copy_only=False), pc.starts_with(pieces, " ").to_numpy(zero_copy_only=False)
+        new = at < 0
+        for which, before, first in ((spaced, "", self.opens), (~spaced & ~line, "\n", self.is_line), (line, None, None)):
+            own = np.flatnonzero(new & which)
+            for k in range(0, len(own), 50_000):
+                at[own[k : k + 50_000]] = np.arange(len(own[k : k + 50_000])) + len(self.words)
+                self.learn(pieces.take(pa.array(own[k : k + 50_000])), before, first)
         self.met[at] = self.batch
         return at
 
@@ -145,7 +146,7 @@ class Encoder:
         self.ids, self.size, self.met = np.r_[self.ids, ids].astype(self.dtype), np.r_[self.size, size], np.r_[self.met, np.full(len(size), self.batch)]
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `size` bytes in a text column, or one row that is longer."""
     import numpy as np
     import pyarrow.compute as pc

@@ -37,15 +37,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def give_back() -> None:
     """Return freed memory of this Python process to the system; between tasks a worker then holds little."""
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # no glibc
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(run, every_s: float = 2.0):
+def lean(run, every_s: float = 10.0):
     """run, an Arrow function over batches, that gives freed memory back every few seconds and at its end."""
 
     def wrapped(batches: Iterator) -> Iterator:
