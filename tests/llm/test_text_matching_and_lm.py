@@ -107,6 +107,14 @@ def test_model_is_normalised_and_learns(monkeypatch):
     assert np.mean(language_model.log_probabilities(model, far, near, near)) > math.log10(10 / k)
 
 
+@pytest.mark.parametrize("shift", [0, 200, -200])
+def test_log_softmax_of_any_size(shift):
+    z = np.random.default_rng(1).standard_normal((50, 9)).astype(np.float32) * 3 + np.float32(shift)
+    at = np.arange(50) % 9
+    want = [float(r[k]) - math.log(sum(math.exp(float(x) - float(max(r))) for x in r)) - float(max(r)) for r, k in zip(z, at)]
+    assert np.allclose(language_model._log_softmax_at(z, at), want, atol=1e-4)
+
+
 def test_scores_are_a_naive_walk(edge_docs, monkeypatch):
     monkeypatch.setattr(language_model, "VOCABULARY", 300)
     monkeypatch.setattr(language_model, "TOKENS", 5000)
