@@ -1,6 +1,7 @@
 """State changes as sets of rows: what a batch of requests would write, as a dict of tables. Rows of runs, tasks and workers
 are the changed ones with the columns that change; events go to ops.append_events, which numbers them by `ord`. A guard that
-a request fails is a row of `refused` with the reason, never an error. `now` is a literal."""
+a request fails is a row of `refused` with the reason, never an error. `now` is a literal. What several of a change's tables
+follow from is written once."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import text
+from ..sources.storage import written
 from . import dag, ops
 
 #: Places of a change's events within a run: its own, then dependents, then the run's end.
@@ -106,7 +108,7 @@ def _abandoned(steps: DataFrame, tasks: DataFrame, finished: DataFrame, workflow
     newly = dead.join(tasks.select("id", "run_id", "task_name"), "id").join(workflow, "run_id")
     below = newly.select("run_id", "workflow", F.col("task_name").alias("name")).join(dag.descendants(dag.edges(steps)), ["workflow", "name"])
     first = below.groupBy("run_id", F.col("descendant").alias("task_name")).agg(F.min("name").alias("upstream"))
-    hit = state.where(~F.col("status").isin(*V.TASK_TERMINAL)).join(first, ["run_id", "task_name"])
+    hit = written(state.where(~F.col("status").isin(*V.TASK_TERMINAL)).join(first, ["run_id", "task_name"]).select("id", "run_id", "task_name", "attempt", "worker_id", "upstream"), "abandoned")
     reason = F.concat(F.lit("upstream task "), "upstream", F.lit(" did not succeed"))
     return _dead(hit, reason, F.concat(reason, F.lit(": ")), now, AFTER)
 
@@ -119,10 +121,10 @@ def complete_tasks(tasks: DataFrame, runs: DataFrame, workflow: DataFrame, steps
     held = tasks.where(F.col("status").isin(*V.TASK_HOLDS)).select("id", "worker_id", "attempt", "run_id", "task_name", F.col("status").alias("was"))
     j = outcomes.join(held, ["id", "worker_id", "attempt"], "left")
     ok = F.coalesce(F.col("error").isNull() & (F.col("was") == "RUNNING") | F.col("error").isNotNull() & F.col("was").isNotNull(), F.lit(False))
-    j = j.withColumn("ok", ok)
+    j = written(j.withColumn("ok", ok), "outcomes")
     won, failed = j.where("ok and error is null"), j.where("ok and error is not null")
     fate = ops.after_failure(failed, now, policy).select("id", F.col("status").alias("fate"), "delay_ms", "scheduled_at", F.col("reason").alias("why"))
-    failed = failed.join(fate, "id").withColumn("said", text.truncate_error(F.col("error")))
+    failed = written(failed.join(fate, "id").withColumn("said", text.truncate_error(F.col("error"))), "failed")
     again, dead = failed.where("fate = 'RETRYING'"), failed.where("fate = 'DEAD'")
     over = _dead(dead, F.col("why"), F.concat_ws(": ", "why", "said"), now, OWN + 2)
     finished = won.select("id", F.lit("SUCCEEDED").alias("status")).unionByName(over["tasks"].select("id", "status"))
@@ -134,7 +136,8 @@ def complete_tasks(tasks: DataFrame, runs: DataFrame, workflow: DataFrame, steps
     free = dag.unlocked(steps, state).join(near, ["run_id", "name"], "left_semi").select("run_id", F.col("name").alias("task_name")).join(state.select("id", "run_id", "task_name"), ["run_id", "task_name"])
     row = lambda df, status, at: df.select("id", F.lit(status).alias("status"), at.alias("scheduled_at"))
     none = F.lit(None).cast("timestamp_ntz")
-    changed = _union(row(won, "SUCCEEDED", none), row(again, "RETRYING", F.col("scheduled_at")), over["tasks"], behind["tasks"], row(free, "READY", now))
+    free = written(free, "free")
+    changed = written(_union(row(won, "SUCCEEDED", none), row(again, "RETRYING", F.col("scheduled_at")), over["tasks"], behind["tasks"], row(free, "READY", now)), "changed")
     end = _settled(tasks, changed, runs, now)
     events = _union(
         _events(won, "TASK_SUCCEEDED", now, worker="worker_id", attempt=F.col("attempt"), duration_ms=F.col("duration_ms"), output=F.col("output")),
@@ -149,14 +152,14 @@ def complete_tasks(tasks: DataFrame, runs: DataFrame, workflow: DataFrame, steps
 def expire_leases(tasks: DataFrame, runs: DataFrame, workflow: DataFrame, steps: DataFrame, now: Column, limit: int | None = 200) -> dict[str, DataFrame]:
     """What a sweep writes for the held tasks whose lease has run out: tasks, runs, dead_letters, events. With attempts left
     a task is ready again; without, it is dead, and so are the steps behind it. The tasks of a closed run die unrecorded."""
-    late = ops.expired_leases(tasks, runs, now, limit)
+    late = written(ops.expired_leases(tasks, runs, now, limit), "late")
     told, back, dead = late.where("fate <> 'abandon'"), late.where("fate = 'requeue'"), late.where("fate = 'dead'")
     reason = F.lit("lease expired with no attempts remaining")
     over = _dead(dead, reason, reason, now, OWN + 1)
     behind = _abandoned(steps, tasks, over["tasks"], workflow, now)
     back = back.join(behind["tasks"], "id", "left_anti")  # what lies behind a dead step is not tried again
     row = lambda df, status: df.select("id", F.lit(status).alias("status"), now.alias("scheduled_at"))
-    changed = _union(row(back, "READY"), over["tasks"], row(late.where("fate = 'abandon'"), "DEAD"), behind["tasks"])
+    changed = written(_union(row(back, "READY"), over["tasks"], row(late.where("fate = 'abandon'"), "DEAD"), behind["tasks"]), "changed")
     end = _settled(tasks, changed, runs, now)
     events = _union(
         _events(told, "TASK_LEASE_EXPIRED", now, worker="worker_id", attempt=F.col("attempt")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.time import at
 from ..operators import changes, dag
 from ..sources import projections as P
+from ..sources.storage import written
 from . import registry
 from .ops_queries import query
 
@@ -23,6 +24,11 @@ def _t(spark, sf_dir, *names):
     return [P.table(spark, sf_dir, n) for n in names]
 
 
+def _kept(spark, sf_dir):
+    """tasks and runs as the tables that a change reads many times."""
+    return [written(t, "table") for t in _t(spark, sf_dir, "tasks", "runs")]
+
+
 def _steps(spark, most: int = 7):
     rows = [("line", n, f"t{n}", f"h{n}", [f"t{n - 1}"] if n > 1 else [], None, None, None, None, None, 0 if n % 2 else 1000 * n) for n in range(1, most + 1)]
     return spark.createDataFrame(rows, dag.STEPS)
@@ -80,7 +86,7 @@ n AS (SELECT f.*, b.upstream, CASE WHEN fate = 'won' THEN 'SUCCEEDED' WHEN fate
 
 
 def _completed(spark, sf_dir):
-    tasks, runs = _t(spark, sf_dir, "tasks", "runs")
+    tasks, runs = _kept(spark, sf_dir)
     bad = F.col("id") % 4 == 0
     outcomes = tasks.where("status in ('LEASED', 'RUNNING')").select("id", "worker_id", "attempt", F.when(~bad, "{}").alias("output"), F.when(bad, "boom").alias("error"), (F.col("id") % 8 == 0).alias("permanent"), F.lit(9).alias("duration_ms"), F.lit(42).alias("seed"))
     return changes.complete_tasks(tasks, runs, _line(runs), _steps(spark), outcomes, _now())
@@ -134,13 +140,13 @@ UNION ALL SELECT run_id, 1000000, 'RUN_FAILED', NULL, '{{"v":1,"reason":"tasks d
     "tasks", "runs",
 )
 def m14_expire_leases(spark, sf_dir):
-    tasks, runs = _t(spark, sf_dir, "tasks", "runs")
+    tasks, runs = _kept(spark, sf_dir)
     return changes.expire_leases(tasks, runs, _line(runs), _steps(spark), _now(), None)["events"].select(*EVENT)
 
 
 @query(f"WITH {_LATE} SELECT id, new AS status FROM n WHERE new IS NOT NULL", "tasks", "runs")
 def m15_expired_tasks(spark, sf_dir):
-    tasks, runs = _t(spark, sf_dir, "tasks", "runs")
+    tasks, runs = _kept(spark, sf_dir)
     return changes.expire_leases(tasks, runs, _line(runs), _steps(spark), _now(), None)["tasks"].select("id", "status")
 
 

@@ -60,9 +60,9 @@ def p02_task_columns(spark, sf_dir):
     return P.table(spark, sf_dir, "tasks").select("id", "run_id", "task_name", "attempt", "status", F.coalesce("error", F.lit("")).alias("error"))
 
 
-@query(_p("tasks") + f"SELECT id, 'LEASED' AS status FROM tasks WHERE status = 'READY' AND scheduled_at <= {T} AND run_id = 32 ORDER BY scheduled_at, id LIMIT 5")
+@query(_p("tasks") + f"SELECT id, 'LEASED' AS status FROM tasks WHERE status = 'READY' AND scheduled_at <= {T} AND run_id = 3 ORDER BY scheduled_at, id LIMIT 5")
 def p04_claim_for_run(spark, sf_dir):
-    return ops.claim(P.table(spark, sf_dir, "tasks"), at(P.NOW), 1, 5, run_id=32).select("id", "status")
+    return ops.claim(P.table(spark, sf_dir, "tasks"), at(P.NOW), 1, 5, run_id=3).select("id", "status")
 
 
 @query(_p("tasks") + "SELECT id, status FROM tasks WHERE status IN ('LEASED', 'RUNNING')")
