@@ -70,4 +70,4 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_content_store, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash, op6_toxicity, op7_decontaminate, op8_quality, op9_lm_score, op10_shards)}
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_shards": shards.ORACLE}

@@ -121,3 +121,14 @@ def test_oracle_of_exact_dedup(spark):
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({exact_dedup.ORACLE})").fetchall())
     assert sorted(tuple(r) for r in exact_dedup.exact_dedup(spark.read.parquet(f"{sf}/documents.parquet")).select(columns).collect()) == want
+
+
+def test_oracle_of_shards(spark, edge_docs):
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "text_group"]
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    edges = duckdb.connect()
+    view(edges, list(edge_rows()))
+    for c, docs in ((con, spark.read.parquet(f"{sf}/documents.parquet")), (edges, edge_docs)):
+        want = collections.Counter(c.sql(f"SELECT {', '.join(columns)} FROM ({shards.ORACLE})").fetchall())
+        assert collections.Counter(tuple(r) for r in shards.shard_by_bytes(docs).select(columns).collect()) == want
