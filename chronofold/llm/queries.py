@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_store, decontaminate, exact_dedup, language, language_model, mixing, quality, shards, shared, simhash, toxicity
+from . import alignment, content_store, conversations, decontaminate, exact_dedup, language, language_model, mixing, quality, shards, shared, simhash, toxicity, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,5 +69,25 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_docs(spark, sf_dir), 40)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_content_store, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash, op6_toxicity, op7_decontaminate, op8_quality, op9_lm_score, op10_shards)}
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 100 = 0", 10)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def piece_bpe() -> bytes:
+    """The sentencepiece model's content; its folder is that of the installed package."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_docs(spark, sf_dir), byte_bpe(), piece_bpe())[0]
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_content_store, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash, op6_toxicity, op7_decontaminate, op8_quality, op9_lm_score, op10_shards, op11_nearest, op12_conversation_repair, op13_alignment)}
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_shards": shards.ORACLE}
