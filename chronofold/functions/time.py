@@ -30,6 +30,11 @@ def at(literal: str) -> Column:
     return F.lit(literal).cast("timestamp_ntz")
 
 
+def instant(ts: Column) -> Column:
+    """ts as a payload writes it: RFC 3339 in UTC, no fraction or one without closing zeros."""
+    return F.concat(F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
+
+
 def parse_ms(text: str) -> int:
     """Milliseconds of a duration with units ('1m30s'); a bare number is refused."""
     found = re.fullmatch(r"([+-]?)((?:\d+(?:\.\d*)?|\.\d+)(?:ns|us|µs|ms|s|m|h))+", text)

@@ -187,12 +187,13 @@ def first_recorded(ledger: DataFrame) -> DataFrame:
 # Outcomes and lifecycle -----------------------------------------------------------------------------------------------
 
 
-def after_failure(failed: DataFrame, now: Column, policy: dict = V.DEFAULT_RETRY) -> DataFrame:
+def after_failure(failed: DataFrame, now: Column, policy: dict | None = V.DEFAULT_RETRY) -> DataFrame:
     """failed (id, run_id, task_name, attempt, permanent, seed) -> status (RETRYING or DEAD), delay_ms, scheduled_at, reason.
-    A permanent failure, or one without attempts left, is dead."""
-    again = draws.should_retry(F.col("attempt"), F.lit(policy["max_attempts"]), F.col("permanent"))
+    A permanent failure, or one without attempts left, is dead. policy None: failed has a policy's columns."""
+    of = F.col if policy is None else lambda k: F.lit(policy[k])
+    again = draws.should_retry(F.col("attempt"), of("max_attempts"), F.col("permanent"))
     u = draws.uniform(F.col("seed"), F.col("run_id"), F.lit("retry"), F.col("task_name"), F.col("attempt"))
-    wait = draws.backoff_ms(F.col("attempt"), F.lit(policy["initial_delay_ms"]), F.lit(policy["multiplier"]), F.lit(policy["max_delay_ms"]), F.lit(policy["jitter"]), u)
+    wait = draws.backoff_ms(F.col("attempt"), of("initial_delay_ms"), of("multiplier"), of("max_delay_ms"), of("jitter"), u)
     out = failed.withColumn("delay_ms", F.when(again, wait))
     return out.select("id", "run_id", "task_name", "attempt", F.when(again, "RETRYING").otherwise("DEAD").alias("status"), "delay_ms", F.when(again, plus_ms(now, F.col("delay_ms"))).alias("scheduled_at"),
                       F.when(~again, F.when(F.col("permanent"), "permanent failure").otherwise("attempts exhausted")).alias("reason"))
@@ -238,13 +239,28 @@ def latest_artifacts(artifacts: DataFrame) -> DataFrame:
     return artifacts.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("created_at", "sha256")).alias("v")).select(*keys, "v.*")
 
 
+def is_terminal() -> Column:
+    return F.col("type").isin(*V.TERMINAL_TYPES)
+
+
+def number_after(new: DataFrame, state: DataFrame) -> DataFrame:
+    """new (run_id, ord, type, ...) with seq, numbered on from each run's last (state: run_id, last, ended), and refused: the
+    run has ended before, by its state or by an event of new. Events of one ord lie by task, type and payload. What is
+    refused comes after all that is not, so no number is lost. Rows without a type end no run. last and ended: the state's."""
+    j = new.join(state.select("run_id", "last", "ended"), "run_id", "left").fillna({"last": 0, "ended": False})
+    ties = [c for c in ("task_name", "type", "payload") if c in new.columns]
+    order = Window.partitionBy("run_id").orderBy("ord", *ties)
+    ends = is_terminal() if "type" in new.columns else F.lit(False)
+    closed = F.coalesce(F.bool_or(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return j.withColumns({"seq": F.col("last") + F.row_number().over(order), "refused": F.col("ended") | closed})
+
+
 def append_events(journal: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """new (run_id, ord, type, ...) numbered on from each run's last seq, and those refused because their run has ended.
-    One writer only: concurrent appends need a transactional table."""
-    last = journal.groupBy("run_id").agg(F.max("seq").alias("_last"), F.bool_or(F.col("type").isin(*V.TERMINAL_TYPES)).alias("_ended"))
-    j = new.join(last, "run_id", "left").fillna({"_last": 0, "_ended": False})
-    numbered = j.where("not _ended").withColumn("seq", F.col("_last") + F.row_number().over(Window.partitionBy("run_id").orderBy("ord")))
-    return numbered.drop("_last", "_ended", "ord"), j.where("_ended").drop("_last", "_ended")
+    One writer only; streaming.append is the form for a stream, and survives being run again."""
+    last = journal.groupBy("run_id").agg(F.max("seq").alias("last"), F.bool_or(is_terminal()).alias("ended"))
+    j = number_after(new, last)
+    return j.where("not refused").drop("last", "ended", "ord", "refused"), j.where("refused").drop("last", "ended", "seq", "refused")
 
 
 def rate_limited(requests: DataFrame, rate: float, burst: float) -> DataFrame:
