@@ -314,3 +314,28 @@ def repair_damaged(conversations: DataFrame) -> DataFrame:
     said = digests(repaired(rows, repairs)).withColumnRenamed("conv_id", "_conv")
     nothing = hashlib.sha256(b"").hexdigest()
     return repairs.join(said, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv").withColumn("repaired_sha256", F.coalesce("sha256", F.lit(nothing))).drop("sha256")
+
+
+#: The same in DuckDB. crc32 goes byte by byte; the programme is a recursive table of the cheapest ways to each place.
+ORACLE = r"""WITH RECURSIVE k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda s, z: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END)), 4294967295::BIGINT) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+  unnest(CASE h WHEN 3 THEN [1, 2] WHEN 0 THEN [] ELSE [1] END) AS copy FROM h),
+f AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM d),
+r AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(c) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM f),
+s AS (SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pos > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+moves(p, q, x, lines) AS (VALUES (0, 0, '', []::VARCHAR[]), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])),
+edits(q, c, e, after) AS (SELECT q, NULL::VARCHAR, 'D', q FROM (VALUES (0), (1), (2), (3)) t(q) UNION ALL SELECT q, NULL::VARCHAR, 'R', CASE q WHEN 2 THEN 3 ELSE 2 END FROM (VALUES (0), (1), (2), (3)) t(q)
+  UNION ALL SELECT * FROM (VALUES (0, 's', 'K', 1), (0, 'u', 'K', 2), (1, 'u', 'K', 2), (3, 'u', 'K', 2), (2, 'a', 'K', 3)) t(q, c, e, after)),
+dp(conv_id, pos, place, way) AS (SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} FROM s
+  UNION ALL SELECT dp.conv_id, r.pos, e.after, min({'cost': way.cost + 3 * length(m.x) + CASE e.e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e.e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END, 'audit': way.audit || m.x || e.e,
+    'lines': list_concat(list_concat(way.lines, m.lines), CASE e.e WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE e.after WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || text] END)})
+  FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos + 1 JOIN moves m ON m.p = dp.place JOIN edits e ON e.q = m.q AND (e.c IS NULL OR e.c = r.c) WHERE e.e = 'D' OR fault NOT IN ('blank', 'duplicate') GROUP BY dp.conv_id, r.pos, e.after),
+ends AS (SELECT dp.conv_id, min({'cost': way.cost + 3 * length(x), 'audit': way.audit || x, 'lines': list_concat(way.lines, m.lines)}) AS way FROM dp JOIN s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND s.n = dp.pos
+  JOIN (VALUES (0, '', []::VARCHAR[]), (1, 'II', ['user:', 'assistant:']), (2, 'I', ['assistant:']), (3, '', [])) m(place, x, lines) ON m.place = dp.place GROUP BY dp.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost, coalesce(way.audit, '') AS audit,
+  sha256(coalesce(array_to_string(way.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -90,4 +90,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_content_store, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash, op6_toxicity, op7_decontaminate, op8_quality, op9_lm_score, op10_shards, op11_nearest, op12_conversation_repair, op13_alignment)}
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_shards": shards.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_shards": shards.ORACLE, "op12_conversation_repair": conversations.ORACLE}

@@ -138,3 +138,16 @@ def test_undamaged_rows_and_empty_table(spark):
     got = {r.conv_id: (r.cost, r.audit, r.illegal) for r in conversations.repair(good).collect()}
     assert got == {1: (0, "KKK", 0), 2: (3, "KI", 0)}
     assert conversations.repair_damaged(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sql_gives_the_same(spark, table):
+    import duckdb
+
+    rows = [r[:4] for r in conversation_rows() if r[0] != 500 or r[1] < 40]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(conversations.ORACLE)
+    got = conversations.repair_damaged(table.where("conv_id is null or conv_id <> 500 or turn < 40"))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
