@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import content_store, shared
 
-#: Bytes of text in a block, and units of text whose groups a worker keeps.
-BLOCK, CACHE_UNITS, CACHE_CHARS = 8 << 20, 400_000, 64
+#: Bytes of text in a block; units that a worker keeps from one block to the next, of those that a block has so often.
+BLOCK, CACHE_UNITS, CACHE_TIMES = 8 << 20, 200_000, 3
 #: Between words: a single space with no white space beside it. A byte-level token takes such a space to what follows it,
 #: and so does a piece, so both tokenizers have a token's end before it, and what lies on either side does not depend on
 #: the other.
@@ -52,47 +52,74 @@ class Aligner:
         spec.ParseFromString(model)
         n = spec.normalizer_spec
         self.split = n.name == "identity" and n.add_dummy_prefix and not n.remove_extra_whitespaces and all("▁" not in p.piece.lstrip("▁") for p in spec.pieces)
+        self.a_size, self.b_size = ([len(x) for x in side] for side in (self.a_bytes, self.b_bytes))
         self.known: dict[str, tuple] = {}
 
     def units(self, text: str) -> list[str]:
         return BETWEEN.split(text) if self.split else [text]
 
     def learn(self, units: list[str]) -> dict[str, tuple]:
-        """For each unit its groups and n_a, n_b, n_groups, n_links; no group where the bytes of A or B are not those of a
-        space and the unit."""
+        """For each unit n_a, n_b and its groups; no group where the bytes of A or B are not those of a space and the unit.
+        Units that have no white space at either end are encoded many at once, as the words of one text."""
+        plain = [u for u in units if self.split and not u[0].isspace() and not u[-1].isspace() and "▁" not in u]
         out = {}
-        for k in range(0, len(units), 20_000):
-            some = units[k : k + 20_000]
-            in_a = self.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False)
-            for unit, a, b in zip(some, in_a, self.b.encode(some, num_threads=1), strict=True):
-                out[unit] = self.cut(unit, a.ids, b)
-        return out
+        for k in range(0, len(plain), 20_000):
+            out |= self.together(plain[k : k + 20_000])
+        return out | {u: self.alone(u) for u in units if u not in out}
+
+    def alone(self, unit: str) -> tuple:
+        whole = (" " + unit).encode("utf-8", "surrogatepass")
+        a, b = self.a.encode(" " + unit, add_special_tokens=False).ids, self.b.encode(unit, num_threads=1)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            return 0, 0, ()
+        return len(a), len(b), tuple(self.groups(a, b)[1])
+
+    def groups(self, a: list[int], b: list[int]):
+        """Where the groups of two tokenizations of the same bytes end, their texts, and how many A and B tokens each has."""
+        import numpy as np
+
+        a, b = np.array(a, np.uint32), np.array(b, np.uint32)
+        end_a, end_b = np.cumsum(np.array(self.a_size)[a]), np.cumsum(np.array(self.b_size)[b])
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        n_a, n_b = (np.diff(np.searchsorted(e, cuts, "right"), prepend=0) for e in (end_a, end_b))
+        size = n_a + n_b + 1  # A ids, a mark that is no id, B ids
+        begin = np.cumsum(size) - size
+        laid = np.full(size.sum(), 0xFFFFFFFF, np.uint32)
+        for ids, n, at in ((a, n_a, begin), (b, n_b, begin + n_a + 1)):
+            laid[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        packed, said, texts = laid.tobytes(), {}, []
+        for at, to, n in zip((begin * 4).tolist(), ((begin + size) * 4).tolist(), n_a.tolist(), strict=True):
+            key = packed[at:to]
+            if key not in said:
+                ids = laid[at // 4 : to // 4].tolist()
+                said[key] = ",".join(map(str, ids[:n])) + "|" + ",".join(map(str, ids[n + 1 :]))
+            texts.append(said[key])
+        return cuts, texts, n_a, n_b
+
+    def together(self, units: list[str]) -> dict[str, tuple]:
+        import numpy as np
 
-    def cut(self, unit: str, a: list[int], b: list[int]) -> tuple:
-        whole = b" " + unit.encode("utf-8", "surrogatepass")
+        text = " ".join(units)
+        whole = (" " + text).encode("utf-8", "surrogatepass")
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return (), 0, 0, 0, 0
-        groups, links, i, j = [], 0, 0, 0
-        while i < len(a):
-            i0, j0 = i, j
-            end_a, end_b, i, j = len(self.a_bytes[a[i]]), len(self.b_bytes[b[j]]), i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a, i = end_a + len(self.a_bytes[a[i]]), i + 1
-                else:
-                    end_b, j = end_b + len(self.b_bytes[b[j]]), j + 1
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            links += i - i0 + j - j0 - 1  # no end inside is common, so each further token adds one overlap
-        return tuple(groups), len(a), len(b), len(groups), links
-
-    def of(self, texts: list[str]) -> dict[str, tuple]:
-        """The units of the texts and what learn() gives for them. Short units are kept for the next block."""
-        asked = {u for t in texts for u in self.units(t)}
+            return {}  # some unit is not plain; each goes by itself
+        cuts, texts, n_a, n_b = self.groups(a, b)
+        ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) + 1 for u in units])
+        last = np.searchsorted(cuts, ends)
+        if not (cuts[last] == ends).all():
+            return {}
+        sums = [np.diff(np.cumsum(n)[last], prepend=0).tolist() for n in (n_a, n_b)]
+        return {u: (x, y, tuple(texts[i:j])) for u, x, y, i, j in zip(units, *sums, [0, *(last + 1).tolist()], (last + 1).tolist(), strict=False)}
+
+    def of(self, times: dict[str, int]) -> list[tuple]:
+        """What learn() gives for each of the units, which a block has so many times. Units that return are kept."""
         if len(self.known) > CACHE_UNITS:
             self.known.clear()
-        new = self.learn(sorted(asked - self.known.keys()))
-        self.known |= {u: v for u, v in new.items() if len(u) <= CACHE_CHARS}
-        return new | {u: self.known[u] for u in asked if u in self.known}
+        new = self.learn([u for u in times if u not in self.known])
+        out = [new[u] if u in new else self.known[u] for u in times]
+        self.known |= {u: v for u, v in new.items() if times[u] >= CACHE_TIMES}
+        return out
 
 
 def a_token_bytes(tokenizer_json: str) -> list[bytes]:
@@ -134,34 +161,40 @@ def _encoded(docs: DataFrame, tokenizer_json: str, model: bytes, text: str, id_c
         import numpy as np
 
         state = shared.worker_state()
-        if "aligner" not in state or state["aligner_of"] is not shipped:
-            state |= {"aligner": Aligner(*shipped.value), "aligner_of": shipped}
+        if state.get("aligner_of") != shipped.value:
+            state |= {"aligner": Aligner(*shipped.value), "aligner_of": shipped.value}
         aligner, block = state["aligner"], TaskContext.get().partitionId() << 32
         for b in batches:
             for some in content_store.slices(b, 1, BLOCK):
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                of = aligner.of(texts)
                 number: dict[str, int] = {}
-                own = {u: [number.setdefault(g, len(number)) for g in v[0]] for u, v in of.items()}
+                codes = [np.array([number.setdefault(u, len(number)) for u in aligner.units(t)] if t else [], np.int64) for t in some.column(1).to_pylist()]
+                times = np.bincount(np.concatenate(codes), minlength=len(number)) if codes else []
+                of = aligner.of(dict(zip(number, times.tolist(), strict=True)))
+                group_no: dict[str, int] = {}
+                own = [[group_no.setdefault(g, len(group_no)) for g in v[2]] for v in of]
+                count = np.array([len(x) for x in own], np.int64)
+                first, flat = np.cumsum(count) - count, np.array([x for xs in own for x in xs], np.int32)
+                n_a, n_b = (np.array([v[k] for v in of], np.int64) for k in (0, 1))
+                said = [";".join(v[2]) for v in of]
                 d: list = [[] for _ in range(7)]
-                total = np.zeros(len(number), np.int64)
-                for t in texts:
-                    units = aligner.units(t) if t else []
-                    found = [of[u] for u in units]
-                    if not all(v[3] for v in found):  # bytes of a unit differ: the document has no tokens
-                        units = found = []
-                    at, times = np.unique(np.array([x for u in units for x in own[u]], np.int32), return_counts=True)
-                    total[at] += times
-                    sums = [sum(v[k] for v in found) for k in (1, 2, 3, 4)]
-                    said = hashlib.sha256(";".join(g for v in found for g in v[0]).encode()).hexdigest() if found else ""
-                    for c, v in zip(d, (*sums, said, at, times.astype(np.int32)), strict=True):
-                        c.append(v)
-                n, m, long = some.num_rows, len(number), pa.int64()
+                total = np.zeros(len(group_no), np.int64)
+                for c in codes:
+                    if not len(c) or not count[c].all():  # bytes of a unit differ: the document has no tokens
+                        c = c[:0]
+                    n = count[c]
+                    at, of_doc = np.unique(flat[np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_counts=True)
+                    total[at] += of_doc
+                    a, b_, g = int(n_a[c].sum()), int(n_b[c].sum()), int(n.sum())
+                    digest = hashlib.sha256(";".join([said[x] for x in c.tolist()]).encode()).hexdigest() if len(c) else ""
+                    # No end inside a group is common to both sides, so each token of it but one adds a link.
+                    for column, v in zip(d, (a, b_, g, a + b_ - g, digest, at, of_doc.astype(np.int32)), strict=True):
+                        column.append(v)
+                n, m, long = some.num_rows, len(group_no), pa.int64()
                 lists = [pa.array(c, pa.list_(pa.int32())) for c in d[5:]]
                 rows = [pa.array(["d"] * n), pa.array([block] * n, long), some.column(0), *(pa.array(c, long) for c in d[:4]), pa.array(d[4], pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), *lists]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
                 none = pa.nulls(m, long)
-                rows = [pa.array(["g"] * m), pa.array([block] * m, long), none, pa.array(total), none, none, none, pa.nulls(m, pa.string()), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(number), pa.string()), *(pa.nulls(m, x.type) for x in lists)]
+                rows = [pa.array(["g"] * m), pa.array([block] * m, long), none, pa.array(total), none, none, none, pa.nulls(m, pa.string()), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(group_no), pa.string()), *(pa.nulls(m, x.type) for x in lists)]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
                 block += 1
 
