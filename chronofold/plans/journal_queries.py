@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import draws, text
 from ..operators import checks, compare, fold, metrics, recovery, validity
-from ..sources.storage import written
+from ..sources.storage import new_path, written
 from ..sources.template import corrupted, journal
+from ..streaming import state
 from .registry import query
 
 TROUBLE, TERMINAL, KNOWN = map(V.sql_list, (V.TROUBLE_TYPES, V.TERMINAL_TYPES, V.EVENT_TYPES))
@@ -176,6 +177,27 @@ def r02_run_state(spark, sf_dir):
     return r.withColumns({"n_faults": F.size("faults"), "n_skipped": F.size("skipped")}).drop("faults", "skipped")
 
 
+def _advanced(spark, sf_dir, name):
+    """The state that is kept, after the journal has come in three stretches, the second of them twice."""
+    path, j = new_path(spark, "state"), journal(spark, sf_dir)
+    state.create(spark, path, V.JOURNAL, 16)
+    for low, high in ((0, 4), (4, 9), (4, 9), (9, 1_000_000)):
+        state.advance_batch(j.where((F.col("seq") > low) & (F.col("seq") <= high)).select("run_id", "seq", "type", "task_name", "worker_id", "payload", "occurred_at"), path)
+    return state.read(spark, path, name)
+
+
+@query(_TASK_STATE, journal=True)
+def r01_kept_task_state(spark, sf_dir):
+    t = _advanced(spark, sf_dir, "tasks")
+    return t.withColumn("n_artifacts", F.greatest(F.coalesce(F.size("artifacts"), F.lit(0)), F.lit(0))).drop("artifacts")
+
+
+@query(_RUN_STATE, journal=True)
+def r02_kept_run_state(spark, sf_dir):
+    r = _advanced(spark, sf_dir, "runs")
+    return r.withColumns({"n_faults": F.size("faults"), "n_skipped": F.size("skipped")}).drop("faults", "skipped")
+
+
 @query(f"SELECT run_id, sum(attempts)::BIGINT AS total_attempts, max(retries) AS max_retries, sum(retries)::BIGINT AS sum_retries, count(*) FILTER (WHERE status = 'DEAD') AS lost, count(*) AS tasks FROM ({_TASK_STATE}) GROUP BY run_id", journal=True)
 def a11_totals(spark, sf_dir):
     return fold.totals(fold.task_state(journal(spark, sf_dir)))

@@ -8,6 +8,9 @@ once does.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +27,8 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
 def create(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
     """Write df as a new table. buckets: so many that one fits a task; keys name a row and are never null."""
     _put(df.withColumn(BUCKET, bucket_of(keys, buckets)), path, buckets)
-    meta = [(keys, buckets, df.schema.json())]
+    schema = re.sub(r'("(?:nullable|containsNull|valueContainsNull)"): ?false', r"\1:true", df.schema.json())
+    meta = [(keys, buckets, schema)]
     df.sparkSession.createDataFrame(meta, "keys array<string>, buckets int, schema string").coalesce(1).write.parquet(f"{path}/_keyed")
 
 
@@ -34,8 +38,6 @@ def _put(df: DataFrame, path: str, buckets: int) -> None:
 
 
 def _meta(spark: SparkSession, path: str) -> tuple[list[str], int, T.StructType]:
-    import json
-
     m = spark.read.parquet(f"{path}/_keyed").first()
     return list(m["keys"]), m["buckets"], T.StructType.fromJson(json.loads(m["schema"]))
 
