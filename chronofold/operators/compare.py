@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.storage import written
+from . import fold
 
 COLUMNS = ("run_id", "rank", "category", "subject", "expected", "actual")
 
@@ -83,6 +85,20 @@ def verify_artifacts(tasks: DataFrame, stored: DataFrame) -> DataFrame:
     return compare_artifacts(want, have)
 
 
+#: What a comparison reads of the two states.
+RUN_READ, TASK_READ = ("run_id", "status", "definition_hash", "seed", "faults", "skipped"), ("run_id", "task_name", "status", "attempts", "artifacts")
+
+
+def states(expected: DataFrame, actual: DataFrame) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Both sides' (run_state, task_state) of two journals, folded in one go and written once with only what a comparison
+    reads."""
+    both = expected.withColumn("side", F.lit(0)).unionByName(actual.withColumn("side", F.lit(1)))
+    runs = written(fold.run_state(both, ("side",)).select("side", *RUN_READ), "run-state", partition_by=["side"])
+    tasks = written(fold.task_state(both, ("side",)).select("side", *TASK_READ), "task-state", partition_by=["side"])
+    of = lambda n: (runs.where(F.col("side") == n).drop("side"), tasks.where(F.col("side") == n).drop("side"))
+    return of(0), of(1)
+
+
 def compare(expected: tuple[DataFrame, DataFrame], actual: tuple[DataFrame, DataFrame]) -> DataFrame:
     """The whole report of two (run_state, task_state) pairs: run_id, rank (order of the checks), category, subject,
     expected, actual."""

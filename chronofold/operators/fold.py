@@ -21,8 +21,8 @@ def _decoded(journal: DataFrame, types: tuple[str, ...], fields: tuple[str, ...]
     return journal.withColumn("p", F.from_json(F.when(F.col("type").isin(*types), F.col("payload")), schema))
 
 
-def task_state(journal: DataFrame) -> DataFrame:
-    """A row per (run_id, task_name): status, handler, attempts, retries, requeues, lease_expiries, error, output hash of the
+def task_state(journal: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row per (run_id, task_name), and per value of `by` before them: status, handler, attempts, retries, requeues, lease_expiries, error, output hash of the
     last success's artifacts, first_started, completed."""
     read = ("TASK_LEASED", "TASK_STARTED", "TASK_SUCCEEDED", "TASK_FAILED", "TASK_DEAD_LETTERED")
     e = _decoded(journal.where("task_name is not null"), read, ("attempt", "handler", "error", "reason", "artifacts"))
@@ -33,7 +33,7 @@ def task_state(journal: DataFrame) -> DataFrame:
     # A dead letter's reason counts only if the error is empty by then.
     last_error = _last(F.when(is_("TASK_FAILED"), F.coalesce("p.error", F.lit(""))).otherwise(F.lit("")), outcome)
     dead_reason = F.min_by("p.reason", F.when(is_("TASK_DEAD_LETTERED"), F.col("seq")))
-    return e.groupBy("run_id", "task_name").agg(
+    return e.groupBy(*by, "run_id", "task_name").agg(
         F.coalesce(_last(status, status.isNotNull()), F.lit("PENDING")).alias("status"),
         _last(F.col("p.handler"), is_("TASK_STARTED")).alias("handler"),
         F.coalesce(F.max(F.when(is_("TASK_LEASED", "TASK_STARTED"), F.col("p.attempt"))), F.lit(0)).alias("attempts"),
@@ -47,8 +47,8 @@ def task_state(journal: DataFrame) -> DataFrame:
     )
 
 
-def run_state(journal: DataFrame, **more: Column) -> DataFrame:
-    """A row per run_id: status, workflow, version, definition_hash, scenario, seed, failure_reason, workers_lost,
+def run_state(journal: DataFrame, by: tuple[str, ...] = (), **more: Column) -> DataFrame:
+    """A row per run_id, and per value of `by` before it: status, workflow, version, definition_hash, scenario, seed, failure_reason, workers_lost,
     event_count, last_seq, faults and skipped (arrays in seq order), and further aggregates of a run's events."""
     read = ("RUN_CREATED", "RUN_FAILED", "RUN_CANCELLED", "FAULT_INJECTED", "SIDE_EFFECT_SKIPPED")
     fields = ("workflow_name", "workflow_version", "definition_hash", "scenario_name", "seed", "reason", "detail", "fault_type", "fault_point", "draw", "idempotency_key", "attempt", "first_attempt")
@@ -58,7 +58,7 @@ def run_state(journal: DataFrame, **more: Column) -> DataFrame:
     reason = F.when(F.coalesce(F.col("p.detail"), F.lit("")) != "", F.concat_ws(": ", "p.reason", "p.detail")).otherwise(F.col("p.reason"))
     fault = F.when(kind == "FAULT_INJECTED", F.struct("seq", F.col("p.fault_type").alias("type"), F.col("p.fault_point").alias("point"), F.col("task_name").alias("task"), F.col("p.draw").alias("draw")))
     skipped = F.when(kind == "SIDE_EFFECT_SKIPPED", F.struct("seq", F.col("p.idempotency_key").alias("key"), F.col("task_name").alias("task"), F.col("p.attempt").alias("attempt"), F.col("p.first_attempt").alias("first_attempt")))
-    return e.groupBy("run_id").agg(
+    return e.groupBy(*by, "run_id").agg(
         _last(status, status.isNotNull()).alias("status"),
         _last(F.col("p.workflow_name"), created).alias("workflow"),
         _last(F.col("p.workflow_version"), created).alias("version"),

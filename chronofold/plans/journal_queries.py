@@ -346,15 +346,10 @@ UNION ALL SELECT coalesce(w.run_id, g.run_id), 4, 'artifact-hash', coalesce(w.ta
  FROM eaf w FULL JOIN aaf g ON w.run_id = g.run_id AND w.task_name = g.task_name AND w.n = g.n WHERE w.h IS DISTINCT FROM g.h"""
 
 
-def _states(j):
-    """Both folds of a history, each written once: the comparison reads them several times."""
-    return written(fold.run_state(j), "run-state"), written(fold.task_state(j), "task-state")
-
-
 @query(_COMPARE, journal=True)
 def d01_compare(spark, sf_dir):
     j = journal(spark, sf_dir)
-    return compare.compare(_states(j), _states(_changed(j)))
+    return compare.compare(*compare.states(j, _changed(j)))
 
 
 @query(
@@ -364,8 +359,8 @@ SELECT DISTINCT r.run_id, t IS NULL AS match, '{{"match":' || CASE WHEN t IS NUL
 )
 def d03_match(spark, sf_dir):
     j = journal(spark, sf_dir)
-    runs, tasks = _states(j)
-    return compare.report_json(compare.compare((runs, tasks), _states(_changed(j))), runs).select("run_id", "match", "report")
+    expected, actual = compare.states(j, _changed(j))
+    return compare.report_json(compare.compare(expected, actual), expected[0]).select("run_id", "match", "report")
 
 
 @query(
