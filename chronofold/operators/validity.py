@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from .order import scan
 
 #: An anomaly of a lower rank hides those above it at the same event.
 RANK = {"gap": 1, "unknown-type": 2, "after-terminal": 3, "no-version": 4, "bad-version": 5}
@@ -26,15 +27,23 @@ def anomalies(journal: DataFrame, after: int = 0) -> DataFrame:
     e = journal.withColumns({"_want": row.cast("long"), "_end": ended, "_v": F.get_json_object("payload", "$.v")})
     first_gap = F.min(F.when(F.col("seq") != F.col("_want"), F.col("_want"))).over(by_run)
     e = e.withColumn("_gap", first_gap)
+    found = {"gap": (F.col("seq") != F.col("_want")) & (F.col("_want") == F.col("_gap"))} | _rules()
+    return _listed(e, found)
+
+
+def _rules() -> dict[str, Column]:
+    """The rules that a row breaks by itself, once _end, the seq of the run's end, and _v are known."""
     known = F.col("type").isin(*V.EVENT_TYPES)
     versioned = known & (F.col("type") != "RUN_STARTED")
-    found = {
-        "gap": (F.col("seq") != F.col("_want")) & (F.col("_want") == F.col("_gap")),
+    return {
         "unknown-type": ~known,
         "after-terminal": F.coalesce(F.col("seq") > F.col("_end"), F.lit(False)),
         "no-version": versioned & F.col("_v").isNull(),
         "bad-version": versioned & ~F.col("type").isin(*_ANY_VERSION) & F.coalesce(F.col("_v") != "1", F.lit(False)),
     }
+
+
+def _listed(e: DataFrame, found: dict[str, Column]) -> DataFrame:
     kinds = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(RANK[k]).alias("rank"), F.lit(k).alias("kind"))) for k, test in found.items()]))
     return e.select("run_id", "seq", "type", "_want", F.explode(kinds).alias("k")).select(
         "run_id", "seq", F.col("k.kind").alias("kind"), F.col("k.rank").alias("rank"),
@@ -42,6 +51,17 @@ def anomalies(journal: DataFrame, after: int = 0) -> DataFrame:
     )
 
 
+def anomalies_of_long_runs(journal: DataFrame, after: int = 0) -> DataFrame:
+    """What anomalies() gives, for journals in which a run may hold a large part of all events: ranges of (run_id, seq) are
+    scanned instead of runs (order.scan), and a run's first gap is an aggregate."""
+    terminal = F.when(F.col("type").isin(*V.TERMINAL_TYPES), F.col("seq"))
+    narrow = journal.select("run_id", "seq", "type", F.get_json_object("payload", "$.v").alias("_v"))
+    e = scan(narrow, ["run_id"], ["seq"], {"_want": ("row", None), "_end": ("min", terminal)}, "long-runs").withColumn("_want", F.col("_want") + 1 + after)
+    gaps = e.where(F.col("seq") != F.col("_want")).groupBy("run_id").agg(F.min_by(F.struct("seq", "type", "_want"), "_want").alias("g"))
+    gaps = gaps.select("run_id", F.col("g.seq").alias("seq"), F.lit("gap").alias("kind"), F.lit(RANK["gap"]).alias("rank"), F.col("g._want").alias("expected"), F.col("g.seq").alias("found"), F.col("g.type").alias("type"))
+    return gaps.unionByName(_listed(e, _rules()))
+
+
 def first_anomaly(journal: DataFrame, after: int = 0) -> DataFrame:
     """The anomaly at which a scan of each broken run stops: run_id, seq, kind, message. Order and types are checked over
     the whole scan before anything is folded."""
@@ -62,11 +82,15 @@ def valid_runs(journal: DataFrame) -> DataFrame:
     return journal.join(anomalies(journal).select("run_id").distinct(), "run_id", "left_anti")
 
 
-def illegal_transitions(statuses: DataFrame, edges: dict, key: list[str], order: str = "seq", kind: str = "task") -> DataFrame:
+def illegal_transitions(statuses: DataFrame, edges: dict, key: list[str], order: str = "seq", kind: str = "task", *, long_keys: bool = False) -> DataFrame:
     """Consecutive statuses of a key that are no legal edge: key, order, from_status, to_status, message. edges maps a
-    status to those it may go to; the table is a literal of a dozen rows."""
-    w = Window.partitionBy(*key).orderBy(order)
-    moved = statuses.withColumn("from_status", F.lag("status").over(w)).where(F.col("from_status").isNotNull() & (F.col("from_status") != F.col("status")))
+    status to those it may go to; the table is a literal of a dozen rows. long_keys: a key may hold a large part of all
+    rows, so ranges are scanned."""
+    if long_keys:
+        moved = scan(statuses.select(*key, order, "status"), key, [order], {"from_status": ("lag", F.col("status"))}, "transitions")
+    else:
+        moved = statuses.withColumn("from_status", F.lag("status").over(Window.partitionBy(*key).orderBy(order)))
+    moved = moved.where(F.col("from_status").isNotNull() & (F.col("from_status") != F.col("status")))
     allowed = F.create_map(*[x for a, to in edges.items() for x in (F.lit(a), F.array(*map(F.lit, to)).cast("array<string>"))])[F.col("from_status")]
     bad = moved.withColumn("_to", allowed).where(~F.coalesce(F.array_contains("_to", F.col("status")), F.lit(False)))
     text = F.when(F.size("_to") == 0, F.format_string(f"{kind} cannot leave terminal state %s (attempted %s)", "from_status", "status")).otherwise(

@@ -121,6 +121,11 @@ UNION ALL SELECT run_id, seq, 'no-version', 4, NULL, NULL, type FROM m WHERE kno
 UNION ALL SELECT run_id, seq, 'bad-version', 5, NULL, NULL, type FROM m WHERE known AND type NOT IN ('RUN_STARTED', 'WORKER_REGISTERED', 'WORKER_HEARTBEAT', 'WORKER_SUSPECT') AND v <> '1')"""
 
 
+@query(f"WITH {_ANOMALIES} SELECT run_id, seq, kind, rank, expected, found, type FROM a", damaged=True)
+def w02_anomalies_by_ranges(spark, sf_dir):
+    return validity.anomalies_of_long_runs(corrupted(journal(spark, sf_dir)))
+
+
 @query(f"WITH {_ANOMALIES} SELECT run_id, seq, kind, rank, expected, found, type FROM a", damaged=True)
 def w02_anomalies(spark, sf_dir):
     return validity.anomalies(corrupted(journal(spark, sf_dir)))
@@ -305,6 +310,20 @@ def p14_illegal_task_transitions(spark, sf_dir):
     return validity.illegal_transitions(s, V.TASK_TRANSITIONS, ["run_id", "task_name"])
 
 
+@query(
+    f"""WITH s AS (SELECT run_id, task_name, seq, {_map_sql("type", V.TASK_STATUS_OF)} AS status FROM journal WHERE task_name IS NOT NULL AND type IN ({V.sql_list(V.TASK_STATUS_OF)})),
+l AS (SELECT *, lag(status) OVER (PARTITION BY run_id, task_name ORDER BY seq) AS f FROM s),
+e(f, t, al) AS (VALUES {", ".join(f"('{a}', '{b}', '{' '.join(to)}')" for a, to in V.TASK_TRANSITIONS.items() for b in to)})
+SELECT run_id, task_name, seq, f AS from_status, status AS to_status, CASE WHEN f IN ('SUCCEEDED', 'DEAD') THEN printf('task cannot leave terminal state %s (attempted %s)', f, status)
+ ELSE printf('illegal task transition %s -> %s (allowed from %s: %s)', f, status, f, (SELECT any_value(al) FROM e WHERE e.f = l.f)) END AS message
+FROM l WHERE f IS NOT NULL AND f <> status AND NOT EXISTS (SELECT 1 FROM e WHERE e.f = l.f AND e.t = l.status)""",
+    journal=True,
+)
+def p14_transitions_by_ranges(spark, sf_dir):
+    s = journal(spark, sf_dir).where("task_name is not null").withColumn("status", text.lookup(F.col("type"), V.TASK_STATUS_OF)).where("status is not null")
+    return validity.illegal_transitions(s, V.TASK_TRANSITIONS, ["run_id", "task_name"], long_keys=True)
+
+
 @query(
     f"""WITH s AS (SELECT run_id, seq, {_map_sql("type", V.RUN_STATUS_OF)} AS status FROM damaged WHERE type IN ({V.sql_list(V.RUN_STATUS_OF)}) AND NOT (run_id % 10 = 0 AND type = 'RUN_QUEUED')),
 l AS (SELECT *, lag(status) OVER (PARTITION BY run_id ORDER BY seq) AS f FROM s),
