@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from . import features, shared
 
 EDIT_RATE = 0.08
-#: Items below this many characters must occur as they are and as whole words.
-MIN_EDIT_CHARS = 32
 #: Characters of normalised items in one automaton; more items take more passes over the documents.
 BLOCK_CHARS = 4_000_000
 
@@ -32,13 +30,15 @@ class Item:
     text: str
     budget: int
     masks: dict
+    whole: bool
 
     @classmethod
-    def of(cls, item_id: int, text: str, rate: float) -> Item:
+    def of(cls, item_id: int, text: str, rate: float, words_below: int = 0) -> Item:
+        whole = len(text) < words_below
         masks: dict[str, int] = {}
         for i, c in enumerate(text):
             masks[c] = masks.get(c, 0) | 1 << i
-        return cls(item_id, text, int(len(text) * rate) if len(text) >= MIN_EDIT_CHARS else 0, masks)
+        return cls(item_id, text, 0 if whole else int(len(text) * rate), masks, whole)
 
     def pieces(self) -> list[tuple[int, str]]:
         """budget + 1 pieces of near equal length, with their offsets."""
@@ -78,10 +78,10 @@ def _joins(a: str, b: str) -> bool:
 class Matcher:
     """Finds the near occurrences of a block of items."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], rate: float) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], rate: float, words_below: int = 0) -> None:
         import ahocorasick
 
-        self.items = [Item.of(i, t, rate) for i, t in rows]
+        self.items = [Item.of(i, t, rate, words_below) for i, t in rows]
         owners: dict[str, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):
             for offset, piece in item.pieces():
@@ -98,7 +98,7 @@ class Matcher:
         for last, (length, owner) in self.automaton.iter(text):
             for k, offset in owner:
                 item = self.items[k]
-                if len(item.text) >= MIN_EDIT_CHARS:
+                if not item.whole:
                     places.setdefault(k, []).append(last + 1 - length - offset)
                 elif not (last + 1 < len(text) and _joins(text[last], text[last + 1])) and not (last >= length and _joins(text[last - length], text[last - length + 1])):
                     found[item.item_id] = min((0, last + 1), found.get(item.item_id, (0, last + 1)))
@@ -135,18 +135,20 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str) -> Iterator[list[tupl
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, words_below: int = 0, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """A row for each document and test item that occurs in it within the item's edit budget: doc_id, item_id, distance
     (least over the document), end (where that occurrence ends in the normalised text), contaminated (true).
 
-    Documents and items are compared in lower case with white space collapsed. Null and empty texts match nothing. Items
-    of under MIN_EDIT_CHARS characters have budget 0 and must stand as whole words. Items equal in id, null included, give
+    Documents and items are compared in lower case with white space collapsed, whole, however long. An item of n characters
+    may differ by int(n * rate) edits and may stand anywhere. words_below: items of fewer characters must occur unchanged and
+    as whole words instead; 0, the default, has one rule for all. Null and empty texts match nothing, and an empty table of
+    either kind gives no rows. Other columns are not read. Items equal in id, null included, give
     one row with the best of them; repeated documents give rows of their own. Documents are read once for each block of
     items."""
 
     def scan(rows):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(rows, rate)
+            matcher = Matcher(rows, rate, words_below)
             for b in batches:
                 out: list = [[], [], [], []]
                 for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -166,13 +168,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RA
     return out.withColumn("contaminated", F.lit(True))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, text: str = "text", item_id: str = "item_id") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, words_below: int = 0, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """The rows of docs, as they are, in which no test item occurs: by what contaminated() finds, repeated rows and null
     ids included. An empty table, or a benchmark without items, changes nothing."""
 
     def clean(rows):
         def test():
-            matcher = Matcher(rows, rate)
+            matcher = Matcher(rows, rate, words_below)
             return lambda texts: [not matcher.search(normalise(t or "")) for t in texts]
 
         return test

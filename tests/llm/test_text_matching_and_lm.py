@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronofold.llm import decontaminate, language_model, shared
@@ -36,9 +37,7 @@ def test_myers(p, t):
 @settings(max_examples=150, deadline=None)
 def test_matcher_loses_nothing(items, text):
     rows = list(enumerate(items))
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(decontaminate, "MIN_EDIT_CHARS", 1)
-        found = {(i, d) for i, d, _ in decontaminate.Matcher(rows, 0.2).search(text)} if rows else set()
+    found = {(i, d) for i, d, _ in decontaminate.Matcher(rows, 0.2).search(text)} if rows else set()
     assert found == {(i, distance(t, text)) for i, t in rows if distance(t, text) <= int(len(t) * 0.2)}
 
 
@@ -47,14 +46,22 @@ def test_planted_passages(spark, edge_docs, no_docs):
     docs = [(1, f"intro {item} end"), (2, "x " + item.upper().replace(" ", "\n ") + " y"), (3, f"a {item.replace('brown', 'browm').replace('lazy ', 'lzy ')} b"), (4, item[:40]), (5, None), (6, ""), (None, item), (7, "nothing of it " * 500)]
     table = spark.createDataFrame([(*d, "en", "s", 1, 1, 0.0, "", 1, 1) for d in docs], SCHEMA)
     benchmark = spark.createDataFrame([(9, item), (10, None), (None, item), (11, "short"), (9, item), (12, " "), (13, "Intro the"), (14, "ro the q")], "item_id long, text string")
-    got = decontaminate.contaminated(table, benchmark).collect()
+    got = decontaminate.contaminated(table, benchmark, words_below=32).collect()
     each = {(1, 0), (2, 0), (3, 2), (None, 0)}
     assert collections.Counter((r.doc_id, r.item_id, r.distance) for r in got) == collections.Counter([(d, i, x) for d, x in each for i in (9, None)] + [(1, 13, 0)])
     assert sorted(r.doc_id for r in decontaminate.decontaminate(table, benchmark).collect()) == [4, 5, 6, 7]
+    one_rule = decontaminate.contaminated(table.withColumns({"item_id": F.lit(1), "end": F.lit(2), "distance": F.lit(3)}), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in one_rule} - {(r.doc_id, r.item_id) for r in got} == {(1, 14)}
     assert decontaminate.contaminated(no_docs, benchmark).count() == 0
     assert decontaminate.decontaminate(edge_docs, benchmark.limit(0)).count() == edge_docs.count()
 
 
+def test_short_items_have_edits_too():
+    matcher = decontaminate.Matcher([(1, "twenty characters ok"), (2, "tiny")], 0.08)
+    assert [(i, d) for i, d, _ in matcher.search("say twenty charaxters ok now")] == [(1, 1)]
+    assert [(i, d) for i, d, _ in matcher.search("destiny, twenty charaxterz ok")] == [(2, 0)]
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
     items = [f"item number {i} says something rather unlike the others {i * 7919}" for i in range(4)]
