@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.time import at
 from ..sources import projections as P
 from ..sources import storage, tables, template
+from ..streaming import append, ledger
 from ..streaming import journal as streaming
 from .registry import query
 
@@ -42,6 +43,49 @@ def t09_stream_contiguity(spark, sf_dir):
     return streaming.drain(found, storage.new_path(spark, "gaps"), storage.new_path(spark, "gaps-checkpoint"))
 
 
+_TURNS = """WITH t AS (SELECT conv_id AS run_id, turn AS ord, CASE WHEN turn = 3 AND conv_id % 3 = 0 THEN 'RUN_SUCCEEDED' ELSE 'TASK_STARTED' END AS type, md5(text) AS payload FROM conversations),
+n AS (SELECT *, row_number() OVER w AS seq, coalesce(bool_or(type = 'RUN_SUCCEEDED') OVER (PARTITION BY run_id ORDER BY ord, type, payload ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM t WINDOW w AS (PARTITION BY run_id ORDER BY ord, type, payload))"""
+_TURN = "run_id long, ord long, type string, payload string"
+
+
+def _appended(spark, sf_dir):
+    """The log after all turns were appended as a stream; in every third conversation the run ends with the fourth."""
+    path, turns = storage.new_path(spark, "log"), streaming.tail(spark, f"{sf_dir}/conversations.parquet", "conv_id long, turn long, role string, text string")
+    kind = F.when((F.col("turn") == 3) & (F.col("conv_id") % 3 == 0), "RUN_SUCCEEDED").otherwise("TASK_STARTED")
+    stream = turns.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("ord"), kind.alias("type"), F.md5("text").alias("payload"))
+    append.append(stream, path, storage.new_path(spark, "log-checkpoint"), buckets=16).awaitTermination()
+    return path
+
+
+@query(f"{_TURNS} SELECT run_id, seq, type, payload FROM n WHERE NOT late")
+def k01_stream_append(spark, sf_dir):
+    return append.events(spark, _appended(spark, sf_dir), "run_id long, type string, payload string, seq long").select("run_id", "seq", "type", "payload")
+
+
+@query(f"{_TURNS} SELECT run_id, ord, type, payload FROM n WHERE late")
+def t09_stream_refused(spark, sf_dir):
+    return append.refused(spark, _appended(spark, sf_dir), _TURN).select("run_id", "ord", "type", "payload")
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey || ':t' || (l_linenumber // 3) AS key, l_orderkey AS run_id, 't' || (l_linenumber // 3) AS task, l_partkey::INT AS attempt, md5(l_suppkey::VARCHAR) AS result, l_shipdate AS made FROM lineitem),
+r AS (SELECT *, row_number() OVER w AS nth, first_value(attempt) OVER w AS first_attempt, first_value(result) OVER w AS won FROM a WINDOW w AS (PARTITION BY key ORDER BY made, attempt, run_id, task, result))
+SELECT key AS idempotency_key, attempt, CASE WHEN nth = 1 THEN 'recorded' ELSE 'skipped' END AS outcome, first_attempt, won AS result FROM r"""
+)
+def t08_stream_ledger(spark, sf_dir):
+    """Effects of orders, of which lines share keys, as they arrive by year; the second year arrives twice."""
+    task = F.concat(F.lit("t"), F.floor(F.col("l_linenumber") / 3).cast("string"))
+    asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), task).alias("idempotency_key"), F.col("l_orderkey").alias("run_id"), task.alias("task_name"),
+        F.col("l_partkey").cast("int").alias("attempt"), F.md5(F.col("l_suppkey").cast("string")).alias("result"), F.col("l_shipdate").cast("timestamp_ntz").alias("created_at"),
+    )
+    path = storage.new_path(spark, "ledger")
+    for n, (low, high) in enumerate((("0001-01-01", "1994-01-01"), ("1994-01-01", "1996-01-01"), ("1996-01-01", "9999-01-01"))):
+        for _ in range(2 if n == 1 else 1):
+            ledger.do_batch(asked.where((F.col("created_at") >= at(low)) & (F.col("created_at") < at(high))), n, path, 16)
+    return ledger.outcomes(spark, path).select("idempotency_key", "attempt", "outcome", "first_attempt", "result")
+
+
 _T = f"TIMESTAMP '{P.NOW}'"
 
 

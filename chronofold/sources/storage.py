@@ -32,6 +32,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors, and what several plans read
     is made once."""

@@ -14,22 +14,17 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import ops
 from ..sources import keyed
-from ..sources.storage import forget, written
+from ..sources.storage import exists, forget, written
 
 STATE = "run_id long, last long, ended boolean, batch long, last_before long, ended_before boolean"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def append_batch(batch: DataFrame, batch_id: int, path: str, buckets: int = keyed.BUCKETS) -> None:
     """Append one micro-batch (run_id, ord, type, ...) to the log at path; again changes nothing."""
     spark = batch.sparkSession
-    if not _exists(spark, f"{path}/state/_keyed"):
+    if not exists(spark, f"{path}/state/_keyed"):
         keyed.create(spark.createDataFrame([], STATE), f"{path}/state", ["run_id"], buckets)
-    if _exists(spark, f"{path}/committed/batch={batch_id}/_SUCCESS"):
+    if exists(spark, f"{path}/committed/batch={batch_id}/_SUCCESS"):
         return
     rows = written(batch, "batch")
     touched = keyed.touched_by(rows, ["run_id"], buckets)
