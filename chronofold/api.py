@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import checks, compare, dag, fold, metrics, ops, recovery, simulate, validity
+from .operators import changes, checks, compare, dag, fold, metrics, ops, recovery, simulate, validity
 from .sources import definitions, examples, storage, tables
 
 _UUID = re.compile(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -119,7 +119,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     for name, args in {
         "runs": ["base", "--status", "--workflow", "--limit"], "workers": ["base"], "stats": ["base"], "workflows": ["base"], "inspect": ["base", "run"],
-        "replay": ["base", "--other"], "validate": ["file"], "register": ["base", "file"], "cancel": ["base", "run"], "migrate": ["base", "path"], "demo": [], "test": ["workflow", "scenario", "--repeat"], "bench": ["base"], "export": ["base", "out"],
+        "replay": ["base", "--other"], "validate": ["file"], "register": ["base", "file"], "cancel": ["base", "run", "--reason"], "migrate": ["base", "path"], "demo": [], "test": ["workflow", "scenario", "--repeat"], "bench": ["base"], "export": ["base", "out"],
     }.items():
         c = sub.add_parser(name)
         for a in args:
@@ -157,12 +157,18 @@ def main(argv: list[str] | None = None) -> int:
             w = definitions.parse_workflow(f.read())
         asked = spark.createDataFrame([(w["name"], w["version"], w["hash"])], "name string, version int, definition_hash string")
         found = ops.register_workflows(store.table("workflows"), asked)
+        print("Dry run: what registering would do.")
         show(found)
         return int(found.where("outcome = 'conflict'").limit(1).count() > 0)
     elif a.command == "cancel":
         store.run(a.run)
-        for changed in ops.cancel(store.table("runs"), store.table("tasks"), F.col("id") == a.run, F.lit(datetime.datetime.now(datetime.UTC).replace(tzinfo=None))):
-            show(changed)
+        asked, now = spark.createDataFrame([(a.run, a.reason or "")], "run_id string, reason string"), F.lit(datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
+        print("Dry run: what cancelling would write; operators.changes with sources.keyed writes it.")
+        out = changes.cancel_runs(store.table("runs"), store.table("tasks"), asked, now)
+        for name in ("runs", "tasks", "events", "refused"):
+            print(name)
+            show(out[name])
+        return int(out["refused"].limit(1).count() > 0)
     elif a.command == "migrate":
         for version, name, _ in tables.migrate(spark, a.path, store.table("schema_migrations")):
             print(f"{version:03d}_{name}")

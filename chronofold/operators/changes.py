@@ -34,7 +34,12 @@ def _union(*tables: DataFrame) -> DataFrame:
 
 def _opt(df: DataFrame, name: str, kind: str) -> Column:
     """The column, or nulls where df has none of the name."""
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def _null(tasks: DataFrame, name: str) -> Column:
+    """A null of the column's type, whatever kind of ids the tables use."""
+    return F.lit(None).cast(tasks.schema[name].dataType if name in tasks.columns else TASK_STATE[name])
 
 
 #: What a change may set of a task; the rows of `tasks` that a change gives carry all of it, as it is after the change.
@@ -49,7 +54,7 @@ def _task_rows(tasks: DataFrame, fate: DataFrame, now: Column) -> DataFrame:
     old = {c: _opt(tasks, c, kind) for c, kind in TASK_STATE.items()}
     j = fate.join(tasks.select("id", *[c.alias(n) for n, c in old.items()]), "id")
     kind = F.col("kind")
-    none = lambda n: F.lit(None).cast(TASK_STATE[n])
+    none = lambda n: _null(tasks, n)
     status = text.lookup(kind, {"won": "SUCCEEDED", "again": "RETRYING", "dead": "DEAD", "behind": "DEAD", "expired": "DEAD", "abandoned": "DEAD", "free": "READY", "back": "READY"})
     return j.select(
         "id", status.alias("status"),
@@ -244,7 +249,7 @@ def cancel_runs(runs: DataFrame, tasks: DataFrame, asked: DataFrame, now: Column
     mine = tasks.join(good.select("run_id"), "run_id", "left_semi").where(~F.col("status").isin(*V.TASK_TERMINAL, "FAILED"))
     holds = F.col("status").isin(*V.TASK_HOLDS)
     keep = lambda n, new: F.when(holds, _opt(tasks, n, TASK_STATE[n])).otherwise(new).alias(n)
-    none = lambda n: F.lit(None).cast(TASK_STATE[n])
+    none = lambda n: _null(tasks, n)
     changed = mine.select(
         "id", F.when(holds, F.col("status")).otherwise("DEAD").alias("status"), keep("worker_id", none("worker_id")), F.when(holds, now).alias("lease_expires_at"),
         keep("completed_at", now), keep("error", F.coalesce(_opt(tasks, "error", "string"), F.lit("run cancelled"))),

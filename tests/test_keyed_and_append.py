@@ -155,3 +155,13 @@ def test_an_end_within_a_batch_refuses_what_follows(spark):
     kept, refused = ops.append_events(spark.createDataFrame([(2, 7, "RUN_CREATED", None, None, None, None)], V.JOURNAL), new)
     assert sorted((r.run_id, r.seq) for r in kept.collect()) == [(1, 1), (1, 2), (2, 8)]
     assert [(r.run_id, r.ord) for r in refused.collect()] == [(1, 2)]
+
+
+def test_cancelling_with_text_ids(spark):
+    tasks = spark.createDataFrame([("t1", "r1", "a", "READY", None), ("t2", "r1", "b", "RUNNING", "w"), ("t3", "r2", "a", "READY", None)], "id string, run_id string, task_name string, status string, worker_id string")
+    runs = spark.createDataFrame([("r1", "RUNNING"), ("r2", "FAILED")], "id string, status string")
+    asked = spark.createDataFrame([("r1", ""), ("r2", "x"), ("r3", "y")], "run_id string, reason string")
+    out = changes.cancel_runs(runs, tasks, asked, at("2020-01-01 00:00:00"))
+    assert sorted((r.id, r.status, r.worker_id, r.error) for r in out["tasks"].collect()) == [("t1", "DEAD", None, "run cancelled"), ("t2", "RUNNING", "w", None)]
+    assert [(r.run_id, r.payload) for r in out["events"].collect()] == [("r1", '{"v":1}')]
+    assert sorted(map(tuple, out["refused"].collect())) == [("r2", "run is finished: FAILED"), ("r3", "no such run")]
