@@ -28,7 +28,7 @@ from . import shared
 
 MIN_IDS, CUT_BITS, MAX_IDS = 128, 8, 2048
 KEY = 16
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: A Latin letter, then closing ASCII marks and the end of a piece.
 CLOSING = "([A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}])([!-/:-@\\[-`{-~]+)(\\x00|\\z)"
 
@@ -146,7 +146,7 @@ class Encoder:
         self.ids, self.size, self.met = np.r_[self.ids, ids].astype(self.dtype), np.r_[self.size, size], np.r_[self.met, np.full(len(size), self.batch)]
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `size` bytes in a text column, or one row that is longer."""
     import numpy as np
     import pyarrow.compute as pc
