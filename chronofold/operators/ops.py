@@ -265,21 +265,26 @@ def append_events(journal: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
 
 def rate_limited(requests: DataFrame, rate: float, burst: float) -> DataFrame:
     """requests (client, at, n) with allowed, by a token bucket of each client: refilled by rate a second up to burst, one
-    taken by an allowed request. What is allowed depends on all before, so clients are folded in order, each alone."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "n"])
-        left, last, ok = burst, None, []
-        for at in pdf["at"].astype("int64"):
-            left = burst if last is None else min(burst, left + rate * (at - last) / 1e6)
-            last = at
-            ok.append(left >= 1)
-            left -= left >= 1
-        return pdf.assign(allowed=ok)
-
-    timed = requests.select("client", micros(F.col("at")).alias("at"), "n")
-    return timed.groupBy("client").applyInPandas(fold, "client long, at long, n long, allowed boolean")
+    taken by an allowed request. What is allowed depends on all before, so a client's requests stream through one task in
+    order; the level and the time of the last are carried from batch to batch, and nothing else is held."""
+    import pyarrow as pa
+
+    def run(batches):
+        now, left, last = None, burst, None
+        for b in batches:
+            ok = []
+            for client, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if last is None or client != now:
+                    now, left = client, burst
+                else:
+                    left = min(burst, left + rate * (at - last) / 1e6)
+                last = at
+                ok.append(left >= 1)
+                left -= left >= 1
+            yield b.append_column("allowed", pa.array(ok, pa.bool_()))
+
+    timed = requests.select(F.col("client").cast("long").alias("client"), micros(F.col("at")).alias("at"), F.col("n").cast("long").alias("n"))
+    return timed.repartition("client").sortWithinPartitions("client", "at", "n").mapInArrow(run, "client long, at long, n long, allowed boolean")
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

@@ -331,7 +331,12 @@ def a17_stream_recovery(spark, sf_dir):
     return recovery.recovery_time(j)
 
 
-@registry.query()
+@registry.query(
+    """WITH RECURSIVE r AS (SELECT user_id AS client, epoch_us(ts) AS us, event_id AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT client, us, n, i, true AS allowed, 2.0::DOUBLE AS level FROM r WHERE i = 1
+ UNION ALL SELECT client, us, n, i, level >= 1, CASE WHEN level >= 1 THEN level - 1 ELSE level END FROM (SELECT r.*, least(3.0::DOUBLE, f.level + 0.001::DOUBLE * (r.us - f.us)::DOUBLE / 1e6::DOUBLE) AS level FROM f JOIN r ON r.client = f.client AND r.i = f.i + 1))
+SELECT client, us AS at, n, allowed FROM f"""
+)
 def w09_rate_limited(spark, sf_dir):
     e = registry.table(spark, sf_dir, "events")
     return ops.rate_limited(e.select(F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("n")), rate=0.001, burst=3.0)
