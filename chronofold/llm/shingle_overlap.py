@@ -151,21 +151,12 @@ def _shared(texts: DataFrame, buckets: int, full: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v (u > v) of the pairs whose sets are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for b in batches:
-            hit = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(5 * both >= 4 * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(hit, pa.bool_()))
-
+    """u, v (u > v) of the pairs whose sets are similar. Sets are met in the JVM, a pair at a time: where very many pairs
+    share a set, no batch of Arrow rows holds it over and over."""
     with_u = pairs.join(sets.select(F.col("mark").alias("u"), F.col("hashes").alias("x")), "u")
-    return with_u.join(sets.select(F.col("mark").alias("v"), F.col("hashes").alias("y")), "v").select("u", "v", "x", "y").mapInArrow(shared.lean(run), "u long, v long")
+    with_both = with_u.join(sets.select(F.col("mark").alias("v"), F.col("hashes").alias("y")), "v")
+    both = F.size(F.array_intersect("x", "y"))  # a set has each of its hashes once
+    return with_both.where(5 * both >= 4 * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -186,11 +177,11 @@ def near_copies(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id")
         for b in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
             words = [x.as_py() or b"" for x in b.column(0)]
             found, fps = [shingles(x) for x in words], np.array([simhash.fingerprint(x, WIDTH) for x in words], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([_mark(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary()), pa.array(fps.view(np.int64))], names=["mark", "hashes", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array([_mark(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array(fps.view(np.int64))], names=["mark", "hashes", "fp"])
 
     rare = _shared(texts, buckets, True).select("mark", "n", "s", F.posexplode("prefix").alias("at", "h"))
     posting = shared.written(rare.select("mark", "n", "h", (F.col("n") - F.col("s") + F.col("at")).alias("i")), "near-postings")
-    sets = texts.select("t").mapInArrow(shared.lean(hashes), "mark long, hashes binary, fp long")
+    sets = texts.select("t").mapInArrow(shared.lean(hashes), "mark long, hashes array<long>, fp long")
     sets = shared.written(sets.join(shared.small(posting.select(F.col("mark").alias("m")).distinct()), F.col("mark") == F.col("m"), "left_semi"), "near-sets")
     shared.forget(texts)
 

@@ -56,3 +56,18 @@ def test_components_are_brute_force(spark):
 
 def test_no_rows(no_docs):
     assert shingle_overlap.near_copies(no_docs).count() == 0
+
+
+def test_sets_are_met_exactly(spark):
+    rng = random.Random(4)
+    edge = [-(1 << 63), -1, 0, 1, (1 << 63) - 1]
+    base = sorted({*edge, *(rng.randrange(-(1 << 63), 1 << 63) for _ in range(40))})
+    sets = {0: [], 1: base, 2: base[:36], 3: base[9:], 4: base[:35], 5: [7]} | {10 + k: sorted(rng.sample(base, 40)) for k in range(8)}
+    sets[99] = list(range(300_000))  # a very long text, and one that has four fifths of it
+    sets[98] = list(range(240_000))
+    sets[97] = list(range(239_999))
+    pairs = [(u, v) for u in sets for v in sets if u > v and (u < 90) == (v < 90)]
+    got = shingle_overlap._verified(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(list(sets.items()), "mark long, hashes array<long>"))
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    want = [(u, v) for u, v in pairs if like(set(sets[u]), set(sets[v]))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and (99, 98) in want and (99, 97) not in want and (2, 1) in want and (4, 1) not in want
