@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions.time import ms_between
 from ..sources.storage import written
-from . import fold, recovery
+from . import fold, order, recovery
 
 
 def percentile(values: Column, p: float) -> Column:
@@ -19,15 +19,29 @@ def percentile(values: Column, p: float) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), rank)).otherwise(0)
 
 
-def percentile_by(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """keys and a percentile a name, without gathering a group: values are counted first, running counts find the rank.
-    Groups of any size are sorted by distinct value only."""
+#: Distinct values of all groups up to which a group's are ordered by one task; beyond it they are dealt in ranges.
+VALUES_BY_GROUP = 1_000_000
+#: Groups up to which their totals are broadcast.
+TOTALS_SENT = 50_000
+
+
+def percentile_by(df: DataFrame, keys: list[str], value: str, ps: dict[str, float], *, values_by_group: int = VALUES_BY_GROUP) -> DataFrame:
+    """keys and a percentile a name, exact, without gathering a group: values are counted first, and running counts find
+    the rank. Where there are more than values_by_group distinct values, the running counts go by ranges of keys and value
+    (order.scan), so that a group of any size is spread over all tasks; the rows are the same either way. A null key is a
+    group, null values count for nothing, and a group without values has no row."""
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    by = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(by)})
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")), "values")
+    if keys and counts.limit(values_by_group + 1).count() > values_by_group:
+        upto = order.scan(counts, keys, [F.col(value)], {"_before": ("sum", F.col("_c"))}, "percentiles").withColumn("_upto", F.col("_before") + F.col("_c"))
+        totals = written(counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("_c").alias("_n")), "totals")
+        few = totals.limit(TOTALS_SENT + 1).count() <= TOTALS_SENT
+        run = upto.join(F.broadcast(totals) if few else totals, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
+    else:
+        by = Window.partitionBy(*keys)
+        running = F.sum("_c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        run = counts.withColumns({"_upto": running, "_n": F.sum("_c").over(by)})
     at = lambda p: F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(p) + 0.5)), F.col(value)))
     return run.groupBy(*keys).agg(*[at(p).alias(name) for name, p in ps.items()])
 
