@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.time import at
+from ..operators import metrics
 from ..sources import projections as P
 from ..sources import storage, tables, template
-from ..streaming import append, ledger
+from ..streaming import append, ledger, observed
 from ..streaming import journal as streaming
 from .registry import query
 
@@ -86,6 +87,22 @@ def t08_stream_ledger(spark, sf_dir):
     return ledger.outcomes(spark, path).select("idempotency_key", "attempt", "outcome", "first_attempt", "result")
 
 
+_BETWEEN = list(zip(["-Infinity", *metrics.RUN_BOUNDS], [*metrics.RUN_BOUNDS, "Infinity"], strict=True))
+
+
+@query(
+    "SELECT 'events_total' AS metric, count(*)::DOUBLE AS value FROM events UNION ALL SELECT 'errors_total', (count(*) FILTER (WHERE event_type = 'error'))::DOUBLE FROM events"
+    " UNION ALL SELECT 'value_count', count(value)::DOUBLE FROM events UNION ALL SELECT 'value_sum', round(sum(value), 2) FROM events"
+    + "".join(f" UNION ALL SELECT 'value_bucket:{'+Inf' if high == 'Infinity' else f'{high:g}'}', (count(*) FILTER (WHERE value > '{low}'::DOUBLE AND value <= '{high}'::DOUBLE))::DOUBLE FROM events" for low, high in _BETWEEN)
+)
+def k10_observed_figures(spark, sf_dir):
+    """Counters and a histogram of the events, taken while they are written as a stream."""
+    path = storage.new_path(spark, "observed")
+    figures = observed.counter("events_total") | observed.counter("errors_total", F.col("event_type") == "error") | observed.histogram("value", F.col("value"), metrics.RUN_BOUNDS)
+    observed.write(_events(spark, sf_dir).select("event_type", "value"), path, storage.new_path(spark, "observed-checkpoint"), figures).awaitTermination()
+    return observed.totals(spark, path).withColumn("value", F.round("value", 2))
+
+
 _T = f"TIMESTAMP '{P.NOW}'"
 
 
