@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import forget, written
+from .storage import forget, keyed_side, written
 
 BUCKET, BUCKETS = "_bucket", 64
 
@@ -62,13 +62,13 @@ def apply(spark: SparkSession, path: str, changes: DataFrame, *, update: bool =
     if more := [c for c in changes.columns if c not in schema.names]:
         raise ValueError(f"the table has no column {', '.join(more)}")
     sets = [c for c in changes.columns if c not in keys]
-    once = changes.groupBy(*keys).agg(F.count("*").alias("_times"), F.first(F.struct(F.lit(True).alias("_hit"), *sets)).alias("_new"))
-    twice = F.raise_error(F.lit("a key is changed twice in one batch")).cast("struct<_hit:boolean>")
-    new = written(once.withColumn("_one", F.when(F.col("_times") > 1, twice)).where("_one is null").drop("_times", "_one"), "changes")
+    new = written(changes.select(*keys, F.struct(F.lit(True).alias("_hit"), *sets).alias("_new")), "changes")
+    if not new.groupBy(*keys).agg(F.count("*").alias("_times")).where("_times > 1").isEmpty():
+        raise ValueError("a key is changed twice in one batch")
     touched = touched_by(new, keys, buckets)
     if touched:
         old = read(spark, path, touched).withColumn("_old", F.lit(True))
-        j = old.join(new, keys, "full" if insert else "left")
+        j = old.join(keyed_side(new), keys, "full" if insert else "left")
         take = F.col("_old").isNull() | (F.lit(update) & F.col("_new").isNotNull())
         columns = [F.col(f.name) if f.name in keys else F.when(take, F.col("_new")[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in sets else F.col(f.name) for f in schema.fields]
         merged = written(j.select(*columns).withColumn(BUCKET, bucket_of(keys, buckets)), "merged")  # beside the table, since it is read and replaced

@@ -49,6 +49,12 @@ def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None)
     return out
 
 
+def keyed_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: the join sorts and merges. Left to itself Spark sends such a side through
+    the driver to all executors if its compressed columns take little room, however many rows they hold."""
+    return df.hint("merge")
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by written() that no later plan reads."""
     for df in tables:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import partial
 from ..sources import keyed
-from ..sources.storage import forget, written
+from ..sources.storage import forget, keyed_side, written
 
 TABLES = {
     "tasks": (partial.TASK_KEY, partial.task_spec, partial.task_parts, partial.finished_tasks),
@@ -35,9 +35,9 @@ def advance_batch(batch: DataFrame, path: str) -> None:
         own = rows.where("task_name is not null") if "task_name" in keys else rows
         before = keyed.read(spark, table, keyed.touched_by(own, keys, buckets))
         known = before.select(*keys, F.col("last_seq").alias("_known"))
-        new = own.join(known, keys, "left").where(F.col("_known").isNull() | (F.col("seq") > F.col("_known"))).drop("_known")
+        new = own.join(keyed_side(known), keys, "left").where(F.col("_known").isNull() | (F.col("seq") > F.col("_known"))).drop("_known")
         fresh = written(parts(new), "fresh")
-        after = before.join(fresh.select(*keys), keys, "left_semi").unionByName(fresh)
+        after = before.join(keyed_side(fresh.select(*keys)), keys, "left_semi").unionByName(fresh)
         keyed.apply(spark, table, partial.merge(after, keys, spec()), insert=True)
         forget(fresh)
     forget(rows)
