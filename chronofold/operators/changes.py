@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import text
 from ..functions.time import instant, plus_ms
-from ..sources.storage import written
+from ..sources.storage import keyed_side, written
 from . import dag, ops
 
 #: Places of a change's events within a run: its own, then dependents, then the run's end.
@@ -52,7 +52,7 @@ def _task_rows(tasks: DataFrame, fate: DataFrame, now: Column) -> DataFrame:
     out). Finished tasks hold no lease; only one that succeeded keeps its worker; an error stays unless there is a newer one,
     and for a lost lease the first stays."""
     old = {c: _opt(tasks, c, kind) for c, kind in TASK_STATE.items()}
-    j = fate.join(tasks.select("id", *[c.alias(n) for n, c in old.items()]), "id")
+    j = fate.join(keyed_side(tasks.select("id", *[c.alias(n) for n, c in old.items()])), "id")
     kind = F.col("kind")
     none = lambda n: _null(tasks, n)
     status = text.lookup(kind, {"won": "SUCCEEDED", "again": "RETRYING", "dead": "DEAD", "behind": "DEAD", "expired": "DEAD", "abandoned": "DEAD", "free": "READY", "back": "READY"})
@@ -124,12 +124,12 @@ def _dead(rows: DataFrame, reason: Column, said: Column, now: Column, ord: int)
 
 def _settled(tasks: DataFrame, changed: DataFrame, runs: DataFrame, now: Column) -> dict[str, DataFrame]:
     """Runs that end once `changed` (id, status) holds, queued or running until then, and their last event."""
-    touched = tasks.join(changed.select("id"), "id", "left_semi").select("run_id").distinct()
-    new = tasks.join(touched, "run_id", "left_semi").select("id", "run_id", "status").join(changed.select("id", F.col("status").alias("now_")), "id", "left")
+    touched = tasks.join(keyed_side(changed.select("id")), "id", "left_semi").select("run_id").distinct()
+    new = tasks.select("id", "run_id", "status").join(keyed_side(touched), "run_id", "left_semi").join(keyed_side(changed.select("id", F.col("status").alias("now_"))), "id", "left")
     ended = ops.settle(new.select("run_id", F.coalesce("now_", "status").alias("status")))
     counts = tasks.groupBy("run_id").agg(F.count("*").alias("n"))
     open_ = runs.where("status in ('QUEUED', 'RUNNING')").select(F.col("id").alias("run_id"))
-    ended = ended.join(open_, "run_id", "left_semi").join(counts, "run_id")
+    ended = ended.join(keyed_side(open_), "run_id", "left_semi").join(keyed_side(counts), "run_id")
     failed, well = ended.where("closes_as = 'FAILED'"), ended.where("closes_as = 'SUCCEEDED'")
     detail = F.format_string("%d of %d tasks did not succeed", "dead", "n")
     return {
@@ -145,11 +145,11 @@ def _abandoned(steps: DataFrame, tasks: DataFrame, finished: DataFrame, workflow
     """The unfinished descendants of tasks that have just died, by the graph of their run's workflow (run_id, workflow).
     finished: id, status of the tasks that a batch has ended."""
     dead = finished.where("status = 'DEAD'").select("id")
-    state = tasks.join(finished.select("id", F.col("status").alias("_s")), "id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s").join(workflow, "run_id")
-    newly = dead.join(tasks.select("id", "run_id", "task_name"), "id").join(workflow, "run_id")
+    state = tasks.join(keyed_side(finished.select("id", F.col("status").alias("_s"))), "id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s").join(keyed_side(workflow), "run_id")
+    newly = dead.join(keyed_side(tasks.select("id", "run_id", "task_name")), "id").join(keyed_side(workflow), "run_id")
     below = newly.select("run_id", "workflow", F.col("task_name").alias("name")).join(dag.descendants(dag.edges(steps)), ["workflow", "name"])
     first = below.groupBy("run_id", F.col("descendant").alias("task_name")).agg(F.min("name").alias("upstream"))
-    hit = written(state.where(~F.col("status").isin(*V.TASK_TERMINAL)).join(first, ["run_id", "task_name"]).select("id", "run_id", "task_name", "attempt", "worker_id", "upstream"), "abandoned")
+    hit = written(state.where(~F.col("status").isin(*V.TASK_TERMINAL)).join(keyed_side(first), ["run_id", "task_name"]).select("id", "run_id", "task_name", "attempt", "worker_id", "upstream"), "abandoned")
     reason = F.concat(F.lit("upstream task "), "upstream", F.lit(" did not succeed"))
     return {"tasks": hit.select("id", F.lit("DEAD").alias("status"))} | _dead(hit, reason, F.concat(reason, F.lit(": ")), now, AFTER)
 
@@ -158,7 +158,7 @@ def _policy_of(failed: DataFrame, workflow: DataFrame, steps: DataFrame) -> Data
     """failed with the retry policy of each task's own step; of a step without one, or that the workflow does not declare,
     the default."""
     own = dag.with_retry(steps).select("workflow", F.col("name").alias("task_name"), *V.DEFAULT_RETRY)
-    j = failed.join(workflow, "run_id", "left").join(own, ["workflow", "task_name"], "left")
+    j = failed.join(keyed_side(workflow), "run_id", "left").join(own, ["workflow", "task_name"], "left")
     there = F.col("max_attempts").isNotNull()
     return j.withColumns({k: F.when(there, F.col(k)).otherwise(F.lit(v)) for k, v in V.DEFAULT_RETRY.items()}).drop("workflow")
 
@@ -172,23 +172,23 @@ def complete_tasks(tasks: DataFrame, runs: DataFrame, workflow: DataFrame, steps
     tasks: rows as they are afterwards (id, status, TASK_STATE). artifacts: upserts by (run_id, task_name, name)."""
     held = tasks.where(F.col("status").isin(*V.TASK_HOLDS)).select("id", "worker_id", "attempt", "run_id", "task_name", F.col("status").alias("was"))
     kind = "array<struct<name:string,sha256:string,size:bigint,content_type:string>>"
-    j = outcomes.withColumn("artifacts", _opt(outcomes, "artifacts", kind)).join(held, ["id", "worker_id", "attempt"], "left")
+    j = outcomes.withColumn("artifacts", _opt(outcomes, "artifacts", kind)).join(keyed_side(held), ["id", "worker_id", "attempt"], "left")
     ok = F.coalesce(F.col("error").isNull() & (F.col("was") == "RUNNING") | F.col("error").isNotNull() & F.col("was").isNotNull(), F.lit(False))
     j = written(j.withColumn("ok", ok), "outcomes")
     won, failed = j.where("ok and error is null"), j.where("ok and error is not null")
     fate = ops.after_failure(_policy_of(failed, workflow, steps), now, None).select("id", F.col("status").alias("fate"), "delay_ms", "scheduled_at", F.col("reason").alias("why"))
-    failed = written(failed.join(fate, "id").withColumn("said", text.truncate_error(F.col("error"))), "failed")
+    failed = written(failed.join(keyed_side(fate), "id").withColumn("said", text.truncate_error(F.col("error"))), "failed")
     again, dead = failed.where("fate = 'RETRYING'"), failed.where("fate = 'DEAD'")
     over = _dead(dead, F.col("why"), F.concat_ws(": ", "why", "said"), now, OWN + 2)
     finished = won.select("id", F.lit("SUCCEEDED").alias("status")).unionByName(dead.select("id", F.lit("DEAD").alias("status")))
     behind = _abandoned(steps, tasks, finished, workflow, now)
-    again = again.join(behind["tasks"], "id", "left_anti")  # what lies behind a dead step is not tried again
+    again = again.join(keyed_side(behind["tasks"]), "id", "left_anti")  # what lies behind a dead step is not tried again
     done = finished.unionByName(behind["tasks"])
-    state = tasks.select("id", "run_id", "task_name", "status").join(done.select("id", F.col("status").alias("_s")), "id", "left").withColumn("status", F.coalesce("_s", "status")).join(workflow, "run_id")
-    near = dag.edges(steps).join(won.select("run_id", F.col("task_name").alias("parent")).join(workflow, "run_id"), ["workflow", "parent"]).select("run_id", F.col("child").alias("name")).distinct()
-    free = dag.unlocked(steps, state).join(near, ["run_id", "name"], "left_semi").select("run_id", F.col("name").alias("task_name"))
+    state = tasks.select("id", "run_id", "task_name", "status").join(keyed_side(done.select("id", F.col("status").alias("_s"))), "id", "left").withColumn("status", F.coalesce("_s", "status")).join(keyed_side(workflow), "run_id")
+    near = dag.edges(steps).join(won.select("run_id", F.col("task_name").alias("parent")).join(keyed_side(workflow), "run_id"), ["workflow", "parent"]).select("run_id", F.col("child").alias("name")).distinct()
+    free = dag.unlocked(steps, state).join(keyed_side(near), ["run_id", "name"], "left_semi").select("run_id", F.col("name").alias("task_name"))
     needs = steps.select("workflow", F.col("name").alias("task_name"), F.when(F.size("depends_on") > 0, F.col("depends_on")).alias("depends_on"))
-    free = written(free.join(state.select("id", "run_id", "task_name", "workflow"), ["run_id", "task_name"]).join(needs, ["workflow", "task_name"]), "free")
+    free = written(free.join(keyed_side(state.select("id", "run_id", "task_name", "workflow")), ["run_id", "task_name"]).join(needs, ["workflow", "task_name"]), "free")
     fates = _union(_fate(won, "won", output=F.col("output")), _fate(again, "again", run_at=F.col("scheduled_at"), said=F.col("said")), _fate(dead, "dead", said=F.col("said")), _fate(behind["tasks"], "behind"), _fate(free, "free"))
     changed = written(_task_rows(tasks, fates, now), "changed")
     end = _settled(tasks, changed, runs, now)
@@ -209,14 +209,14 @@ def expire_leases(tasks: DataFrame, runs: DataFrame, workflow: DataFrame, steps:
     """What a sweep writes for the held tasks whose lease has run out: tasks (rows as they are afterwards), runs, dead_letters,
     events. With attempts left a task is ready again; without, it is dead, and so are the steps behind it. The tasks of a
     closed run die unrecorded."""
-    late = ops.expired_leases(tasks, runs, now, limit).join(tasks.select("id", F.col("lease_expires_at").alias("until")), "id")
+    late = ops.expired_leases(tasks, runs, now, limit).join(keyed_side(tasks.select("id", F.col("lease_expires_at").alias("until"))), "id")
     late = written(late, "late")
     told, back, dead = late.where("fate <> 'abandon'"), late.where("fate = 'requeue'"), late.where("fate = 'dead'")
     reason = F.lit("lease expired with no attempts remaining")
     over = _dead(dead, reason, reason, now, OWN + 1)
     behind = _abandoned(steps, tasks, dead.select("id", F.lit("DEAD").alias("status")), workflow, now)
-    back = back.join(behind["tasks"], "id", "left_anti")  # what lies behind a dead step is not tried again
-    closed = late.where("fate = 'abandon'").join(behind["tasks"], "id", "left_anti")
+    back = back.join(keyed_side(behind["tasks"]), "id", "left_anti")  # what lies behind a dead step is not tried again
+    closed = late.where("fate = 'abandon'").join(keyed_side(behind["tasks"]), "id", "left_anti")
     closed_said = F.lit("run was no longer active when the lease expired")
     changed = written(_task_rows(tasks, _union(_fate(back, "back"), _fate(dead, "expired", said=reason), _fate(closed, "abandoned", said=closed_said), _fate(behind["tasks"], "behind")), now), "changed")
     end = _settled(tasks, changed, runs, now)

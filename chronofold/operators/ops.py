@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import draws, text
 from ..functions.time import micros, ms_between, plus_ms
+from ..sources.storage import keyed_side
 from .order import numbered
 
 
@@ -137,7 +138,7 @@ def expired_leases(tasks: DataFrame, runs: DataFrame, now: Column, limit: int |
     late = late if limit is None else late.orderBy("lease_expires_at", "id").limit(limit)
     closed = runs.where(F.col("status").isin(*V.RUN_TERMINAL)).select(F.col("id").alias("run_id"), F.lit(True).alias("closed"))
     fate = F.when(F.col("closed"), "abandon").when(F.col("attempt") < F.col("max_attempts"), "requeue").otherwise("dead")
-    return late.join(closed, "run_id", "left").select("id", "run_id", "task_name", "attempt", "worker_id", fate.alias("fate"))
+    return late.join(keyed_side(closed), "run_id", "left").select("id", "run_id", "task_name", "attempt", "worker_id", fate.alias("fate"))
 
 
 def liveness(workers: DataFrame, now: Column, *, beat_ms: int = V.BEAT_MS, suspect: int = V.SUSPECT_AFTER, lost: int = V.LOST_AFTER) -> DataFrame:

@@ -105,8 +105,8 @@ after AS (SELECT id, coalesce(new, status) AS status, CASE WHEN new IN ('DEAD',
  CASE WHEN new = 'SUCCEEDED' THEN NULL WHEN upstream IS NULL AND fate IN ('again', 'dead') THEN 'boom' ELSE error END AS error, CASE WHEN new = 'SUCCEEDED' THEN '{{}}' END AS output_ref, new FROM w)"""
 
 
-def _completed(spark, sf_dir):
-    tasks, runs = _kept(spark, sf_dir)
+def _completed(spark, sf_dir, kept=None):
+    tasks, runs = kept or _kept(spark, sf_dir)
     bad = F.col("id") % 4 == 0
     outcomes = tasks.where("status in ('LEASED', 'RUNNING')").select("id", "worker_id", "attempt", F.when(~bad, "{}").alias("output"), F.when(bad, "boom").alias("error"), (F.col("id") % 8 == 0).alias("permanent"), F.lit(9).alias("duration_ms"), (F.col("run_id") % 97).alias("seed"), F.when(F.col("id") % 5 == 0, F.array(F.struct(F.lit("log").alias("name"), F.md5(F.col("id").cast("string")).alias("sha256"), F.lit(3).cast("long").alias("size"), F.lit("text/plain").alias("content_type")))).alias("artifacts"))
     return changes.complete_tasks(tasks, runs, _line(runs), _steps(spark), outcomes, _now())
@@ -129,9 +129,9 @@ def _applied(spark, df, keys, changes_, **how):
 @query(f"WITH {_DONE}, {_AFTER} SELECT t.id, t.run_id, t.task_name, t.attempt, a.* EXCLUDE (id, new) FROM tasks t JOIN after a ON a.id = t.id", "tasks")
 def m06_tasks_after(spark, sf_dir):
     """The whole table of tasks after the batch of outcomes."""
-    tasks, _ = _kept(spark, sf_dir)
+    tasks, runs = _kept(spark, sf_dir)
     whole = tasks.select("id", "run_id", "task_name", "attempt", "status", "worker_id", "lease_expires_at", "scheduled_at", F.lit(None).cast("timestamp_ntz").alias("completed_at"), "error", F.lit(None).cast("string").alias("output_ref"))
-    return _applied(spark, whole, ["id"], _completed(spark, sf_dir)["tasks"])
+    return _applied(spark, whole, ["id"], _completed(spark, sf_dir, (tasks, runs))["tasks"])
 
 
 @query(
@@ -142,8 +142,8 @@ FROM runs r LEFT JOIN (SELECT *, true AS hit FROM c WHERE touched AND ok + dead
 )
 def m07_runs_after(spark, sf_dir):
     """The whole table of runs after the batch of outcomes."""
-    _, runs = _kept(spark, sf_dir)
-    return _applied(spark, runs.select("id", "status", "completed_at", F.lit(None).cast("string").alias("failure_reason")), ["id"], _completed(spark, sf_dir)["runs"])
+    tasks, runs = _kept(spark, sf_dir)
+    return _applied(spark, runs.select("id", "status", "completed_at", F.lit(None).cast("string").alias("failure_reason")), ["id"], _completed(spark, sf_dir, (tasks, runs))["runs"])
 
 
 @query(
@@ -153,18 +153,18 @@ UNION ALL SELECT id, 'known', 7, NULL FROM tasks WHERE id % 10 = 4""",
 )
 def m10_dead_letters_after(spark, sf_dir):
     """Dead letters are written once: those that are there stay."""
-    tasks, _ = _kept(spark, sf_dir)
+    tasks, runs = _kept(spark, sf_dir)
     known = tasks.where("id % 10 = 4").select(F.col("id").alias("task_id"), F.lit("known").alias("reason"), F.lit(7).alias("attempts"), F.lit(None).cast("long").alias("last_worker"))
-    new = _completed(spark, sf_dir)["dead_letters"].select(*known.columns)
+    new = _completed(spark, sf_dir, (tasks, runs))["dead_letters"].select(*known.columns)
     return _applied(spark, known, ["task_id"], new, update=False, insert=True)
 
 
 @query(f"WITH {_DONE} SELECT run_id, task_name, 'log' AS name, md5(id::VARCHAR) AS sha256, 3::BIGINT AS size, 'text/plain' AS content_type FROM n WHERE fate = 'won' AND id % 5 = 0 UNION ALL SELECT run_id, task_name, 'log', 'old', 1, 'x' FROM n WHERE NOT (coalesce(fate, '') = 'won' AND id % 5 = 0) AND id % 3 = 0", "tasks")
 def m12_artifacts_after(spark, sf_dir):
     """Artifacts of finished tasks, over those there were before."""
-    tasks, _ = _kept(spark, sf_dir)
+    tasks, runs = _kept(spark, sf_dir)
     before = tasks.where("id % 3 = 0").select("run_id", "task_name", F.lit("log").alias("name"), F.lit("old").alias("sha256"), F.lit(1).cast("long").alias("size"), F.lit("x").alias("content_type"))
-    return _applied(spark, before, ["run_id", "task_name", "name"], _completed(spark, sf_dir)["artifacts"], insert=True)
+    return _applied(spark, before, ["run_id", "task_name", "name"], _completed(spark, sf_dir, (tasks, runs))["artifacts"], insert=True)
 
 
 @query(
