@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..sources import keyed
-from ..sources.storage import exists, forget, written
+from ..sources.storage import exists, forget, keyed_side, written
 
 LEDGER = "idempotency_key string, run_id long, task_name string, attempt int, result string, created_at timestamp_ntz, batch long"
 ASKED = ["idempotency_key", "run_id", "task_name", "attempt", "result", "created_at"]
@@ -30,11 +30,11 @@ def do_batch(asked: DataFrame, batch_id: int, path: str, buckets: int = keyed.BU
     known = keyed.read(spark, f"{path}/ledger", touched).where(F.col("batch") != batch_id).select("idempotency_key", F.struct("attempt", "result").alias("winner"))
     order = F.struct("created_at", "attempt", "run_id", "task_name", "result", "row")
     first = rows.groupBy("idempotency_key").agg(F.min(order).alias("f"), F.first("batch").alias("batch"))  # combined before it moves
-    state = written(first.join(known, "idempotency_key", "left"), "first")
+    state = written(first.join(keyed_side(known), "idempotency_key", "left"), "first")
     new = state.where("winner is null").select("idempotency_key", *[F.col("f")[c].alias(c) for c in ("run_id", "task_name", "attempt", "result", "created_at")], "batch")
     keyed.apply(spark, f"{path}/ledger", new, update=False, insert=True)
     # The first of a key's rows in the batch runs if the key was not known; a key that very many rows repeat is joined, not gathered.
-    j = rows.join(state.select("idempotency_key", "f", "winner"), "idempotency_key")
+    j = rows.join(keyed_side(state.select("idempotency_key", "f", "winner")), "idempotency_key")
     runs = (F.col("row") == F.col("f.row")) & F.col("winner").isNull()
     won = lambda c: F.when(F.col("winner").isNotNull(), F.col("winner")[c]).otherwise(F.col("f")[c])  # noqa: E731  a result may be null
     out = j.select(
