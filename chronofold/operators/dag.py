@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import text
-from ..sources.storage import forget, written
+from ..sources.storage import forget, keyed_side, written
 
 STEPS = (
     "workflow string, position int, name string, handler string, depends_on array<string>, max_attempts int, initial_delay_ms long, "
@@ -85,9 +85,11 @@ def cycles(edge: DataFrame) -> DataFrame:
 
 def unlocked(steps: DataFrame, tasks: DataFrame) -> DataFrame:
     """run_id, name: pending tasks all of whose dependencies have succeeded. tasks: run_id, workflow, task_name, status."""
-    done = tasks.groupBy("run_id").agg(F.collect_set(F.when(F.col("status") == "SUCCEEDED", F.col("task_name"))).alias("done"))
-    waiting = tasks.where("status = 'PENDING'").join(steps.select("workflow", F.col("name").alias("task_name"), "depends_on"), ["workflow", "task_name"])
-    return waiting.join(done, "run_id").where(F.size(F.array_except("depends_on", "done")) == 0).select("run_id", F.col("task_name").alias("name"))
+    done = tasks.where("status = 'SUCCEEDED'").select("run_id", F.col("task_name").alias("needs"))
+    waiting = tasks.where("status = 'PENDING'").select("run_id", "workflow", F.col("task_name").alias("name")).join(steps.select("workflow", "name", "depends_on"), ["workflow", "name"]).where("depends_on is not null")
+    needs = waiting.select("run_id", "name", F.explode("depends_on").alias("needs"))
+    short = needs.join(keyed_side(done), ["run_id", "needs"], "left_anti").select("run_id", "name")
+    return waiting.select("run_id", "name").join(keyed_side(short), ["run_id", "name"], "left_anti")
 
 
 def abandoned(steps: DataFrame, tasks: DataFrame) -> DataFrame:
