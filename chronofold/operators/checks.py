@@ -24,8 +24,9 @@ def observed(journal: DataFrame, duplicates: DataFrame | None = None) -> DataFra
 
 def evaluate(seen: DataFrame, scenarios: DataFrame) -> DataFrame:
     """run_id, scenario, name, passed, expected, actual: a row for each assertion that a run's scenario sets. scenarios:
-    scenario, run_status and the bounds (null: not asserted). The table of scenarios is small; it is joined by name."""
-    j = seen.join(scenarios, "scenario")
+    scenario, run_status and the bounds (null: not asserted). The table of scenarios is small and is sent
+    to where the runs lie; few names would leave all runs to a few tasks."""
+    j = seen.join(F.broadcast(scenarios), "scenario")
     most = lambda c, unit="": F.concat(F.lit("at most "), c.cast("string"), F.lit(unit))
     rules = [
         ("run_status", F.col("run_status"), F.col("status") == F.col("run_status"), F.col("run_status"), F.col("status")),

@@ -27,11 +27,20 @@ def evidence(journal: DataFrame) -> DataFrame:
     """Counts by run of what its journal shows, the workers it met (sorted, joined by commas) and recovery_ms (null if
     nothing went wrong)."""
     n = lambda kind: F.count_if(F.col("type") == kind)
-    return journal.groupBy("run_id").agg(
-        n("TASK_STARTED").alias("attempts"), n("TASK_LEASE_EXPIRED").alias("lease_expiries"), n("TASK_REQUEUED").alias("requeues"),
-        n("TASK_RETRY_SCHEDULED").alias("retries_scheduled"), n("WORKER_LOST").alias("workers_lost"), n("FAULT_INJECTED").alias("faults_injected"),
-        n("SIDE_EFFECT_SKIPPED").alias("effects_suppressed"), n("TASK_DEAD_LETTERED").alias("dead_lettered"),
-        F.array_join(F.sort_array(F.collect_set("worker_id")), ",").alias("workers"), recovery_ms().alias("recovery_ms"),
+    kinds = {
+        "attempts": "TASK_STARTED", "lease_expiries": "TASK_LEASE_EXPIRED", "requeues": "TASK_REQUEUED", "retries_scheduled": "TASK_RETRY_SCHEDULED", "workers_lost": "WORKER_LOST",
+        "faults_injected": "FAULT_INJECTED", "effects_suppressed": "SIDE_EFFECT_SKIPPED", "dead_lettered": "TASK_DEAD_LETTERED",
+    }
+    # By worker first: counts and times are hashed where they lie, and lists are made of a row a worker instead of an event.
+    trouble, ended = (F.when(F.col("type").isin(*t), F.col("seq")) for t in (V.TROUBLE_TYPES, V.TERMINAL_TYPES))
+    by_worker = journal.groupBy("run_id", "worker_id").agg(
+        *[n(k).alias(c) for c, k in kinds.items()],
+        F.min(trouble).alias("_t"), F.min_by("occurred_at", trouble).alias("_t_at"), F.max(ended).alias("_e"), F.max_by("occurred_at", ended).alias("_e_at"),
+    )
+    first, last = F.min_by("_t_at", "_t"), F.max_by("_e_at", "_e")
+    return by_worker.groupBy("run_id").agg(
+        *[F.sum(c).alias(c) for c in kinds], F.array_join(F.sort_array(F.collect_set("worker_id")), ",").alias("workers"),
+        F.when(last >= first, ms_between(first, last)).alias("recovery_ms"),
     )
 
 

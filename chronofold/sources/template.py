@@ -97,11 +97,17 @@ def rows() -> list[tuple]:
     return [(k, i, at, kind, task, worker, json.dumps({"v": 1, **p}, separators=(",", ":"))) for k, steps in HISTORIES.items() for i, (at, kind, task, worker, p) in enumerate(steps, 1)]
 
 
+#: Orders of one partition of the journal: what their events take is sorted in a task's memory.
+RUNS = 50_000
+
+
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, seq, type, task_name, worker_id, payload, occurred_at. The template has under a hundred rows, so orders are
-    read once and expanded in place; no shuffle."""
+    """run_id, seq, type, task_name, worker_id, payload, occurred_at, the events of a run in one partition. The template has
+    under a hundred rows: the orders are dealt out by their key, which are two numbers a run, and expanded in place. What is
+    grouped or joined by run then moves no event, and no task sorts more than RUNS runs."""
     steps = spark.createDataFrame(rows(), "class long, seq long, offset_ms long, type string, task_name string, worker_id string, payload string")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    orders = orders.repartition(max(1, -(-orders.count() // RUNS)), "o_orderkey")
     out = orders.join(F.broadcast(steps), F.col("o_orderkey") % 6 == F.col("class"))
     at = F.expr("o_orderdate + make_dt_interval(0, 0, 0, cast(offset_ms * (1 + o_orderkey % 7) as decimal(18, 6)) / 1000)")
     return out.select(F.col("o_orderkey").alias("run_id"), "seq", "type", "task_name", "worker_id", "payload", at.alias("occurred_at"))
