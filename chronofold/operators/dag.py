@@ -32,10 +32,36 @@ def dependents(steps: DataFrame) -> DataFrame:
     return kids.groupBy("workflow", F.col("parent").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "child"))), lambda x: x["child"]), ",").alias("children"))
 
 
+#: Edges up to which a workflow's graph is closed in one row.
+ROW_EDGES = 32
+
+
 def descendants(edge: DataFrame) -> DataFrame:
-    """workflow, name, descendant: the transitive closure of the edges, for all workflows at once. Each round joins the
-    pairs found with themselves, so paths double in length, until no pair is new; rounds are written."""
-    pairs = written(edge.select("workflow", F.col("parent").alias("name"), F.col("child").alias("descendant")).distinct(), "closure")
+    """workflow, name, descendant: the transitive closure of the edges, for all workflows at once. Workflows of up to
+    ROW_EDGES edges are gathered by one shuffle and closed each in its row; larger ones (and a null workflow, whose edges
+    meet none) are closed by joins in rounds."""
+    edge = written(edge.select("workflow", F.col("parent").alias("name"), F.col("child").alias("descendant")), "edges")
+    large = written(edge.groupBy("workflow").count().where((F.col("count") > ROW_EDGES) | F.col("workflow").isNull()).select("workflow"), "large")
+    if large.isEmpty():
+        return _closed_in_rows(edge)
+    is_large = edge["workflow"].eqNullSafe(large["workflow"])
+    return _closed_in_rows(edge.join(keyed_side(large), is_large, "left_anti")).unionByName(_closed_in_rounds(edge.join(keyed_side(large), is_large, "left_semi")))
+
+
+def _closed_in_rows(edge: DataFrame) -> DataFrame:
+    graphs = edge.groupBy("workflow").agg(F.collect_set(F.struct("name", "descendant")).alias("_e"))
+    after = lambda which: F.transform(F.filter("_e", which), lambda e: e["descendant"])
+    grown = lambda r, _: F.array_union(r, after(lambda e: F.array_contains(r, e["name"])))
+    reached = lambda p: F.aggregate(F.sequence(F.lit(1), F.size("_e")), F.array_distinct(after(lambda e: e["name"].eqNullSafe(p))), grown)
+    names = F.array_distinct(F.transform("_e", lambda e: e["name"]))
+    each = graphs.select("workflow", F.explode(F.transform(names, lambda p: F.struct(p.alias("name"), reached(p).alias("below")))).alias("_n"))
+    return each.select("workflow", F.col("_n.name").alias("name"), F.explode("_n.below").alias("descendant"))
+
+
+def _closed_in_rounds(edge: DataFrame) -> DataFrame:
+    """Each round joins the pairs found with themselves, so paths double in length, until no pair is new; rounds are
+    written."""
+    pairs = written(edge.distinct(), "closure")
     while True:
         a, b = pairs.alias("a"), pairs.alias("b")
         further = a.join(b, (F.col("a.workflow") == F.col("b.workflow")) & (F.col("a.descendant") == F.col("b.name"))).select("a.workflow", "a.name", "b.descendant")
