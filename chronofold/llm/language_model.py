@@ -9,7 +9,10 @@ distribution over all texts.
 A context, the two outcomes before, is the sum of their position-wise vectors. Outcomes in order of frequency are cut
 into classes of about the square root of their number: the probability of an outcome is that of its class times that
 within the class, both log-bilinear, normalised in batched matrix products. Biases start from the corpus counts; vectors
-are trained by noise-contrastive estimation on positions drawn evenly from all training documents, DRAWS a model outcome.
+are trained by noise-contrastive estimation on every position of every training document, once. Parts of the documents,
+of POSITIONS positions an outcome, are trained apart, each by one task; a row of the model then becomes the mean of the
+parts' rows, weighted by their squared gradients. A first round on one document in FIRST gives the second a common
+start. What a round moves is a model for each part, so less than a number a position.
 
 Text is read once. A task gives its words local numbers and writes documents as number arrays, and a vocabulary for
 every VOCABULARY words or TOKENS tokens. What then moves between tasks is the vocabularies (a row for each word of each,
@@ -18,6 +21,8 @@ so a frequent word is a row a vocabulary, never a row an occurrence) and the num
 
 from __future__ import annotations
 
+import collections
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,10 +39,13 @@ WIDTH = 24
 #: The bias of places beyond the last outcome: no probability, and finite, so that it can stand in a matrix product.
 NO_WORD = -1e30
 VOCABULARY, TOKENS = 250_000, 4_000_000
-#: Training positions for each outcome of the model, and passes over them.
-DRAWS, PASSES, BATCH, CLASS_NOISE, WORD_NOISE = 100, 2, 2048, 32, 8
-#: Positions that are sorted by class together, and rows of one matrix product.
-BLOCK, ROWS = 1 << 16, 2048
+#: Training positions of a part for each outcome of the model, and one document of so many is trained on in the first round.
+POSITIONS, FIRST = 400, 16
+#: Passes over positions given as arrays; positions of a step (a part has about STEPS); noise outcomes of a step.
+PASSES, BATCH, STEPS, CLASS_NOISE, WORD_NOISE, RATE = 2, (2048, 32768), 512, 32, 8, 0.15
+#: Positions that are put in order of outcome together, rows of one matrix product, and rows of a model sent together.
+BLOCK, ROWS, SENT = 1 << 20, 2048, 4096
+
 
 
 def tokenise(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -48,8 +56,9 @@ def tokenise(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") ->
         import numpy as np
 
         names = ["kind", "part", "doc_id", "held_out", "ids", "number", "word", "n"]
+        fresh = lambda: collections.defaultdict(itertools.count().__next__)  # noqa: E731  a new word takes the next number
         types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
-        part, serial, known, counts, tokens = TaskContext.get().partitionId() << 24, 0, {}, np.zeros(2 * VOCABULARY, np.int64), 0
+        part, serial, known, counts, tokens = TaskContext.get().partitionId() << 24, 0, fresh(), np.zeros(2 * VOCABULARY, np.int64), 0
 
         def batch(rows: list[tuple]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -63,9 +72,6 @@ def tokenise(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") ->
             rows = []
             for doc_id, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = (t.as_py() or b"").lower().split()
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
                 numbers = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 if len(known) > len(counts):  # one document with very many words
                     counts = np.concatenate([counts, np.zeros(len(known), np.int64)])
@@ -79,7 +85,7 @@ def tokenise(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") ->
                     rows = []
                 if full:
                     yield from vocabulary()
-                    serial, known, counts, tokens = serial + 1, {}, np.zeros(2 * VOCABULARY, np.int64), 0
+                    serial, known, counts, tokens = serial + 1, fresh(), np.zeros(2 * VOCABULARY, np.int64), 0
             if rows:
                 yield batch(rows)
         if known:
@@ -110,95 +116,228 @@ class Model:
     def arrays(self) -> tuple:
         return self.size, self.near, self.far, self.of_class, self.of_word, self.class_bias, self.word_bias
 
+    def trained(self) -> list:
+        return [self.near, self.far, self.of_class, self.of_word, self.class_bias, self.word_bias]
+
 
-def _move(x, grown, at, gradient, rate: float) -> None:
-    """One Adagrad step on the rows `at` of x, whose gradients may repeat rows."""
+def _move(x, grown, at, gradient, rate: float, *, in_order: bool = False) -> None:
+    """One Adagrad step on the rows `at` of x, whose gradients may repeat rows; grown is a number for each row."""
     import numpy as np
 
-    order = np.argsort(at, kind="stable")
-    at, gradient = at[order], gradient[order]
+    if not in_order:
+        order = np.argsort(at.astype(np.uint16) if len(x) <= 1 << 16 else at, kind="stable")
+        at, gradient = at[order], gradient[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    g = np.add.reduceat(gradient, first, axis=0)
-    at = at[first]
-    grown[at] += g * g
-    x[at] += rate * g / np.sqrt(grown[at])
+    g, at = np.add.reduceat(gradient, first, axis=0), at[first]
+    if g.ndim == 1:
+        grown[at] += g * g
+        x[at] += rate * g / np.sqrt(grown[at])
+    else:
+        grown[at] += np.einsum("nd,nd->n", g, g) / g.shape[1]
+        x[at] += g * (rate / np.sqrt(grown[at]))[:, None]
 
 
-def train(counts, far, near, y, rate: float = 0.1, seed: int = 11) -> Model:
-    """Noise-contrastive estimation on positions (the outcome two before, the one before, the outcome). An outcome's class
-    is set against CLASS_NOISE classes drawn by count, which a batch shares, and the outcome against WORD_NOISE others of
-    its class, drawn by count for each position."""
+def _odds(z):
+    """1 / (1 + exp(-z)), in place."""
     import numpy as np
 
-    m, rng = Model(counts), np.random.default_rng(seed)
-    n_class, class_share = len(m.of_class), m.share.sum(axis=1)
-    upto, class_upto = np.cumsum(m.share.ravel()), np.cumsum(class_share)
-    inner = m.share.ravel() / np.repeat(class_share, m.size)
+    np.negative(z, out=z)
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def _learn(m: Model, grown: list, far, near, y, n_outcomes: int, batch: int, rng, rate: float = RATE) -> None:
+    """One pass of noise-contrastive estimation over positions, in steps of about `batch` that have each its share of every
+    outcome. A position's class is set against CLASS_NOISE classes drawn by count, which a step shares, and its outcome
+    against WORD_NOISE outcomes of the class, drawn by count, which the step's positions of the class share."""
+    import numpy as np
+
+    near_g, far_g, class_g, word_g, class_bias_g, word_bias_g = grown
+    share, n_class, width = m.share.ravel(), len(m.of_class), m.near.shape[1]
+    class_share = m.share.sum(axis=1)
+    upto, class_upto, start = np.cumsum(share), np.cumsum(class_share), np.arange(n_class) * m.size
     with np.errstate(divide="ignore"):
-        class_noise, word_noise = np.log(CLASS_NOISE * class_share).astype(np.float32), np.log(WORD_NOISE * inner).astype(np.float32)
-    grown = {name: np.full_like(getattr(m, name), 1e-3) for name in ("near", "far", "of_class", "of_word", "class_bias", "word_bias")}
-    odds = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        class_noise, word_noise = np.log(CLASS_NOISE * class_share).astype(np.float32), np.log(WORD_NOISE * share / np.repeat(class_share, m.size)).astype(np.float32)
+    low, last = np.r_[0.0, upto[start[1:] - 1]], np.minimum(start + m.size, n_outcomes) - 1
+    order = np.argsort(y.astype(np.uint16) if n_outcomes <= 1 << 16 else y, kind="stable")
+    steps = -(-len(y) // batch)
+    for i in range(steps):
+        pick = order[i::steps]
+        a, b, w = far[pick], near[pick], y[pick]
+        c = w // m.size
+        cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
+        here, runs = c[cut[:-1]], np.diff(cut)
+        k = np.searchsorted(class_upto, rng.random(CLASS_NOISE) * class_upto[-1], side="right").clip(max=n_class - 1)
+        other = np.searchsorted(upto, low[here][:, None] + rng.random((len(here), WORD_NOISE)) * class_share[here][:, None], side="right").clip(start[here][:, None], last[here][:, None])
+
+        q = m.near[b]
+        q += m.far[a]
+        miss = _odds(q @ m.of_class[k].T + (m.class_bias[k] - class_noise[k]))
+        np.negative(miss, out=miss)
+        own = m.of_word[w]
+        hit = 1 - _odds(np.einsum("nd,nd->n", q, own) + (m.word_bias - word_noise)[w])
+        # Of each class that is here: its noise outcomes, then the class itself.
+        sides = np.concatenate([m.of_word[other], m.of_class[here][:, None]], axis=1)
+        z = np.repeat(np.c_[m.word_bias[other] - word_noise[other], m.class_bias[here] - class_noise[here]], runs, axis=0)
+        spans = list(enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)))
+        for j, (s, t) in spans:
+            z[s:t] += q[s:t] @ sides[j].T
+        np.negative(_odds(z), out=z)
+        z[:, -1] += 1
+        of_q, of_sides = miss @ m.of_class[k], np.empty_like(sides)
+        own *= hit[:, None]
+        of_q += own
+        for j, (s, t) in spans:
+            of_q[s:t] += z[s:t] @ sides[j]
+            of_sides[j] = z[s:t].T @ q[s:t]
+        of_bias = np.add.reduceat(z, cut[:-1], axis=0)
+
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        classes, words = np.r_[here, k], np.r_[w[first], other.ravel()]
+        _move(m.near, near_g, b, of_q, rate)
+        _move(m.far, far_g, a, of_q, rate)
+        _move(m.of_class, class_g, classes, np.concatenate([of_sides[:, -1], miss.T @ q]), rate)
+        _move(m.class_bias, class_bias_g, classes, np.r_[of_bias[:, -1], miss.sum(axis=0)], rate / 4)
+        q *= hit[:, None]
+        _move(m.of_word, word_g, words, np.concatenate([np.add.reduceat(q, first, axis=0), of_sides[:, :-1].reshape(-1, width)]), rate)
+        _move(m.word_bias, word_bias_g, words, np.r_[np.add.reduceat(hit, first), of_bias[:, :-1].ravel()], rate / 4)
+
+
+def _batch(positions: float) -> int:
+    return int(min(max(positions / STEPS, BATCH[0]), BATCH[1]))
+
+
+def train(counts, *positions, seed: int = 11) -> Model:
+    """The model of outcomes with these counts, trained on positions: arrays of the outcome two before, the one before and
+    the outcome, passed over PASSES times; or a table of documents (doc_id, outcomes: packed 32-bit numbers without the
+    end), every position of which is passed over once, by its tasks."""
+    import numpy as np
+
+    m = Model(counts, seed)
+    grown = [np.full(len(x), 1e-3, np.float32) for x in m.trained()]
+    if len(positions) == 1:
+        for first in (True, False):
+            _train_round(m, grown, len(counts), float(np.sum(counts)), positions[0], first, seed)
+        return m
+    rng = np.random.default_rng(seed)
     for _ in range(PASSES):
-        order = rng.permutation(len(y))
-        for i in range(0, len(y), BATCH):
-            pick = order[i : i + BATCH]
-            a, b, w = far[pick], near[pick], y[pick]
-            c, n = w // m.size, len(pick)
-            q = m.near[b] + m.far[a]
-            k = np.searchsorted(class_upto, rng.random(CLASS_NOISE) * class_upto[-1], side="right").clip(max=n_class - 1)
-            g_hit = 1 - odds((q * m.of_class[c]).sum(axis=1) + m.class_bias[c] - class_noise[c])
-            g_miss = -odds(q @ m.of_class[k].T + m.class_bias[k] - class_noise[k])
-            low = np.where(c > 0, upto[c * m.size - 1], 0.0)
-            other = np.searchsorted(upto, low[:, None] + rng.random((n, WORD_NOISE)) * class_share[c][:, None], side="right")
-            other = other.clip(c[:, None] * m.size, np.minimum((c[:, None] + 1) * m.size, len(counts)) - 1)
-            w_hit = 1 - odds((q * m.of_word[w]).sum(axis=1) + m.word_bias[w] - word_noise[w])
-            w_miss = -odds(np.einsum("nd,nkd->nk", q, m.of_word[other]) + m.word_bias[other] - word_noise[other])
-            g_q = g_hit[:, None] * m.of_class[c] + g_miss @ m.of_class[k] + w_hit[:, None] * m.of_word[w] + np.einsum("nk,nkd->nd", w_miss, m.of_word[other])
-            classes, words = np.r_[c, k], np.r_[w, other.ravel()]
-            class_g = np.concatenate([g_hit[:, None] * q, g_miss.T @ q])
-            word_g = np.concatenate([w_hit[:, None] * q, (w_miss[:, :, None] * q[:, None, :]).reshape(-1, WIDTH)])
-            _move(m.near, grown["near"], b, g_q, rate)
-            _move(m.far, grown["far"], a, g_q, rate)
-            _move(m.of_class, grown["of_class"], classes, class_g, rate)
-            _move(m.of_word, grown["of_word"], words, word_g, rate)
-            _move(m.class_bias, grown["class_bias"], classes, np.r_[g_hit, g_miss.sum(axis=0)], rate / 4)
-            _move(m.word_bias, grown["word_bias"], words, np.r_[w_hit, w_miss.ravel()], rate / 4)
+        order = rng.permutation(len(positions[0]))
+        for i in range(0, len(order), BLOCK):
+            _learn(m, grown, *(x[order[i : i + BLOCK]] for x in positions), len(counts), _batch(len(order)), rng)
     return m
 
 
+def _train_round(m: Model, grown: list, n_outcomes: int, n: float, docs: DataFrame, first: bool, seed: int) -> None:
+    """Train m, in place, on the documents of the first round or on all others. The n positions of all rounds are dealt to
+    parts of POSITIONS an outcome, or to more where the table's files are fewer; m takes the parts' weighted means."""
+    import numpy as np
+
+    parts = max(1, round(n / (POSITIONS * n_outcomes)))
+    chosen = F.pmod(F.xxhash64("doc_id", "outcomes"), F.lit(FIRST)) == 0
+    shipped = docs.sparkSession.sparkContext.broadcast((vars(m), grown))
+    batch = _batch(n / parts / FIRST if first else n / parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import copy
+
+        part = TaskContext.get().partitionId()
+        own, start = Model.__new__(Model), shipped.value[1]
+        vars(own).update(copy.deepcopy(shipped.value[0]))
+        gone, rng = [x.copy() for x in start], np.random.default_rng([seed, part, first])
+        held, size = [], 0
+
+        def learn() -> None:
+            _learn(own, gone, *(np.concatenate(x) for x in zip(*map(_contexts, held), strict=True)), n_outcomes, batch, rng)
+
+        for b in batches:
+            for packed in b.column("outcomes"):
+                held.append(np.append(np.frombuffer(packed.as_py(), np.int32), np.int32(END)))
+                size += len(held[-1])
+                if size >= BLOCK:
+                    learn()
+                    held, size = [], 0
+        if held:
+            learn()
+        for what, (x, g, g0) in enumerate(zip(own.trained(), gone, start, strict=True)):
+            for i in range(0, len(x), SENT):
+                w = g[i : i + SENT] - g0[i : i + SENT]
+                if w.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([what], pa.int32()), pa.array([i], pa.int64()), pa.array([part], pa.int32()), pa.array([x[i : i + SENT].tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["what", "at", "part", "x", "w"])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        rows, total = rows.sort_by("part"), 0.0
+        weight, parts_here = 0.0, 0
+        for x, w in zip(rows.column("x"), rows.column("w"), strict=True):
+            w = np.frombuffer(w.as_py(), np.float32).astype(np.float64)
+            x = np.frombuffer(x.as_py(), np.float32).reshape(len(w), -1)
+            total, weight, parts_here = total + w[:, None] * x, weight + w, parts_here + (w > 0)
+        x = np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-300)[:, None], np.nan).astype(np.float32)
+        w = (weight / np.maximum(parts_here, 1)).astype(np.float32)
+        return pa.table([rows.column("what")[:1], rows.column("at")[:1], pa.array([x.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["what", "at", "x", "w"])
+
+    moved = docs.where(chosen if first else ~chosen).select("outcomes").coalesce(parts).mapInArrow(shared.lean(run), "what int, at long, part int, x binary, w binary")
+    for r in moved.groupBy("what", "at").applyInArrow(mean, "what int, at long, x binary, w binary").collect():  # one model
+        x, w, into = np.frombuffer(r.x, np.float32), np.frombuffer(r.w, np.float32), m.trained()[r.what][r.at : r.at + SENT]
+        x = x.reshape(into.shape)
+        into[w > 0] = x[w > 0]
+        grown[r.what][r.at : r.at + SENT] += w
+    shipped.unpersist()
+
+
 def log_probabilities(model: tuple, far, near, y):
     """log10 probability of each outcome y after its context."""
     import numpy as np
 
     size, vec_near, vec_far, of_class, of_word, class_bias, word_bias = model
-    out, n_class = np.empty(len(y)), len(of_class)
+    out, n_class, k = np.empty(len(y)), len(of_class), len(vec_near)
     classes = np.c_[of_class, class_bias].T  # the bias is the weight of a one
     words = np.concatenate([of_word, word_bias[:, None]], axis=1).reshape(n_class, size, -1).transpose(0, 2, 1)
     for i in range(0, len(y), BLOCK):
-        a, b, w = far[i : i + BLOCK], near[i : i + BLOCK], y[i : i + BLOCK]
-        order = np.argsort(w // size, kind="stable")
-        w = w[order]
-        c, q = w // size, np.ones((len(w), vec_near.shape[1] + 1), np.float32)
-        np.add(vec_near[b[order]], vec_far[a[order]], out=q[:, :-1])
-        got = np.concatenate([_log_softmax_at(q[s : s + ROWS] @ classes, c[s : s + ROWS]) for s in range(0, len(w), ROWS)])
+        # Equal contexts are normalised over the classes once, and equal pairs of a class and a context within the class once.
+        key = (y[i : i + BLOCK] // size * np.int64(k) + near[i : i + BLOCK]) * k + far[i : i + BLOCK]
+        order = np.argsort(key)
+        key, w = key[order], y[i : i + BLOCK][order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new)
+        c, context = np.divmod(key[first], k * k)
+        context, at = np.unique(context, return_inverse=True)
+        q = np.ones((len(context), vec_near.shape[1] + 1), np.float32)
+        np.add(vec_near[context // k], vec_far[context % k], out=q[:, :-1])
+        over_classes = np.concatenate([_log_sum(q[s : s + ROWS] @ classes) for s in range(0, len(q), ROWS)])
+        row, got = np.cumsum(new) - 1, np.empty(len(w))
+        ends = np.r_[first, len(w)]
         cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
-        for s, t in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):  # positions of one class
-            for k in range(s, t, ROWS):
-                got[k : min(k + ROWS, t)] += _log_softmax_at(q[k : min(k + ROWS, t)] @ words[c[s]], w[k : min(k + ROWS, t)] - c[s] * size)
+        for s, t in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):  # contexts of one class
+            inside = np.c_[words[c[s]], classes[:, c[s]]]
+            for u in range(s, t, ROWS):
+                v = min(u + ROWS, t)
+                z = q[at[u:v]] @ inside
+                less = _log_sum(z[:, :-1]) + over_classes[at[u:v]] - z[:, -1]
+                its = slice(ends[u], ends[v])
+                got[its] = z[row[its] - u, w[its] - c[s] * size] - less[row[its] - u]
         out[i + order] = got
     return out / np.log(10)
 
 
-def _log_softmax_at(z, columns):
-    """Of each row's log-softmax the given column."""
+def _log_sum(z):
+    """Of each row the logarithm of its exponentials' sum."""
     import numpy as np
 
     with np.errstate(over="ignore"):
         total = np.exp(z).sum(axis=1)
-    if not 1e-30 < total.min(initial=1) <= total.max(initial=1) < 1e30:  # exponentials do not fit their type as they are
-        z = z - z.max(axis=1, keepdims=True)
-        total = np.exp(z).sum(axis=1)
-    return z[np.arange(len(z)), columns] - np.log(total, dtype=np.float64)
+    if 1e-30 < total.min(initial=1) <= total.max(initial=1) < 1e30:
+        return np.log(total, dtype=np.float64)
+    most = z.max(axis=1)  # exponentials do not fit their type as they are
+    return np.log(np.exp(z - most[:, None]).sum(axis=1), dtype=np.float64) + most
+
+
+def _log_softmax_at(z, columns):
+    """Of each row's log-softmax the given column."""
+    import numpy as np
+
+    return z[np.arange(len(z)), columns] - _log_sum(z)
 
 
 def _contexts(outcomes):
@@ -209,6 +348,18 @@ def _contexts(outcomes):
     return before[:-2], before[1:-1], outcomes
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of documents, of about BLOCK positions or one document."""
+    at, size = 0, 0
+    for i, packed in enumerate(batch.column("outcomes")):
+        size += len(packed.as_buffer() or b"") // 4 + 1
+        if size >= BLOCK:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, held_out (crc32(doc_id as text) mod 7 is 2), n_tokens (words and one end), n_known
     (tokens seen in training), train_tokens, base_score (add-one unigram, log10), score (the model's log10 probability).
@@ -262,28 +413,11 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> Dat
     schema = "doc_id long, held_out boolean, known long, base double, inner double, outcomes binary"
     placed = shared.written(rows.groupBy("part").cogroup(known.groupBy("p")).applyInArrow(place, schema), "lm-placed")
     shared.forget(tokens, counted, counted_k, model_words)
-    below = min(1 << 32, int((1 << 32) * DRAWS * len(counts) / max(1, n)))
-
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for doc_id, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                outcomes = np.append(np.frombuffer(packed.as_py(), np.int32), np.int32(END))
-                h = (np.arange(len(outcomes), dtype=np.uint32) + np.uint32((doc_id or 0) * 2654435761 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
-                h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-                take = (h ^ h >> np.uint32(13)) < below
-                found.append(np.stack([x[take] for x in _contexts(outcomes)]))
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(found, axis=1).tobytes()] if found else [], pa.binary())], names=["sample"])
-
-    # About DRAWS positions an outcome of the model come to the driver, as many as the root of the tokens.
-    got = placed.where("not held_out").select("doc_id", "outcomes").mapInArrow(drawn, "sample binary").toArrow().column("sample")
-    sample = np.concatenate([np.frombuffer(x.as_py(), np.int32).reshape(3, -1) for x in got], axis=1) if len(got) else np.zeros((3, 0), np.int32)
-    sample = sample[:, np.lexsort(sample)]  # whatever order the tasks came in
-    shipped = spark.sparkContext.broadcast(train(counts, *sample).arrays())
+    shipped = spark.sparkContext.broadcast(train(counts, placed.where("not held_out").select("doc_id", "outcomes")).arrays())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end_base = shipped.value, float(np.log10((train_docs + 1) / unseen))
-        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+        for b in (part for b in batches for part in _blocks(b)):
             outcomes = [np.append(np.frombuffer(x.as_py(), np.int32), np.int32(END)) for x in b.column("outcomes")]
             size = np.array([len(x) for x in outcomes])
             each = log_probabilities(model, *(np.concatenate(x) for x in zip(*map(_contexts, outcomes), strict=True)))

@@ -155,6 +155,21 @@ def test_scores_are_a_naive_walk(edge_docs, monkeypatch):
             break
 
 
+def test_training_passes_over_every_position(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10, 200)), "en", "s", 1, 1, 0.0, "", 1, 1) for i in range(300)]  # many positions an outcome
+    passed, learn = spark.sparkContext.accumulator(0), language_model._learn
+
+    def counted(m, grown, far, near, y, *rest):
+        passed.add(len(y))
+        learn(m, grown, far, near, y, *rest)
+
+    monkeypatch.setattr(language_model, "_learn", counted)
+    monkeypatch.setattr(language_model, "BLOCK", 3000)
+    got = language_model.score(spark.createDataFrame(docs, SCHEMA).repartition(3))
+    assert passed.value == got.first().train_tokens > 50_000
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
