@@ -14,14 +14,13 @@ of POSITIONS positions an outcome, are trained apart, each by one task; a row of
 parts' rows, weighted by their squared gradients. A first round on one document in FIRST gives the second a common
 start. What a round moves is a model for each part, so less than a number a position.
 
-Text is read once. A task gives its words local numbers and writes documents as number arrays, and a vocabulary for
-every VOCABULARY words or TOKENS tokens. What then moves between tasks is the vocabularies (a row for each word of each,
+Text is read once. A task gives its words local numbers, by Arrow's dictionaries, and writes documents as number arrays,
+and a vocabulary for every VOCABULARY words or TOKENS tokens. What then moves between tasks is the vocabularies (a row for each word of each,
 so a frequent word is a row a vocabulary, never a row an occurrence) and the number arrays.
 """
 
 from __future__ import annotations
 
-import collections
 import itertools
 from collections.abc import Iterator
 
@@ -38,57 +37,81 @@ END = 0
 WIDTH = 24
 #: The bias of places beyond the last outcome: no probability, and finite, so that it can stand in a matrix product.
 NO_WORD = -1e30
-VOCABULARY, TOKENS = 250_000, 4_000_000
+#: A vocabulary ends at so many words of its slices, or tokens; texts are cut into words SLICE bytes at a time.
+VOCABULARY, TOKENS, SLICE = 1_500_000, 4_000_000, 4 << 20
 #: Training positions of a part for each outcome of the model, and one document of so many is trained on in the first round.
 POSITIONS, FIRST = 400, 16
 #: Passes over positions given as arrays; positions of a step (a part has about STEPS); noise outcomes of a step.
 PASSES, BATCH, STEPS, CLASS_NOISE, WORD_NOISE, RATE = 2, (2048, 32768), 512, 32, 8, 0.15
-#: Positions that are put in order of outcome together, rows of one matrix product, and rows of a model sent together.
-BLOCK, ROWS, SENT = 1 << 20, 2048, 4096
+#: Positions that are put in order of outcome together, and that are scored together (the more, the more contexts are equal),
+#: rows of one matrix product, and rows of a model sent together.
+BLOCK, SCORED, ROWS, SENT = 1 << 20, 1 << 21, 2048, 4096
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+    """The columns of slices of a batch whose last column (binary) has about SLICE bytes in each, or a row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(b.columns[-1]).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = np.flatnonzero(np.r_[True, ends[1:] // SLICE != ends[:-1] // SLICE, True]) if len(ends) else []
+    for s, t in itertools.pairwise(at):
+        yield b.slice(s, t - s).columns
+
+
+def _words(text: pa.Array) -> tuple:
+    """How many words each text (binary) has, and all of them in order (binary): A-Z lower-cased, cut at ASCII spaces."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(text.view(pa.string())))  # an empty word stands where a text begins or ends with spaces
+    words = cut.flatten().view(pa.binary())
+    full = pc.binary_length(words).to_numpy() > 0
+    size = np.add.reduceat(full, cut.offsets.to_numpy()[:-1], dtype=np.int64)
+    return size, words if full.all() else words.filter(pa.array(full))
+
 
 def tokenise(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows of two kinds. Documents (kind 0): part, doc_id, held_out, ids (packed 32-bit local word numbers, without the
     end). Words (kind 1): part, local number, word (bytes), its count in training documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    names = ["kind", "part", "doc_id", "held_out", "ids", "number", "word", "n"]
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
 
-        names = ["kind", "part", "doc_id", "held_out", "ids", "number", "word", "n"]
-        fresh = lambda: collections.defaultdict(itertools.count().__next__)  # noqa: E731  a new word takes the next number
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
-        part, serial, known, counts, tokens = TaskContext.get().partitionId() << 24, 0, fresh(), np.zeros(2 * VOCABULARY, np.int64), 0
+    def table(**columns) -> pa.RecordBatch:
+        rows = max(len(c) for c in columns.values() if isinstance(c, pa.Array))
+        at = [columns.get(name) for name in names]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.repeat(pa.scalar(c, t), rows) for c, t in zip(at, types, strict=True)], names=names)
 
-        def batch(rows: list[tuple]):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-        def vocabulary():
-            words = list(known)
-            for k in range(0, len(words), 50_000):
-                yield batch([(1, part + serial, None, None, None, k + i, w, n) for i, (w, n) in enumerate(zip(words[k : k + 50_000], counts[k : k + 50_000].tolist(), strict=False))])
+        part, held = TaskContext.get().partitionId() << 24, []
+
+        def vocabulary() -> Iterator[pa.RecordBatch]:
+            doc_id, out, size, coded = zip(*held, strict=True)
+            coded = pa.chunked_array(coded).unify_dictionaries()
+            ids, word = np.concatenate([c.indices.to_numpy() for c in coded.chunks]), coded.chunk(0).dictionary
+            doc_id, out, size = pa.concat_arrays(doc_id), np.concatenate(out), np.concatenate(size)
+            n, out = np.bincount(ids[np.repeat(~out, size)], minlength=len(word)), pa.array(out)
+            ends = pa.array(np.append(0, np.cumsum(4 * size))).cast(pa.int32())  # an error where they do not fit
+            packed = pa.Array.from_buffers(pa.binary(), len(size), [None, ends.buffers()[1], pa.py_buffer(ids)])
+            for i in range(0, len(size), 256):
+                yield table(kind=0, part=part, doc_id=doc_id[i : i + 256], held_out=out[i : i + 256], ids=packed[i : i + 256])
+            number, n = pa.array(np.arange(len(word), dtype=np.int32)), pa.array(n)
+            for i in range(0, len(word), 50_000):
+                yield table(kind=1, part=part, number=number[i : i + 50_000], word=word[i : i + 50_000], n=n[i : i + 50_000])
 
         for b in batches:
-            rows = []
-            for doc_id, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                words = (t.as_py() or b"").lower().split()
-                numbers = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-                if len(known) > len(counts):  # one document with very many words
-                    counts = np.concatenate([counts, np.zeros(len(known), np.int64)])
-                if not held:
-                    np.add.at(counts, numbers, 1)
-                rows.append((0, part + serial, doc_id, held, numbers.tobytes(), None, None, None))
-                tokens += len(words) + 1
-                full = len(known) >= VOCABULARY or tokens >= TOKENS
-                if full or len(rows) >= 256:
-                    yield batch(rows)
-                    rows = []
-                if full:
+            for doc_id, out, text in _slices(b):
+                size, words = _words(text)
+                # Copies, since a column holds its whole batch, texts included.
+                held.append((pa.array(doc_id.to_pylist(), pa.int64()), out.to_numpy(zero_copy_only=False), size, words.dictionary_encode()))
+                # The slices' own words are at least as many as those of all.
+                if sum(len(c.dictionary) for *_, c in held) >= VOCABULARY or sum(len(c) + len(x) for x, *_, c in held) >= TOKENS:
                     yield from vocabulary()
-                    serial, known, counts, tokens = serial + 1, fresh(), np.zeros(2 * VOCABULARY, np.int64), 0
-            if rows:
-                yield batch(rows)
-        if known:
+                    part, held = part + 1, []
+        if held:
             yield from vocabulary()
 
     read = docs.select(docs[id_col].cast("long").alias("doc_id"), features.held_out(docs[id_col], 7, 2).alias("held_out"), shared.text_of(docs, text).cast("binary").alias("t"))
@@ -120,6 +143,15 @@ class Model:
         return [self.near, self.far, self.of_class, self.of_word, self.class_bias, self.word_bias]
 
 
+def _sums(x, first):
+    """Sums of the runs of x's rows that begin at first. NumPy adds a column at a time, so two go as one complex number."""
+    import numpy as np
+
+    if x.ndim == 1 or x.dtype != np.float32 or x.shape[1] % 2:
+        return np.add.reduceat(x, first, axis=0)
+    return np.add.reduceat(np.ascontiguousarray(x).view(np.complex64), first, axis=0).view(np.float32)
+
+
 def _move(x, grown, at, gradient, rate: float, *, in_order: bool = False) -> None:
     """One Adagrad step on the rows `at` of x, whose gradients may repeat rows; grown is a number for each row."""
     import numpy as np
@@ -128,7 +160,7 @@ def _move(x, grown, at, gradient, rate: float, *, in_order: bool = False) -> Non
         order = np.argsort(at.astype(np.uint16) if len(x) <= 1 << 16 else at, kind="stable")
         at, gradient = at[order], gradient[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    g, at = np.add.reduceat(gradient, first, axis=0), at[first]
+    g, at = _sums(gradient, first), at[first]
     if g.ndim == 1:
         grown[at] += g * g
         x[at] += rate * g / np.sqrt(grown[at])
@@ -201,7 +233,7 @@ def _learn(m: Model, grown: list, far, near, y, n_outcomes: int, batch: int, rng
         _move(m.of_class, class_g, classes, np.concatenate([of_sides[:, -1], miss.T @ q]), rate)
         _move(m.class_bias, class_bias_g, classes, np.r_[of_bias[:, -1], miss.sum(axis=0)], rate / 4)
         q *= hit[:, None]
-        _move(m.of_word, word_g, words, np.concatenate([np.add.reduceat(q, first, axis=0), of_sides[:, :-1].reshape(-1, width)]), rate)
+        _move(m.of_word, word_g, words, np.concatenate([_sums(q, first), of_sides[:, :-1].reshape(-1, width)]), rate)
         _move(m.word_bias, word_bias_g, words, np.r_[np.add.reduceat(hit, first), of_bias[:, :-1].ravel()], rate / 4)
 
 
@@ -294,11 +326,11 @@ def log_probabilities(model: tuple, far, near, y):
     out, n_class, k = np.empty(len(y)), len(of_class), len(vec_near)
     classes = np.c_[of_class, class_bias].T  # the bias is the weight of a one
     words = np.concatenate([of_word, word_bias[:, None]], axis=1).reshape(n_class, size, -1).transpose(0, 2, 1)
-    for i in range(0, len(y), BLOCK):
+    for i in range(0, len(y), SCORED):
         # Equal contexts are normalised over the classes once, and equal pairs of a class and a context within the class once.
-        key = (y[i : i + BLOCK] // size * np.int64(k) + near[i : i + BLOCK]) * k + far[i : i + BLOCK]
+        key = (y[i : i + SCORED] // size * np.int64(k) + near[i : i + SCORED]) * k + far[i : i + SCORED]
         order = np.argsort(key)
-        key, w = key[order], y[i : i + BLOCK][order]
+        key, w = key[order], y[i : i + SCORED][order]
         new = np.r_[True, key[1:] != key[:-1]]
         first = np.flatnonzero(new)
         c, context = np.divmod(key[first], k * k)
@@ -349,11 +381,11 @@ def _contexts(outcomes):
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of documents, of about BLOCK positions or one document."""
+    """Slices of a batch of documents, of about SCORED positions or one document."""
     at, size = 0, 0
     for i, packed in enumerate(batch.column("outcomes")):
         size += len(packed.as_buffer() or b"") // 4 + 1
-        if size >= BLOCK:
+        if size >= SCORED:
             yield batch.slice(at, i + 1 - at)
             at, size = i + 1, 0
     if at < batch.num_rows:
@@ -392,7 +424,8 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> Dat
     counts = np.concatenate([[train_docs], rare_count[1:], top.column("c").to_numpy()])
 
     # Counts return to every vocabulary that holds the word. Both sides are a row for each word (of a vocabulary).
-    known = words.join(counted_k, "word", "left").select(F.col("part").alias("p"), "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("k", rare).alias("k"))
+    # A task holds its share of the distinct words in a table, so that no word is sorted.
+    known = words.join(counted_k.hint("shuffle_hash"), "word", "left").select(F.col("part").alias("p"), "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("k", rare).alias("k"))
     unseen = float(n + v + 1)
 
     def place(documents: pa.Table, vocabulary: pa.Table) -> pa.Table:

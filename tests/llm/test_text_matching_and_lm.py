@@ -170,6 +170,30 @@ def test_training_passes_over_every_position(spark, monkeypatch):
     assert passed.value == got.first().train_tokens > 50_000
 
 
+def test_words_are_numbered_and_counted_once_a_vocabulary(spark, monkeypatch):
+    texts = {1: " \t\n", 2: "", 3: None, 4: "  Ab aB\x0bÄb äb\x85x\x1cy ", 5: "ends \r\n", 6: "\xa0 ab", 7: "日本 \x0cAB"}
+    texts |= {i: " ".join(f"w{i}x{j}" for j in range(1000)) for i in range(100, 400)}  # more distinct words than a vocabulary had
+    monkeypatch.setattr(language_model, "SLICE", 50_000, raising=False)  # several slices a batch
+    rows = language_model.tokenise(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()
+    words = {(r.part, r.number): (bytes(r.word), r.n) for r in rows if r.kind == 1}
+    assert len({r.part for r in rows}) == 1 and len(words) == len({w for w, _ in words.values()}) > 290_000
+    count = collections.Counter()
+    for r in (r for r in rows if r.kind == 0):
+        want = (texts[r.doc_id] or "").encode().lower().split()
+        assert [words[r.part, k][0] for k in np.frombuffer(r.ids, np.int32)] == want
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+        count.update([] if r.held_out else want)
+    assert sum(r.kind == 0 for r in rows) == len(texts) and all(n == count[w] for w, n in words.values())
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(5)
+    for shape in ((1000, 24), (1000, 7), (1000,)):
+        x, first = rng.standard_normal(shape).astype(np.float32), np.r_[0, np.sort(rng.choice(np.arange(1, 1000), 99, replace=False))]
+        want = [part.sum(axis=0) for part in np.split(x.astype(np.float64), first[1:])]
+        assert language_model._sums(x, first).dtype == np.float32 and np.allclose(language_model._sums(x, first), want, atol=1e-4)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
