@@ -78,32 +78,34 @@ TASK_KEY, RUN_KEY = ["run_id", "task_name"], ["run_id"]
 
 
 def _merged(kind: str, c: Column) -> Column:
-    return {LAST: F.max, FIRST: F.min, MAX: F.max, SUM: F.sum, ALL: lambda x: F.array_sort(F.flatten(F.collect_list(x)))}[kind](c)
+    return {LAST: F.max, FIRST: F.min, MAX: F.max, SUM: F.sum}[kind](c)
 
 
-def _parts(events: DataFrame, keys: list[str], spec: Spec) -> DataFrame:
+def _parts(events: DataFrame, keys: list[str], spec: Spec, more: dict[str, Column]) -> DataFrame:
     def part(kind: str, value: Column, when: Column) -> Column:
         if kind in (MAX, SUM):
             return F.coalesce(_merged(kind, F.when(when, value)), F.lit(0)) if kind == SUM else F.max(F.when(when, value))
         with_seq = F.when(when, F.struct("seq", value.alias("value")))
         return F.array_sort(F.collect_list(with_seq)) if kind == ALL else _merged(kind, with_seq)
 
-    return events.groupBy(*keys).agg(*[part(*s).alias(n) for n, s in spec.items()])
+    return events.groupBy(*keys).agg(*[part(*s).alias(n) for n, s in spec.items()], *[c.alias(n) for n, c in more.items()])
 
 
-def task_parts(journal: DataFrame) -> DataFrame:
-    """A row per (run_id, task_name) of a stretch of a journal."""
-    return _parts(_decoded(journal.where("task_name is not null"), *TASK_READ), TASK_KEY, task_spec())
+def task_parts(journal: DataFrame, **more: Column) -> DataFrame:
+    """A row per (run_id, task_name) of a stretch of a journal, with further aggregates."""
+    return _parts(_decoded(journal.where("task_name is not null"), *TASK_READ), TASK_KEY, task_spec(), more)
 
 
-def run_parts(journal: DataFrame) -> DataFrame:
-    """A row per run_id of a stretch of a journal."""
-    return _parts(_decoded(journal, *RUN_READ), RUN_KEY, run_spec())
+def run_parts(journal: DataFrame, **more: Column) -> DataFrame:
+    """A row per run_id of a stretch of a journal, with further aggregates."""
+    return _parts(_decoded(journal, *RUN_READ), RUN_KEY, run_spec(), more)
 
 
-def merge(parts: DataFrame, keys: list[str], spec: Spec) -> DataFrame:
-    """One row per key of rows of several stretches."""
-    return parts.groupBy(*keys).agg(*[_merged(s[0], F.col(n)).alias(n) for n, s in spec.items()])
+def after(kept: Column, begins: Column, spec: Spec) -> list[Column]:
+    """The columns of a part, merged with one that is kept (a struct, or null) if the events of the former begin after the
+    last that is known."""
+    both = {LAST: F.greatest, FIRST: F.least, MAX: F.greatest, SUM: lambda a, b: a + b, ALL: lambda a, b: F.array_sort(F.concat(a, b))}
+    return [F.when(kept.isNull(), F.col(n)).when(begins > kept["last_seq"], both[s[0]](kept[n], F.col(n))).otherwise(kept[n]).alias(n) for n, s in spec.items()]
 
 
 def finished_tasks(parts: DataFrame) -> DataFrame:

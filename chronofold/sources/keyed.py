@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from .storage import forget, keyed_side, written
 
 BUCKET, BUCKETS = "_bucket", 64
+#: Part of a bucket: its rows may go to several tasks.
+SLICE = "_slice"
 
 
 def bucket_of(keys: list[str], buckets: int) -> Column:
@@ -33,12 +35,15 @@ def create(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) ->
 
 
 def _put(df: DataFrame, path: str, buckets: int) -> None:
-    spread = df.repartition(min(buckets, 200), BUCKET)
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    _replace(df.repartition(min(buckets, 200), BUCKET), path)
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def _meta(spark: SparkSession, path: str) -> tuple[list[str], int, T.StructType]:
-    m = spark.read.parquet(f"{path}/_keyed").first()
+    m = spark.read.schema("keys array<string>, buckets int, schema string").parquet(f"{path}/_keyed").first()
     return list(m["keys"]), m["buckets"], T.StructType.fromJson(json.loads(m["schema"]))
 
 
@@ -54,13 +59,26 @@ def touched_by(changes: DataFrame, keys: list[str], buckets: int) -> list[int]:
     return sorted(r[0] for r in changes.select(bucket_of(keys, buckets)).distinct().collect())
 
 
-def apply(spark: SparkSession, path: str, changes: DataFrame, *, update: bool = True, insert: bool = False) -> list[int]:
+def dealt(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """df with BUCKET and SLICE, the rows of a slice in one task. What groups by the keys and these two moves no row again.
+    There are several slices to a task, so that tasks are alike and a bucket of any size is shared among them."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-4 * tasks // buckets))
+    return df.withColumns({BUCKET: bucket_of(keys, buckets), SLICE: F.pmod(F.hash(*keys), F.lit(slices))}).repartition(BUCKET, SLICE)
+
+
+def apply(spark: SparkSession, path: str, changes: DataFrame, *, update: bool = True, insert: bool = False, whole: list[int] | None = None) -> list[int]:
     """Merge changes (the keys and the columns that they set, null included; a key at most once) and return the buckets that
     were rewritten. update: rows there are take what is set and keep their other columns; insert: keys there are not become
-    rows, with nulls in columns not set. Neither drops a row. Changes to a column that the table lacks are an error."""
+    rows, with nulls in columns not set. Neither drops a row. Changes to a column that the table lacks are an error. whole: changes are
+    all rows that these buckets have from now on, with all columns and BUCKET (dealt); they may be made from the rows there, which
+    stay until the write commits, so the rows are written once."""
     keys, buckets, schema = _meta(spark, path)
-    if more := [c for c in changes.columns if c not in schema.names]:
+    if more := [c for c in changes.columns if c not in schema.names and not (whole is not None and c == BUCKET)]:
         raise ValueError(f"the table has no column {', '.join(more)}")
+    if whole is not None:
+        _replace(changes.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], BUCKET), path)
+        return whole
     sets = [c for c in changes.columns if c not in keys]
     new = written(changes.select(*keys, F.struct(F.lit(True).alias("_hit"), *sets).alias("_new")), "changes")
     if not new.groupBy(*keys).agg(F.count("*").alias("_times")).where("_times > 1").isEmpty():
